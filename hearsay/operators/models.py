@@ -3,8 +3,9 @@ travel in Arrow batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +19,11 @@ def score_with(
     of numbers; missing texts are passed as ""."""
 
     @F.pandas_udf("double")
-    def scorer(batches):
-        import pandas
-
+    def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in batches:
-            yield pandas.Series(model(texts.fillna("").tolist()), dtype="float64")
+            yield pd.Series(model(texts.fillna("").tolist()), dtype="float64")
 
-    # The annotation-free iterator form needs its kind named.
     return df.withColumn(out, scorer(F.col(text)))
 
 
@@ -36,14 +34,11 @@ def classify_with(
     pairs; positive labels count up, negative ones down, others 0."""
 
     @F.pandas_udf("label string, confidence double")
-    def classifier(batches):
-        import pandas
-
+    def classifier(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = factory()
         for texts in batches:
-            yield pandas.DataFrame(
-                model(texts.fillna("").tolist()), columns=["label", "confidence"]
-            )
+            answers = model(texts.fillna("").tolist())
+            yield pd.DataFrame(answers, columns=["label", "confidence"])
 
     answer = F.col("__answer")
     return (
@@ -59,12 +54,10 @@ def embed(
     """Add a unit-length vector. ``factory()`` returns a function from texts to vectors."""
 
     @F.pandas_udf("array<float>")
-    def encoder(batches):
-        import pandas
-
+    def encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in batches:
-            yield pandas.Series([list(vector) for vector in model(texts.fillna("").tolist())])
+            yield pd.Series([list(vector) for vector in model(texts.fillna("").tolist())])
 
     raw = df.withColumn("__raw", encoder(F.col(text)))
     return raw.withColumn(out, unit("__raw")).drop("__raw")

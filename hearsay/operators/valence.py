@@ -6,6 +6,9 @@ lexicon is a table ``word, valence``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,7 @@ def valence_score(
     negations, factor, span = frozenset(NEGATIONS), NEGATION_FACTOR, NEGATION_SPAN
 
     @F.pandas_udf("double")
-    def total(batches):
-        import pandas
-
+    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def add(words):
             score = 0.0
             for place, word in enumerate(words):
@@ -57,8 +58,8 @@ def valence_score(
                     score += valence * factor if negated else valence
             return score
 
-        for texts in batches:
-            yield texts.map(add) if len(texts) else pandas.Series([], dtype="float64")
+        for words in batches:
+            yield words.map(add).astype("float64")
 
     return df.withColumn(out, normalise_valence(total(valence_words(text)), VALENCE_ALPHA))
 
