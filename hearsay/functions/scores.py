@@ -75,9 +75,12 @@ def should_avoid(avg: Column | str, neg_frac: Column | str, low: Column | str) -
 def post_decision(avg: Column | str, neg_frac: Column | str, low: Column | str) -> Column:
     """The recommendation as text."""
     avg, neg_frac, low = as_col(avg), as_col(neg_frac), as_col(low)
-    numbers = F.format_string(
-        "(avg_score=%.4f, neg_frac=%.2f, min_score=%.4f).", avg, neg_frac, low
-    )
+    # format_number rounds the exact binary value, halves to even; %.2f does not on the JVM.
+    shown = [
+        F.replace(F.format_number(number, digits), F.lit(","), F.lit(""))
+        for number, digits in ((avg, 4), (neg_frac, 2), (low, 4))
+    ]
+    numbers = F.format_string("(avg_score=%s, neg_frac=%s, min_score=%s).", *shown)
     verdict = F.when(
         should_avoid(avg, neg_frac, low), "Recommendation: Do not post - rule 1 triggered "
     ).otherwise("Recommendation: Post - rule 2 triggered ")

@@ -133,8 +133,10 @@ def posts_only(facts: DataFrame, titled: bool = False) -> DataFrame:
     return kept
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
+def conform(df: DataFrame, schema: StructType | str) -> DataFrame:
     """The columns of ``schema``, in its order and with its types."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
     return df.select(
         *[F.col(field.name).cast(field.dataType).alias(field.name) for field in schema]
     )

@@ -318,7 +318,7 @@ FROM used GROUP BY 1, 2""")
 add("controversy_series", "T4 P13", gold_controversy, f"""
 WITH {controversy_sql()}
 SELECT topic_name, {time_text('time_bucket')} AS time_bucket,
-       round(average_like_to_comment_ratio, 6) AS average_like_to_comment_ratio FROM topics""")
+       round(average_like_to_comment_ratio, 9) AS average_like_to_comment_ratio FROM topics""", digits=9)
 
 add("crosslink_series", "T5 P10", gold_links, f"""
 WITH {links_sql()}
@@ -369,8 +369,8 @@ add("word_controversy_series", "A34",
     lambda s, d: series.word_controversy_series(gold_controversy(s, d), "Tion", LOW, HIGH), f"""
 WITH {controversy_sql()}
 SELECT {time_text('time_bucket')} AS time_bucket,
-       round(average_like_to_comment_ratio, 6) AS average_like_to_comment_ratio
-FROM topics WHERE lower(topic_name) = 'tion'""")
+       round(average_like_to_comment_ratio, 9) AS average_like_to_comment_ratio
+FROM topics WHERE lower(topic_name) = 'tion'""", digits=9)
 
 _RANKED = f"""{controversy_sql('1 day')}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY time_bucket
@@ -380,15 +380,15 @@ add("top_topics_per_day", "W1",
     lambda s, d: series.top_per_bucket(gold_controversy(s, d, "1 day"), 5, LOW, HIGH), f"""
 WITH {_RANKED}
 SELECT topic_name, {time_text('time_bucket')} AS time_bucket,
-       round(average_like_to_comment_ratio, 6) AS average_like_to_comment_ratio, rn
-FROM ranked WHERE rn <= 5""")
+       round(average_like_to_comment_ratio, 9) AS average_like_to_comment_ratio, rn
+FROM ranked WHERE rn <= 5""", digits=9)
 
 add("range_controversy", "A35",
     lambda s, d: series.range_controversy(gold_controversy(s, d, "1 day"), 10), f"""
 WITH {_RANKED}
-SELECT topic_name, round(avg(average_like_to_comment_ratio), 6) AS value
+SELECT topic_name, round(avg(average_like_to_comment_ratio), 9) AS value
 FROM ranked WHERE rn <= 10 GROUP BY 1
-ORDER BY round(avg(average_like_to_comment_ratio), 9) DESC, topic_name LIMIT 10""")
+ORDER BY round(avg(average_like_to_comment_ratio), 9) DESC, topic_name LIMIT 10""", digits=9)
 
 for _grain in ("month", "week"):
     add(f"rollup_{_grain}", "A36",

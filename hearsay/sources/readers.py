@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from hearsay.functions.values import json_field
 
@@ -12,7 +11,7 @@ CORRUPT = "_corrupt_record"
 
 
 def read_events(
-    spark: SparkSession, path: str, schema: StructType | None = None, keep_corrupt: bool = False
+    spark: SparkSession, path: str, schema: str | None = None, keep_corrupt: bool = False
 ) -> DataFrame:
     """JSON lines. Give a schema where it is known: inference reads all input once more.
 
@@ -21,7 +20,7 @@ def read_events(
     reader = spark.read
     if schema is not None:
         if keep_corrupt:
-            schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+            schema = f"{schema}, {CORRUPT} STRING"
         reader = reader.schema(schema)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
@@ -39,10 +38,10 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
-def parse_lines(lines: DataFrame, schema: StructType, raw: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, schema: str, raw: str = "value") -> DataFrame:
     """JSON text already in a column, parsed; bad lines keep their text as
     ``_corrupt_record``."""
-    wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    wide = f"{schema}, {CORRUPT} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return lines.select(F.from_json(raw, wide, options).alias("row")).select("row.*")
 
@@ -50,7 +49,7 @@ def parse_lines(lines: DataFrame, schema: StructType, raw: str = "value") -> Dat
 def stream_events(
     spark: SparkSession,
     path: str,
-    schema: StructType | None = None,
+    schema: str | None = None,
     max_files: int | None = None,
     fmt: str = "json",
 ) -> DataFrame:
