@@ -23,7 +23,7 @@ MAX_CARRIED_WORDS = 100_000
 
 def valence_words(text: str) -> Column:
     """Lower-case letter runs in order; apostrophes are dropped, so don't reads dont."""
-    bare = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "['’]", "")
+    bare = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), "'’", "")
     return F.regexp_extract_all(bare, F.lit(r"\p{L}+"), 0)
 
 

@@ -19,6 +19,7 @@ from hearsay.functions.vocab import (
 from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.series import controversy_series, crosslink_series, word_series
 from hearsay.operators.words import scored_titles
+from hearsay.sources.readers import widen
 
 # Word lists that occur in the generated texts (the built-in ones hardly do).
 GOOD = ["tion", "ment", "ble", "thing", "thon", "thin"]
@@ -38,7 +39,8 @@ def rows_of(df: DataFrame) -> Column:
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
-    documents, events = table(spark, folder, "documents"), table(spark, folder, "events")
+    documents = widen(table(spark, folder, "documents"), "doc_id")
+    events = table(spark, folder, "events")
     stride = F.floor(rows_of(events) / rows_of(documents))
     keyed = documents.withColumn("event_id", F.col("doc_id") * stride)
     return keyed.join(events, "event_id").select(
