@@ -29,7 +29,7 @@ def nearest(
     query_id: str = "query_id",
     query: str = "embedding",
     max_carried: int = MAX_CARRIED_QUERIES,
-    vectors_per_block: int = 200_000,
+    vectors_per_block: int = 50_000,
 ) -> DataFrame:
     """The k nearest vectors per query: ``query_id, vector_id, score, rn``; ties by id."""
     base = vectors.select(F.col(vector_id), F.col(vector).cast("array<double>").alias("v"))
@@ -54,32 +54,47 @@ def nearest(
 
 
 def _block_best(k: int, vector_id: str, query_id: str):
-    """A function from a block of vectors and a block of queries to the k best per query."""
+    """A function from a block of vectors and a block of queries to the k best per query.
+
+    Scores are cut to twelve decimals, so that copies of a vector tie whatever their place
+    in the block; of those level with the k-th score the smallest ids are taken. However
+    many copies there are, k rows per query and block are passed on.
+    """
+    cells = 4_000_000
+
+    def unit_rows(column):
+        import numpy
+
+        matrix = numpy.stack(column.to_numpy())
+        lengths = numpy.linalg.norm(matrix, axis=1, keepdims=True)
+        return matrix / numpy.where(lengths == 0, 1.0, lengths)
 
     def best(block, queries):
         import numpy
         import pandas
 
+        empty = pandas.DataFrame({query_id: [], vector_id: [], "score": []})
         if not len(block) or not len(queries):
-            return pandas.DataFrame({query_id: [], vector_id: [], "score": []})
-
-        def rows(column):
-            matrix = numpy.stack(column.to_numpy())
-            lengths = numpy.linalg.norm(matrix, axis=1, keepdims=True)
-            return matrix / numpy.where(lengths == 0, 1.0, lengths)
-
-        scores = rows(queries["q"]) @ rows(block["v"]).T
-        keep = min(k, scores.shape[1])
-        # Everything level with the k-th score stays, so that ties are settled at the end.
-        limit = numpy.partition(scores, -keep, axis=1)[:, -keep]
-        at_query, at_vector = numpy.nonzero(scores >= limit[:, None])
-        return pandas.DataFrame(
-            {
-                query_id: queries[query_id].to_numpy()[at_query],
-                vector_id: block[vector_id].to_numpy()[at_vector],
+            return empty
+        block = block.sort_values(vector_id)
+        ids, asked = block[vector_id].to_numpy(), queries[query_id].to_numpy()
+        matrix, questions = unit_rows(block["v"]).T, unit_rows(queries["q"])
+        keep = min(k, len(block))
+        step = max(1, cells // len(block))
+        parts = []
+        for start in range(0, len(asked), step):
+            scores = numpy.round(questions[start:start + step] @ matrix, 12)
+            limit = numpy.partition(scores, -keep, axis=1)[:, -keep][:, None]
+            above, level = scores > limit, scores == limit
+            room = keep - above.sum(axis=1, keepdims=True)
+            chosen = above | (level & (level.cumsum(axis=1) <= room))
+            at_query, at_vector = numpy.nonzero(chosen)
+            parts.append(pandas.DataFrame({
+                query_id: asked[start:start + step][at_query],
+                vector_id: ids[at_vector],
                 "score": scores[at_query, at_vector],
-            }
-        )
+            }))
+        return pandas.concat(parts, ignore_index=True)
 
     return best
 

@@ -110,7 +110,10 @@ def write_hourly(
 
 
 def rewrite_table(
-    spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]
+    spark: SparkSession,
+    path: str,
+    change: Callable[[DataFrame], DataFrame],
+    partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Replace a table by a changed copy: written beside it, then swapped by rename.
 
@@ -119,7 +122,7 @@ def rewrite_table(
     """
     tag = uuid.uuid4().hex
     beside, before = f"{path}__new_{tag}", f"{path}__old_{tag}"
-    change(spark.read.parquet(path)).write.parquet(beside)
+    write_table(change(spark.read.parquet(path)), beside, "error", partition_by)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     here = hadoop(path)
     files = here.getFileSystem(spark._jsc.hadoopConfiguration())
