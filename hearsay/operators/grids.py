@@ -1,10 +1,16 @@
-"""Dense series: every key in every bucket, absent points filled with zero."""
+"""Dense series: every key in every bucket, absent points filled with zero.
+
+No cross join is made. Either side that is exploded is an array with a known bound: the keys
+of a top-k, or the buckets of a calendar.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.operators.ranks import top_k
+
 
 def zero_fill(
     points: DataFrame,
@@ -17,16 +23,41 @@ def zero_fill(
 ) -> DataFrame:
     """``points`` on the full grid of ``keys`` and ``buckets``.
 
-    ``keys`` holds at most ``max_keys`` rows (a top-k, cut again here), so they travel as
-    one array that each bucket row explodes; there is no cross join. Points are cut to
-    those keys by a semi join before the grid is joined.
+    ``keys`` holds at most ``max_keys`` rows (a top-k, cut again here). They are found once,
+    as an array that each bucket row explodes and that points are filtered by before
+    anything is joined.
     """
-    few = keys.select(key).limit(max_keys)
-    # No keys gives an empty array, hence an empty grid.
-    listed = few.agg(F.collect_list(key)).scalar()
+    listed = keys.select(key).limit(max_keys).agg(F.collect_list(key)).scalar()
     grid = buckets.select(bucket).distinct().withColumn(key, F.explode(listed))
-    kept = points.join(F.broadcast(few), key, "left_semi")
+    kept = points.filter(F.array_contains(listed, F.col(key)))
     filled = grid.join(kept, [key, bucket], "left")
     return filled.select(
         key, bucket, *[F.coalesce(F.col(value), F.lit(0)).alias(value) for value in values]
     )
+
+
+def top_series(
+    points: DataFrame, key: str, bucket: str, values: list[str], k: int, weight: str
+) -> DataFrame:
+    """The k keys of largest total weight, each with its points as a list ``series``.
+
+    Totals and points come from one aggregate, so whatever ``points`` is made of is read
+    once; ranking keys first and joining back would read it twice. ``points`` has one row
+    per key and bucket: a list is as long as the calendar, however often a key is used.
+    """
+    listed = points.groupBy(key).agg(
+        F.sum(weight).alias("total"),
+        F.collect_list(F.struct(bucket, *values)).alias("series"),
+    )
+    return top_k(listed, "total", k, key)
+
+
+def dense_series(
+    listed: DataFrame, buckets: DataFrame, key: str, bucket: str, values: list[str]
+) -> DataFrame:
+    """The lists of ``top_series`` as rows, with zeros in the buckets they lack."""
+    kinds = {field.name: field.dataType for field in listed.schema["series"].dataType.elementType}
+    empty = F.struct(bucket, *[F.lit(0).cast(kinds[value]).alias(value) for value in values])
+    zeros = buckets.select(bucket).distinct().agg(F.collect_list(empty)).scalar()
+    rows = listed.select(key, F.inline(F.concat("series", zeros)))
+    return rows.groupBy(key, bucket).agg(*[F.sum(value).alias(value) for value in values])

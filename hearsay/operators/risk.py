@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from hearsay.functions.scores import post_decision, risk_gauge
 from hearsay.functions.text import sentence_words
 from hearsay.functions.vocab import EDGE_PUNCTUATION, NEGATIVE_WORDS, POSITIVE_WORDS
-from hearsay.operators.keys import latest_per_key
 
 
-def latest_word_scores(series: DataFrame) -> DataFrame:
-    """The latest score of each word, any case; of several in the same window the first
-    spelling counts."""
+def latest_word_scores(series: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The latest score of each word, any case; spellings of the same window are averaged.
+
+    With ``words`` (a frame with a column ``word``) only those are looked up. The semi join
+    comes before the aggregates, so a large series is cut down first.
+    """
     rows = series.select(
-        F.lower("word").alias("word"),
-        "time_range",
-        F.col("avg_vader_sentiment_score").alias("score"),
-        F.col("word").alias("__spelling"),
+        F.lower("word").alias("word"), "time_range", F.col("avg_vader_sentiment_score")
+    )
+    if words is not None:
+        rows = rows.join(words.select("word").distinct(), "word", "left_semi")
+    per_window = rows.groupBy("word", "time_range").agg(
+        F.avg("avg_vader_sentiment_score").alias("__score")
     )
-    # max_by prefers the larger struct; a negated sort key would not work on text, so the
-    # spelling is only a tie-break and any fixed choice serves.
-    return latest_per_key(rows, "word", "time_range", ["__spelling"]).select("word", "score")
+    # Fixed-width values and keys keep max_by in a hash aggregate.
+    return per_window.groupBy("word").agg(F.max_by("__score", "time_range").alias("score"))
 
 
 def sentence_word_counts(
@@ -33,14 +36,14 @@ def sentence_word_counts(
     return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def score_sentences(sentences: DataFrame, scores: DataFrame, key: str, text: str) -> DataFrame:
+def score_sentences(sentences: DataFrame, series: DataFrame, key: str, text: str) -> DataFrame:
     """Words of each sentence with their latest score, 0 for unknown words.
 
-    Repeats are folded into ``uses`` before the join. The score table may be large, so the
-    join strategy is left to the planner; adaptive execution splits a hot word.
+    Repeats are folded into ``uses`` before the join. How the scores are joined is left to
+    the planner, which knows their size; adaptive execution splits a hot word.
     """
     counts = sentence_word_counts(sentences, key, text)
-    joined = counts.join(scores, "word", "left")
+    joined = counts.join(latest_word_scores(series, counts), "word", "left")
     return joined.select(key, "word", "uses", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from hearsay.functions.times import epoch_seconds
 from hearsay.operators.filters import between_ts
-from hearsay.operators.grids import zero_fill
+from hearsay.operators.grids import dense_series, top_series
 from hearsay.operators.ranks import top_k
-from hearsay.operators.words import word_day_counts
+from hearsay.operators.words import word_counts, word_day_counts
 
 
 def exact_slope(x: Column, y: Column) -> Column:
@@ -27,15 +27,16 @@ def exact_slope(x: Column, y: Column) -> Column:
     return F.when(below != 0, above.cast("double") / below.cast("double"))
 
 
-def _daily_grid(scored: DataFrame, words: DataFrame, k: int, day: str) -> DataFrame:
-    days = scored.select(F.col(day).alias("bucket"))
-    return zero_fill(word_day_counts(scored, day), words, days, "word", "bucket", ["count"], k)
+def frequent_words(scored: DataFrame, k: int) -> DataFrame:
+    """The k words that stand in most posts."""
+    return top_k(word_counts(scored, F.array_distinct("tokens"), "mentions"), "mentions", k, "word")
 
 
-def frequent_words(scored: DataFrame, k: int, day: str = "created_date") -> DataFrame:
-    """The k words that stand in most posts."""
-    counts = word_day_counts(scored, day).groupBy("word").agg(F.sum("count").alias("mentions"))
-    return top_k(counts, "mentions", k, "word")
+def _daily_grid(scored: DataFrame, k: int, day: str) -> DataFrame:
+    """Daily counts of the k most frequent words, dense over the days that have a post."""
+    top = top_series(word_day_counts(scored, day), "word", "bucket", ["count"], k, "count")
+    days = scored.select(F.col(day).alias("bucket"))
+    return dense_series(top, days, "word", "bucket", ["count"])
 
 
 def word_timeline(
@@ -48,22 +49,23 @@ def word_timeline(
         )
         series = day_counts.select(F.lit(word.strip().lower()).alias("word"), "bucket", "count")
     else:
-        series = _daily_grid(scored, frequent_words(scored, k, day), k, day)
+        series = _daily_grid(scored, k, day)
     return _with_total(series)
 
 
 def _with_total(series: DataFrame) -> DataFrame:
+    """Adds the sum over the few words of each day."""
     total = F.sum("count").over(Window.partitionBy("bucket"))
     return series.withColumn("total", total)
 
 
 def trend_figures(scored: DataFrame, pool: int = 25, day: str = "created_date") -> DataFrame:
-    """Shape of the daily series of the most frequent words.
+    """Shape of the daily series of the most frequent words, and the series itself.
 
     A series has one point per day that has any post, numbered from 0. Windows are per
     word and there are at most ``pool`` of those.
     """
-    grid = _daily_grid(scored, frequent_words(scored, pool, day), pool, day)
+    grid = _daily_grid(scored, pool, day)
     by_word = Window.partitionBy("word")
     placed = (
         grid.withColumn("i", F.row_number().over(by_word.orderBy("bucket")) - 1)
@@ -83,14 +85,11 @@ def trend_figures(scored: DataFrame, pool: int = 25, day: str = "created_date")
             F.sum(F.when(~first_half, value))
             / F.greatest(F.first("n") - F.first("half"), F.lit(1))
         ).alias("late"),
+        F.collect_list(F.struct("bucket", "count")).alias("series"),
     )
 
 
-def dying_trends(
-    scored: DataFrame, pool: int = 25, k: int = 8, day: str = "created_date"
-) -> DataFrame:
-    """Frequent words past their peak, steepest decline first."""
-    figures = trend_figures(scored, pool, day)
+def _dying(scored: DataFrame, pool: int, k: int, day: str) -> DataFrame:
     dying = (
         (F.col("n") >= 3)
         & (F.col("peak") >= 3)
@@ -100,19 +99,29 @@ def dying_trends(
         & (F.col("late") < F.col("early") * 0.85)
     )
     ratio = F.when(F.col("peak") > 0, F.col("latest") / F.col("peak")).otherwise(0.0)
-    found = figures.filter(dying).select(
-        "topic", "slope", "latest", "peak", ratio.alias("saturation_ratio"),
-        F.lit("dying").alias("status"),
+    found = trend_figures(scored, pool, day).filter(dying)
+    return (
+        found.withColumn("saturation_ratio", ratio)
+        .orderBy("slope", "saturation_ratio", "topic")
+        .limit(k)
+    )
+
+
+def dying_trends(
+    scored: DataFrame, pool: int = 25, k: int = 8, day: str = "created_date"
+) -> DataFrame:
+    """Frequent words past their peak, steepest decline first."""
+    return _dying(scored, pool, k, day).select(
+        "topic", "slope", "latest", "peak", "saturation_ratio", F.lit("dying").alias("status")
     )
-    return found.orderBy("slope", "saturation_ratio", "topic").limit(k)
 
 
 def saturation_timeline(
     scored: DataFrame, words: int = 3, pool: int = 25, day: str = "created_date"
 ) -> DataFrame:
     """Daily series of the first few dying trends with the day's total."""
-    dying = dying_trends(scored, pool, words, day).select(F.col("topic").alias("word"))
-    return _with_total(_daily_grid(scored, dying, words, day))
+    dying = _dying(scored, pool, words, day)
+    return _with_total(dying.select(F.col("topic").alias("word"), F.inline("series")))
 
 
 def declining_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame:

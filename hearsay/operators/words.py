@@ -18,7 +18,7 @@ from hearsay.functions.times import month_key
 from hearsay.functions.vocab import NEGATIVE_WORDS, POSITIVE_WORDS
 from hearsay.operators.filters import posts_only
 from hearsay.operators.ranks import pool_top_k, rank_key, top_k
-from hearsay.operators.grids import zero_fill
+from hearsay.operators.grids import dense_series, top_series
 
 
 def word_rows(df: DataFrame, tokens: Column, out: str = "word") -> DataFrame:
@@ -96,19 +96,15 @@ def word_stats(scored: DataFrame) -> DataFrame:
 
 
 def sentiment_heatmap(scored: DataFrame, k: int = 8, day: str = "created_date") -> DataFrame:
-    """Average sentiment of the k most frequent words in every month that has a post.
-
-    The month sums are aggregated once and serve both for the ranking and for the cells.
-    """
+    """Average sentiment of the k most frequent words in every month that has a post."""
     words = _post_words(scored, "sentiment", month_key(day).alias("bucket"))
     cells = words.groupBy("word", "bucket").agg(
         F.count(F.lit(1)).alias("count"), F.avg("sentiment").alias("avg_sentiment")
     )
-    totals = cells.groupBy("word").agg(F.sum("count").alias("__total"))
-    topics = top_k(totals, "__total", k, "word").select("word")
-    months = scored.select(month_key(day).alias("bucket")).distinct()
-    grid = zero_fill(cells, topics, months, "word", "bucket", ["count", "avg_sentiment"], k)
-    return grid.withColumnRenamed("word", "topic")
+    values = ["count", "avg_sentiment"]
+    topics = top_series(cells, "word", "bucket", values, k, "count")
+    months = scored.select(month_key(day).alias("bucket"))
+    return dense_series(topics, months, "word", "bucket", values).withColumnRenamed("word", "topic")
 
 
 def controversial_words(scored: DataFrame, pool: int = 12, k: int = 8) -> DataFrame:

@@ -180,7 +180,7 @@ dying AS (
         AND slope < -0.02::DOUBLE AND late < early * 0.85::DOUBLE)"""
 
 
-add("trend_figures", "A17 W8", lambda s, d: trends.trend_figures(scored(s, d)).drop("half"), f"""
+add("trend_figures", "A17 W8", lambda s, d: trends.trend_figures(scored(s, d)).drop("half", "series"), f"""
 WITH {_trend_sql(25)}
 SELECT topic, n, round(slope, 6) AS slope, peak, latest, peak_at, recent,
        round(early, 6) AS early, round(late, 6) AS late FROM figures""")

@@ -69,13 +69,15 @@ risk AS (
 
 
 def _sentence_scores(s, d):
-    latest = risk.latest_word_scores(gold_series(s, d))
-    return risk.score_sentences(table(s, d, "benchmark"), latest, "item_id", "text")
+    return risk.score_sentences(table(s, d, "benchmark"), gold_series(s, d), "item_id", "text")
 
 
 add("sentence_word_scores", "J4 W2", _sentence_scores, f"""
 WITH {_RISK} SELECT item_id, word, uses, round(score, 6) AS score FROM scores""")
 
+add("latest_word_scores", "W2", lambda s, d: risk.latest_word_scores(gold_series(s, d)), f"""
+WITH {_RISK} SELECT word, round(score, 6) AS score FROM latest""")
+
 add("sentence_risk", "A37", lambda s, d: risk.sentence_risk(_sentence_scores(s, d), "item_id"), f"""
 WITH {_RISK}
 SELECT item_id, round(avg_score, 6) AS avg_score, round(neg_frac, 6) AS neg_frac,

@@ -437,7 +437,8 @@ def test_rollup_weeks_start_on_monday(spark):
 def test_sentence_risk(spark):
     sentences = spark.createDataFrame([(1, "Good, good bad!"), (2, "unknown")], "id INT, text STRING")
     latest = spark.createDataFrame([("Good", 1, 0.9), ("good", 2, 0.5), ("BAD", 1, -0.3)], "word STRING, time_range INT, avg_vader_sentiment_score DOUBLE")
-    scored = risk.score_sentences(sentences, risk.latest_word_scores(latest), "id", "text")
+    assert rows(risk.latest_word_scores(latest), "word", "score") == [("bad", -0.3), ("good", 0.5)]
+    scored = risk.score_sentences(sentences, latest, "id", "text")
     assert rows(scored, "id", "word", "uses", "score") == [(1, "bad", 1, -0.3), (1, "good", 2, 0.5), (2, "unknown", 1, 0.0)]
     got = risk.decide(risk.sentence_risk(scored, "id")).orderBy("id").collect()
     assert got[0]["avg_score"] == pytest.approx(0.7 / 3) and got[0]["neg_frac"] == pytest.approx(1 / 3)

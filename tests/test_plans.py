@@ -44,10 +44,11 @@ def test_words_are_combined_before_the_shuffle(spark):
     assert plan.index("HashAggregate") < plan.index("partial_count") and "Generate explode" in plan
 
 
-def test_month_cells_are_aggregated_once(spark):
-    frame = words.sentiment_heatmap(inputs.scored(spark, FOLDER))
-    frame.collect()
-    assert "ReusedExchange" in plan_of(frame)
+@pytest.mark.parametrize("name", ["sentiment_heatmap", "dying_trends", "saturation_timeline", "word_timeline_top"])
+def test_texts_are_read_once(spark, name):
+    """Ranking words and giving their series must not tokenize twice."""
+    plan = registry()[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
 
 
 def test_top_k_is_not_a_full_sort(spark):
