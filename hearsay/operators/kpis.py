@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hearsay.functions.scores import sign_label
 from hearsay.functions.vocab import (
     FOLLOW_COLLECTION, LIKE_COLLECTION, MEDIA_LABELS, POST_COLLECTION,
 )
-from hearsay.operators.ranks import share
 
 IS_COMMENT = "post_type = 'comment'"
 IS_POST = "post_type != 'comment'"
@@ -60,8 +60,11 @@ def daily_series(facts: DataFrame) -> DataFrame:
 
 
 def _split(df: DataFrame, label: Column) -> DataFrame:
+    """Rows and percentage per label. The total is taken over the counts (a handful of
+    labels, so the window has a handful of rows) and the data is read once."""
     counts = df.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("value"))
-    return share(counts, "value")
+    total = F.sum("value").over(Window.partitionBy())
+    return counts.withColumn("percent", F.col("value") * 100.0 / total)
 
 
 def type_split(facts: DataFrame) -> DataFrame:

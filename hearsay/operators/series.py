@@ -143,7 +143,8 @@ def series_for_top(series: DataFrame, top: DataFrame, key: str, k: int) -> DataF
 
 def popular_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame:
     """The n most used words in a range with their series."""
-    in_range = between_ts(series, "time_range", low, high)
+    # The join below filters null words; doing it here lets both sides share one scan.
+    in_range = between_ts(series.filter(F.col("word").isNotNull()), "time_range", low, high)
     totals = in_range.groupBy("word").agg(F.sum("word_count").alias("total_count"))
     top = top_k(totals, "total_count", n, "word")
     points = in_range.join(F.broadcast(top), "word")

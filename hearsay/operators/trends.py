@@ -32,7 +32,7 @@ def frequent_words(scored: DataFrame, k: int) -> DataFrame:
     return top_k(word_counts(scored, F.array_distinct("tokens"), "mentions"), "mentions", k, "word")
 
 
-def _daily_grid(scored: DataFrame, k: int, day: str) -> DataFrame:
+def daily_grid(scored: DataFrame, k: int, day: str) -> DataFrame:
     """Daily counts of the k most frequent words, dense over the days that have a post."""
     top = top_series(word_day_counts(scored, day), "word", "bucket", ["count"], k, "count")
     days = scored.select(F.col(day).alias("bucket"))
@@ -49,7 +49,7 @@ def word_timeline(
         )
         series = day_counts.select(F.lit(word.strip().lower()).alias("word"), "bucket", "count")
     else:
-        series = _daily_grid(scored, k, day)
+        series = daily_grid(scored, k, day)
     return _with_total(series)
 
 
@@ -65,7 +65,7 @@ def trend_figures(scored: DataFrame, pool: int = 25, day: str = "created_date")
     A series has one point per day that has any post, numbered from 0. Windows are per
     word and there are at most ``pool`` of those.
     """
-    grid = _daily_grid(scored, pool, day)
+    grid = daily_grid(scored, pool, day)
     by_word = Window.partitionBy("word")
     placed = (
         grid.withColumn("i", F.row_number().over(by_word.orderBy("bucket")) - 1)
@@ -129,7 +129,7 @@ def declining_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame
 
     Words with one point have no slope and come last.
     """
-    in_range = between_ts(series, "time_range", low, high)
+    in_range = between_ts(series.filter(F.col("word").isNotNull()), "time_range", low, high)
     slopes = in_range.groupBy("word").agg(
         exact_slope(epoch_seconds("time_range"), F.col("word_count")).alias("slope")
     )

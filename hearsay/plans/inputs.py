@@ -39,10 +39,9 @@ def rows_of(df: DataFrame) -> Column:
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = widen(table(spark, folder, "documents"), "doc_id")
-    events = table(spark, folder, "events")
+    documents, events = table(spark, folder, "documents"), table(spark, folder, "events")
     stride = F.floor(rows_of(events) / rows_of(documents))
-    keyed = documents.withColumn("event_id", F.col("doc_id") * stride)
+    keyed = widen(documents, "doc_id").withColumn("event_id", F.col("doc_id") * stride)
     return keyed.join(events, "event_id").select(
         F.col("doc_id").alias("post_id"),
         F.col("user_id").alias("did"),

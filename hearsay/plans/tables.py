@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.text import tokens_clean
 from hearsay.functions.vocab import default_stopwords
-from hearsay.operators import drift, keys, kpis, ranks, risk, series, words
-from hearsay.operators.filters import known_collections
+from hearsay.operators import drift, keys, kpis, ranks, risk, series, trends, words
+from hearsay.operators.filters import drop_stopwords, known_collections
+from hearsay.operators.grids import zero_fill
 from hearsay.plans.inputs import (
     ALL_FACTS, FACTS, FEED, GOOD, HIGH, INGESTION, LOW, POOR, POSTS, SCORED, SERIES, STATS,
     clean_sql, day_text, english_scored, facts, facts_with_comments, feed, gold_series, posts,
@@ -156,17 +157,18 @@ dense AS (
   LEFT JOIN post_words p ON p.word = t.word AND p.created_date = b.bucket GROUP BY 1, 2)"""
 
 
-def _dense(s, d):
-    from hearsay.operators.grids import zero_fill
-    from hearsay.operators.trends import frequent_words
-
+def _filled(s, d):
     titles = scored(s, d)
     days = titles.select(F.col("created_date").alias("bucket"))
-    return zero_fill(words.word_day_counts(titles), frequent_words(titles, 20), days,
+    return zero_fill(words.word_day_counts(titles), trends.frequent_words(titles, 20), days,
                      "word", "bucket", ["count"], 20)
 
 
-add("zero_filled", "J7", _dense, f"""
+def _dense(s, d):
+    return trends.daily_grid(scored(s, d), 20, "created_date")
+
+
+add("zero_filled", "J7", _filled, f"""
 WITH {_DENSE} SELECT word, {day_text('bucket')} AS bucket, count FROM dense""")
 
 add("peak_smoothed", "W6", lambda s, d: series.peak_smooth(_dense(s, d), "word", "bucket", "count"),
@@ -521,8 +523,6 @@ WITH {SERIES}
 SELECT word, CAST(sum(word_count) AS BIGINT) AS uses FROM series
 WHERE word NOT IN {sql_list(GOOD)} GROUP BY 1""")
 def _rewritten(s, d):
-    from hearsay.operators.filters import drop_stopwords
-
     path = shared_path(s, "rewrite")
     sinks.write_table(gold_series(s, d), path, "overwrite")
     table_now = sinks.rewrite_table(s, path, lambda df: drop_stopwords(df, "word", GOOD))
