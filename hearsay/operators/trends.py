@@ -34,8 +34,11 @@ def frequent_words(scored: DataFrame, k: int) -> DataFrame:
 
 def daily_grid(scored: DataFrame, k: int, day: str) -> DataFrame:
     """Daily counts of the k most frequent words, dense over the days that have a post."""
-    top = top_series(word_day_counts(scored, day), "word", "bucket", ["count"], k, "count")
-    days = scored.select(F.col(day).alias("bucket"))
+    return dense_top(word_day_counts(scored, day), scored.select(F.col(day).alias("bucket")), k)
+
+
+def dense_top(points: DataFrame, days: DataFrame, k: int) -> DataFrame:
+    top = top_series(points, "word", "bucket", ["count"], k, "count")
     return dense_series(top, days, "word", "bucket", ["count"])
 
 
@@ -50,10 +53,10 @@ def word_timeline(
         series = day_counts.select(F.lit(word.strip().lower()).alias("word"), "bucket", "count")
     else:
         series = daily_grid(scored, k, day)
-    return _with_total(series)
+    return with_total(series)
 
 
-def _with_total(series: DataFrame) -> DataFrame:
+def with_total(series: DataFrame) -> DataFrame:
     """Adds the sum over the few words of each day."""
     total = F.sum("count").over(Window.partitionBy("bucket"))
     return series.withColumn("total", total)
@@ -65,7 +68,11 @@ def trend_figures(scored: DataFrame, pool: int = 25, day: str = "created_date")
     A series has one point per day that has any post, numbered from 0. Windows are per
     word and there are at most ``pool`` of those.
     """
-    grid = daily_grid(scored, pool, day)
+    return figures(daily_grid(scored, pool, day))
+
+
+def figures(grid: DataFrame) -> DataFrame:
+    """The shape of each word's series in a dense grid."""
     by_word = Window.partitionBy("word")
     placed = (
         grid.withColumn("i", F.row_number().over(by_word.orderBy("bucket")) - 1)
@@ -89,8 +96,9 @@ def trend_figures(scored: DataFrame, pool: int = 25, day: str = "created_date")
     )
 
 
-def _dying(scored: DataFrame, pool: int, k: int, day: str) -> DataFrame:
-    dying = (
+def dying(found: DataFrame, k: int) -> DataFrame:
+    """Of the ``figures``, the k steepest that are past their peak."""
+    past = (
         (F.col("n") >= 3)
         & (F.col("peak") >= 3)
         & (F.col("peak_at") <= F.col("n") - 3)
@@ -99,29 +107,37 @@ def _dying(scored: DataFrame, pool: int, k: int, day: str) -> DataFrame:
         & (F.col("late") < F.col("early") * 0.85)
     )
     ratio = F.when(F.col("peak") > 0, F.col("latest") / F.col("peak")).otherwise(0.0)
-    found = trend_figures(scored, pool, day).filter(dying)
     return (
-        found.withColumn("saturation_ratio", ratio)
+        found.filter(past)
+        .withColumn("saturation_ratio", ratio)
         .orderBy("slope", "saturation_ratio", "topic")
         .limit(k)
     )
 
 
+def summary(trends: DataFrame) -> DataFrame:
+    return trends.select(
+        "topic", "slope", "latest", "peak", "saturation_ratio", F.lit("dying").alias("status")
+    )
+
+
+def timeline(trends: DataFrame) -> DataFrame:
+    """The series that the figures carry, with the day's total."""
+    return with_total(trends.select(F.col("topic").alias("word"), F.inline("series")))
+
+
 def dying_trends(
     scored: DataFrame, pool: int = 25, k: int = 8, day: str = "created_date"
 ) -> DataFrame:
     """Frequent words past their peak, steepest decline first."""
-    return _dying(scored, pool, k, day).select(
-        "topic", "slope", "latest", "peak", "saturation_ratio", F.lit("dying").alias("status")
-    )
+    return summary(dying(trend_figures(scored, pool, day), k))
 
 
 def saturation_timeline(
     scored: DataFrame, words: int = 3, pool: int = 25, day: str = "created_date"
 ) -> DataFrame:
     """Daily series of the first few dying trends with the day's total."""
-    dying = _dying(scored, pool, words, day)
-    return _with_total(dying.select(F.col("topic").alias("word"), F.inline("series")))
+    return timeline(dying(trend_figures(scored, pool, day), words))
 
 
 def declining_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame:

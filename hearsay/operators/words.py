@@ -101,18 +101,25 @@ def sentiment_heatmap(scored: DataFrame, k: int = 8, day: str = "created_date")
     cells = words.groupBy("word", "bucket").agg(
         F.count(F.lit(1)).alias("count"), F.avg("sentiment").alias("avg_sentiment")
     )
+    return heatmap(cells, scored.select(month_key(day).alias("bucket")), k)
+
+
+def heatmap(cells: DataFrame, months: DataFrame, k: int = 8) -> DataFrame:
     values = ["count", "avg_sentiment"]
     topics = top_series(cells, "word", "bucket", values, k, "count")
-    months = scored.select(month_key(day).alias("bucket"))
     return dense_series(topics, months, "word", "bucket", values).withColumnRenamed("word", "topic")
 
 
 def controversial_words(scored: DataFrame, pool: int = 12, k: int = 8) -> DataFrame:
     """Of the most frequent words, those whose posts draw most comments per point."""
-    stats = word_stats(scored).select(
+    return rank_controversial(word_stats(scored), pool, k)
+
+
+def rank_controversial(stats: DataFrame, pool: int = 12, k: int = 8) -> DataFrame:
+    named = stats.select(
         "topic", "mentions", F.col("avg_controversy").alias("controversy_score")
     )
-    return pool_top_k(stats, "mentions", pool, rank_key("controversy_score"), k, "topic")
+    return pool_top_k(named, "mentions", pool, rank_key("controversy_score"), k, "topic")
 
 
 def _relative(column: str) -> Column:
@@ -126,7 +133,13 @@ def best_topics(
     scored: DataFrame, pool: int = 60, min_mentions: int = 5, k: int = 8
 ) -> DataFrame:
     """Frequent words in a positive setting that draw interest."""
-    candidates = top_k(word_stats(scored), "mentions", pool, "topic").filter(
+    return rank_best(word_stats(scored), pool, min_mentions, k)
+
+
+def rank_best(
+    stats: DataFrame, pool: int = 60, min_mentions: int = 5, k: int = 8
+) -> DataFrame:
+    candidates = top_k(stats, "mentions", pool, "topic").filter(
         (F.col("mentions") >= min_mentions) & (F.col("avg_sentiment") > 0)
     )
     score = (
@@ -145,12 +158,18 @@ def avoid_topics(
     scored: DataFrame, pool: int = 80, min_mentions: int = 5, k: int = 8
 ) -> DataFrame:
     """Frequent words in a negative or disputed setting."""
+    return rank_avoid(word_stats(scored), pool, min_mentions, k)
+
+
+def rank_avoid(
+    stats: DataFrame, pool: int = 80, min_mentions: int = 5, k: int = 8
+) -> DataFrame:
     harmless = (
         (F.col("avg_sentiment") >= 0)
         & (F.col("negative_rate") < 0.03)
         & (F.col("avg_controversy") < 0.5)
     )
-    candidates = top_k(word_stats(scored), "mentions", pool, "topic").filter(
+    candidates = top_k(stats, "mentions", pool, "topic").filter(
         (F.col("mentions") >= min_mentions) & ~harmless
     )
     score = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import tokens_alpha, tokens_clean
-from hearsay.operators import kpis, series, trends, words
+from hearsay.operators import insights, kpis, series, trends, words
 from hearsay.operators.filters import known_collections, posts_only
 from hearsay.operators.snapshots import snapshot_tables
 from hearsay.plans.inputs import (
@@ -458,3 +458,68 @@ WITH {POSTS}
 SELECT row_number() OVER (ORDER BY count(*) DESC, source) AS rank, source AS label,
        count(*) AS value, 7::BIGINT AS run_id
 FROM posts GROUP BY source ORDER BY count(*) DESC, source LIMIT 10""")
+
+
+@query("feature_insights", "A11 A12 A13 A14 A15 A16 A17 A18", f"""
+WITH {_trend_sql(25)}, stats AS (
+  SELECT word AS topic, count(*) AS mentions, avg(sentiment) AS avg_sentiment,
+         avg(ups + num_comments + greatest(score, 0)) AS avg_engagement,
+         avg(num_comments / (abs(score) + 1)) AS avg_controversy,
+         avg(CASE WHEN sentiment > 0 THEN 1.0 ELSE 0.0 END) AS positive_rate,
+         avg(CASE WHEN sentiment < 0 THEN 1.0 ELSE 0.0 END) AS negative_rate
+  FROM post_words GROUP BY word),
+hot AS (SELECT * FROM (SELECT * FROM stats ORDER BY mentions DESC, topic LIMIT 12)
+        ORDER BY round(avg_controversy, 9) DESC, topic LIMIT 8),
+chances AS (SELECT * FROM (SELECT * FROM stats ORDER BY mentions DESC, topic LIMIT 60)
+            WHERE mentions >= 5 AND avg_sentiment > 0),
+best AS (SELECT topic, avg_sentiment * 0.55::DOUBLE + avg_engagement / (SELECT coalesce(nullif(
+           max(avg_engagement), 0), 1) FROM chances) * 0.30::DOUBLE + positive_rate * 0.15::DOUBLE
+           AS score FROM chances),
+risks AS (SELECT * FROM (SELECT * FROM stats ORDER BY mentions DESC, topic LIMIT 80)
+          WHERE mentions >= 5
+          AND NOT (avg_sentiment >= 0 AND negative_rate < 0.03 AND avg_controversy < 0.5)),
+shun AS (SELECT topic, greatest(-avg_sentiment, 0) * 0.45::DOUBLE + negative_rate * 0.30::DOUBLE
+           + avg_controversy / (SELECT coalesce(nullif(max(avg_controversy), 0), 1) FROM risks)
+           * 0.25::DOUBLE AS score FROM risks)
+SELECT 'controversial_topics' AS part, topic AS label, round(avg_controversy, 6) AS value FROM hot
+UNION ALL SELECT 'best_topics_to_post', topic, round(score, 6) FROM (
+  SELECT * FROM best ORDER BY round(score, 9) DESC, topic LIMIT 8)
+UNION ALL SELECT 'topics_to_avoid', topic, round(score, 6) FROM (
+  SELECT * FROM shun ORDER BY round(score, 9) DESC, topic LIMIT 8)
+UNION ALL SELECT 'trend_summary', topic, round(slope, 6) FROM (
+  SELECT * FROM dying ORDER BY slope, ratio, topic LIMIT 8)
+UNION ALL SELECT 'sentiment_kpis', 'avg_sentiment', round(avg(sentiment), 6) FROM scored
+UNION ALL SELECT 'sentiment_timeline', {day_text('created_date')}, round(avg(sentiment), 6)
+FROM scored GROUP BY 2
+UNION ALL SELECT 'word_popularity', word, sum(v) FROM (
+  SELECT word, v FROM grid WHERE word IN (
+    SELECT word FROM post_words GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)) GROUP BY 2
+UNION ALL SELECT 'topic_sentiment_heatmap', word, round(avg(sentiment), 6) FROM post_words
+WHERE word IN (SELECT word FROM post_words GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 8)
+GROUP BY 2""")
+def _insights(s, d):
+    """Parts of the report as rows; the tables hold one month, so the heat map has one
+    column per topic."""
+    report = insights.feature_insights(facts(s, d), positive=GOOD, negative=POOR)
+
+    def rows(part, label, value):
+        return report[part].select(
+            F.lit(part).alias("part"), label.alias("label"), value.cast("double").alias("value"))
+
+    topic = F.col("topic")
+    popular = report["word_popularity"].groupBy("word").agg(F.sum("count").alias("count"))
+    parts = [
+        rows("controversial_topics", topic, F.col("controversy_score")),
+        rows("best_topics_to_post", topic, F.col("opportunity_score")),
+        rows("topics_to_avoid", topic, F.col("avoid_score")),
+        rows("trend_summary", topic, F.col("slope")),
+        rows("sentiment_kpis", F.lit("avg_sentiment"), F.col("avg_sentiment")),
+        rows("sentiment_timeline", F.date_format("bucket", "yyyy-MM-dd"), F.col("avg_sentiment")),
+        popular.select(F.lit("word_popularity").alias("part"), F.col("word").alias("label"),
+                       F.col("count").cast("double").alias("value")),
+        rows("topic_sentiment_heatmap", topic, F.col("avg_sentiment")),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole

@@ -16,26 +16,33 @@ from hearsay.plans.inputs import POSTS, posts, sql_list, table
 from hearsay.plans.registry import add, query
 
 
-def vowel_share():
-    """A stand-in scorer: the share of the letter e."""
-    return lambda texts: [text.count("e") / max(len(text), 1) for text in texts]
+def _stand_ins():
+    """A scorer, a classifier and an encoder. They are made inside a function so that they
+    travel to the workers by value: this module need not be installed there."""
 
+    def vowel_share():
+        """The share of the letter e."""
+        return lambda texts: [text.count("e") / max(len(text), 1) for text in texts]
 
-def letter_contest():
-    """A stand-in classifier: which of a and e is more frequent, and by how much."""
+    def letter_contest():
+        """Which of a and e is more frequent, and by how much."""
 
-    def judge(text):
-        a, e = text.count("a"), text.count("e")
-        label = "POSITIVE" if a > e else "NEGATIVE" if e > a else "NEUTRAL"
-        return label, abs(a - e) / max(a + e, 1)
+        def judge(text):
+            a, e = text.count("a"), text.count("e")
+            label = "POSITIVE" if a > e else "NEGATIVE" if e > a else "NEUTRAL"
+            return label, abs(a - e) / max(a + e, 1)
 
-    return lambda texts: [judge(text) for text in texts]
+        return lambda texts: [judge(text) for text in texts]
 
+    def letter_counts():
+        """How often each letter stands in the text."""
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        return lambda texts: [[float(text.count(c)) for c in letters] for text in texts]
 
-def letter_counts():
-    """A stand-in encoder: how often each letter stands in the text."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return lambda texts: [[float(text.count(letter)) for letter in letters] for text in texts]
+    return vowel_share, letter_contest, letter_counts
+
+
+vowel_share, letter_contest, letter_counts = _stand_ins()
 
 
 def _uses(letter: str) -> str:

@@ -518,6 +518,17 @@ def _csv(s, d):
     ).option("header", True).csv(path)
 
 
+@query("refreshed_table", "S13 F10", f"""
+WITH {POSTS} SELECT post_id, source || '!' AS source, md5(text) AS digest FROM posts""")
+def _refreshed(s, d):
+    """A table that is loaded in full a second time; the first load is gone."""
+    path = shared_path(s, "refresh")
+    rows = posts(s, d).select("post_id", "source", "text")
+    sinks.refresh_table(rows.withColumn("source", F.lit("old")), path)
+    sinks.refresh_table(rows.withColumn("source", F.concat("source", F.lit("\u0000!"))), path)
+    return s.read.parquet(path).select("post_id", "source", F.md5("text").alias("digest"))
+
+
 @query("rewritten_table", "S16 P14", f"""
 WITH {SERIES}
 SELECT word, CAST(sum(word_count) AS BIGINT) AS uses FROM series

@@ -85,6 +85,11 @@ def publish_table(
     )
 
 
+def refresh_table(df: DataFrame, path: str) -> None:
+    """Full refresh of a Parquet table, cleaned as for a SQL store."""
+    write_table(clean_text_columns(df), path, "overwrite")
+
+
 def append_to_sql(df: DataFrame, url: str, table: str, **properties: str) -> None:
     clean_text_columns(df).write.mode("append").jdbc(url, table, properties=properties)
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hearsay.operators import (
-    drift, facts, filters, grids, keys, kpis, pairs, ranks, risk, series, snapshots, trends,
+    drift, facts, filters, grids, insights, keys, kpis, pairs, ranks, risk, series, snapshots, trends,
     valence, words,
 )
 from hearsay.functions.vocab import NEGATIONS
@@ -490,3 +490,42 @@ def test_snapshots(spark, titles):
     assert set(tables) == {"kpis", "content_split", "top_keywords", "timeline", "top_communities"}
     assert [r["rank"] for r in tables["top_keywords"].orderBy("rank").collect()] == [1, 2, 3, 4]
     assert {r["run_id"] for t in tables.values() for r in t.collect()} == {3}
+
+
+def test_insights_agree_with_the_single_operators(spark, titles):
+    data, scored = titles
+    frame = scored.drop("tokens", "sentiment").withColumns({"year": F.year("created_date"), "month": F.month("created_date")})
+    report = insights.feature_insights(frame, positive=GOOD, negative=BAD)
+    alone = {
+        "sentiment_kpis": kpis.sentiment_kpis(scored),
+        "sentiment_timeline": kpis.sentiment_timeline(scored),
+        "word_popularity": trends.word_timeline(scored),
+        "topic_sentiment_heatmap": words.sentiment_heatmap(scored),
+        "controversial_topics": words.controversial_words(scored),
+        "best_topics_to_post": words.best_topics(scored),
+        "topics_to_avoid": words.avoid_topics(scored),
+        "trend_summary": trends.dying_trends(scored),
+        "trend_saturation": trends.saturation_timeline(scored),
+    }
+    for name, want in alone.items():
+        columns = sorted(want.columns)
+        assert sorted(report[name].columns) == columns
+        close(rows(report[name], *columns), rows(want, *columns))
+    assert report["trend_series"].select("word").distinct().count() == report["trend_summary"].count()
+    february = insights.feature_insights(frame, 2025, "2", "cat", GOOD, BAD)
+    assert rows(february["word_popularity"], "word", "bucket", "count", "total") == rows(
+        trends.word_timeline(scored.filter(F.month("created_date") == 2), "cat"), "word", "bucket", "count", "total")
+
+
+def test_overviews(spark, titles):
+    data, scored = titles
+    frame = scored.withColumns({"year": F.year("created_date"), "month": F.month("created_date"), "downs": F.lit(0.0), "engagement": F.col("ups"), "controversiality": F.lit(1)})
+    forum = insights.forum_overview(frame, 2025, "1")
+    assert forum["kpis"].first()["total_posts"] + forum["kpis"].first()["total_comments"] < 360
+    assert rows(forum["available_years"], "year") == [(2025,)]
+    remarks = insights.comments_overview(frame)
+    assert remarks["kpis"].first()["controversial_percent"] == 100.0
+    events = spark.createDataFrame([("app.bsky.feed.post", "2025-01-01", "sky high", "text"), ("app.bsky.feed.like", "2025-01-02", None, None), ("x", "2025-01-03", None, None)], "c STRING, t STRING, text STRING, m STRING").withColumn("at", F.col("t").cast("timestamp_ntz"))
+    feed = insights.feed_overview(events, "at", "c", "text", "m")
+    assert tuple(feed["kpis"].select("total_posts", "total_likes", "total_engagement", "active_days").first()) == (1, 1, 2, 2)
+    assert rows(feed["top_keywords"], "word") == [("high",), ("sky",)]
