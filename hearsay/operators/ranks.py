@@ -155,15 +155,41 @@ def global_ranks(
 
 
 def running_total(
-    df: DataFrame, partition: str | list[str], order: str, value: str, out: str = "running_sum"
+    df: DataFrame, partition: str | list[str], order: list[str], value: str,
+    out: str = "running_sum",
 ) -> DataFrame:
-    """Running sum within each partition key, in ``order``."""
+    """Running sum within each partition key; ``order`` names columns that make the order
+    total.
+
+    Rows are range-partitioned by key and order, so a key that holds a large share of them
+    lies in several tasks. Keys cut by a border get the sum of their earlier parts: that is
+    less than one row per range partition, hence the broadcast.
+    """
+    keys = [partition] if isinstance(partition, str) else list(partition)
+    ranged = _ranged(df, [F.col(name).asc() for name in (*keys, *order)])
+    parts = ranged.groupBy("__part", *keys).agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    first = Window.partitionBy(*keys).orderBy("__part")
+    cut = (
+        parts.withColumn("__before", F.sum("__sum").over(earlier))
+        .withColumn("__place", F.row_number().over(first))
+        .filter(F.col("__place") > 1)
+        .select(F.col("__part").alias("__at"), "__before",
+                *[F.col(key).alias(f"__key_{key}") for key in keys])
+    )
+    same = F.col("__part") == F.col("__at")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"__key_{key}"))
+    joined = ranged.join(F.broadcast(cut), same, "left")
     window = (
-        Window.partitionBy(partition)
-        .orderBy(order)
+        Window.partitionBy("__part", *keys)
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return df.withColumn(out, F.sum(value).over(window))
+    running = F.sum(value).over(window) + F.coalesce("__before", F.lit(0))
+    return joined.withColumn(out, running).select(*df.columns, out)
 
 
 def share(df: DataFrame, value: str, out: str = "percent", scale: float = 100.0) -> DataFrame:

@@ -282,7 +282,7 @@ add("total_beside_rows", "W4",
 WITH e AS ({_EVENTS}) SELECT *, CAST(sum(k) OVER () AS BIGINT) AS total FROM e""")
 
 add("running_totals", "W5",
-    lambda s, d: ranks.running_total(_k_events(s, d), "user_id", "event_id", "k"), f"""
+    lambda s, d: ranks.running_total(_k_events(s, d), "user_id", ["event_id"], "k"), f"""
 WITH e AS ({_EVENTS})
 SELECT *, CAST(sum(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)
                AS BIGINT) AS running_sum FROM e""")

@@ -99,19 +99,40 @@ def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_hourly(
-    df: DataFrame, ts: Column | str, path: str, fmt: str = "json", files_per_hour: int = 8
+def write_parted(
+    df: DataFrame,
+    columns: list[str],
+    path: str,
+    fmt: str = "json",
+    mode: str = "append",
+    rows_per_file: int = 1_000_000,
 ) -> None:
-    """Raw capture by date and hour.
+    """Write a folder per value of ``columns``, in as many files as its rows ask for.
 
-    Rows go to up to ``files_per_hour`` files per hour by a hash of the row, so the files
-    stay few and a busy hour is still written by several tasks.
+    Rows are counted per folder first; a folder with many rows is written by many tasks,
+    one with few by one. The salt is a hash of the row and of its input partition: a retry
+    computes it again, and copies of a row are spread as widely as they were read.
     """
+    counts = df.groupBy(*[F.col(name).alias(f"__of_{name}") for name in columns]).agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__files")
+    )
+    salted = df.withColumn("__salt", F.xxhash64(*df.columns, F.spark_partition_id()))
+    same = F.lit(True)
+    for name in columns:
+        same = same & F.col(name).eqNullSafe(F.col(f"__of_{name}"))
+    sized = salted.join(counts, same)
+    spread = sized.repartition(*columns, F.pmod("__salt", "__files")).select(*df.columns)
+    writer = spread.write.mode(mode).partitionBy(*columns)
+    writer.option("maxRecordsPerFile", rows_per_file).format(fmt).save(path)
+
+
+def write_hourly(
+    df: DataFrame, ts: Column | str, path: str, fmt: str = "json", rows_per_file: int = 1_000_000
+) -> None:
+    """Raw capture by date and hour."""
     at = F.col(ts) if isinstance(ts, str) else ts
-    rows = [F.col(name) for name in df.columns]
     dated = df.withColumn("date", F.to_date(at)).withColumn("hour", F.hour(at))
-    spread = dated.repartition("date", "hour", F.pmod(F.xxhash64(*rows), F.lit(files_per_hour)))
-    spread.write.mode("append").partitionBy("date", "hour").format(fmt).save(path)
+    write_parted(dated, ["date", "hour"], path, fmt, rows_per_file=rows_per_file)
 
 
 def rewrite_table(

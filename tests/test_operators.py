@@ -139,6 +139,22 @@ def test_global_ranks_equal_brute_force(skewed, descending):
     assert rows(got, "id", "rank", "dense_rank", "range_sum") == sorted(want)
 
 
+def test_running_total_of_a_hot_key(skewed):
+    data, frame = skewed
+    want, sums = [], Counter()
+    for i, v, n in sorted(data):
+        sums[v] += n
+        want.append((i, sums[v]))
+    got = ranks.running_total(frame, "v", ["id"], "n")
+    assert rows(got, "id", "running_sum") == want
+    hollow = frame.withColumn("v", F.when(F.col("v") != 5, F.col("v")))
+    sums, want = Counter(), []
+    for i, v, n in sorted(data):
+        sums[None if v == 5 else v] += n
+        want.append((i, sums[None if v == 5 else v]))
+    assert rows(ranks.running_total(hollow, "v", ["id"], "n"), "id", "running_sum") == want
+
+
 def test_top_k_ties_and_nulls(spark):
     frame = spark.createDataFrame([("b", 2), ("a", 2), ("c", None), ("d", 3)], "w STRING, n INT")
     assert [r["w"] for r in ranks.top_k(frame, "n", 3, "w").collect()] == ["d", "a", "b"]

@@ -86,12 +86,20 @@ def test_csv_has_a_header_and_the_asked_order(spark, tmp_path):
 
 
 def test_hourly_files(spark, tmp_path):
-    frame = spark.range(400).select("id", F.timestamp_seconds(F.lit(1_735_689_600) + F.col("id") * 30).alias("at"))
+    """A hot hour of copies is cut into several files, quiet hours have one."""
+    quiet = spark.range(30).select(F.timestamp_seconds(F.lit(1_735_689_600) + F.col("id") * 360).alias("at"))
+    hot = spark.range(500).select(F.timestamp_seconds(F.lit(1_735_689_600)).alias("at"))
     path = str(tmp_path / "hourly")
-    sinks.write_hourly(frame, "at", path, files_per_hour=2)
+    undated = spark.range(2).select(F.lit(None).cast("timestamp").alias("at"))
+    sinks.write_hourly(quiet.union(hot).union(undated).repartition(24), "at", path, rows_per_file=100)
     out = spark.read.json(path)
-    assert out.count() == 400 and out.select("date", "hour").distinct().count() == 4
-    assert 4 <= len(out.inputFiles()) <= 8
+    assert out.filter("hour IS NULL").count() == 2
+    out = out.filter("hour IS NOT NULL")
+    assert out.count() == 530 and out.select("date", "hour").distinct().count() == 3
+    files = out.groupBy("hour", F.input_file_name().alias("file")).count().collect()
+    per_hour = {hour: [f["count"] for f in files if f["hour"] == hour] for hour in (0, 1, 2)}
+    assert len(per_hour[0]) >= 5 and max(per_hour[0]) <= 100
+    assert len(per_hour[1]) == len(per_hour[2]) == 1
 
 
 def test_nul_characters_leave_text_columns_only(spark):
