@@ -38,6 +38,11 @@ def iso_ts(text: Column | str) -> Column:
     return F.try_to_timestamp(as_col(text))
 
 
+def iso_utc(text: Column | str) -> Column:
+    """ISO-8601 text (with its offset) to a zone-free UTC time; null when it does not parse."""
+    return micros_ts(F.unix_micros(iso_ts(text)))
+
+
 def iso_text(ts: Column | str) -> Column:
     return F.date_format(as_col(ts), "yyyy-MM-dd'T'HH:mm:ss")
 

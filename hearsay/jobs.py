@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.scores import wordlist_sentiment
 from hearsay.functions.text import lang_only, tokens_alpha
-from hearsay.functions.times import micros_ts
+from hearsay.functions.times import iso_utc, micros_ts
 from hearsay.functions.values import post_uri, root_author
 from hearsay.operators.filters import created_posts
 from hearsay.operators.series import (
@@ -44,8 +44,8 @@ def hydrated_posts(posts: DataFrame) -> DataFrame:
         record["langs"].alias("langs"),
         F.col("likeCount").alias("like_count"),
         F.col("replyCount").alias("reply_count"),
-        F.try_to_timestamp(record["createdAt"]).alias("created"),
-        F.try_to_timestamp("indexedAt").alias("indexed"),
+        iso_utc(record["createdAt"]).alias("created"),
+        iso_utc("indexedAt").alias("indexed"),
     )
 
 
@@ -70,7 +70,7 @@ def series_tables(
     return {
         "word_time_series": word_series(spoken, width=width),
         "ingestion_metrics_timeline": ingestion_metrics(
-            labelled(events, F.timestamp_micros("time_us"), "firehose"),
+            labelled(events, micros_ts("time_us"), "firehose"),
             labelled(hydrated, "created", "getPosts_endpoint"),
             width=width,
         ),

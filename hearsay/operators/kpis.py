@@ -226,7 +226,7 @@ def mention_split(df: DataFrame, text: str, word: str) -> DataFrame:
 def texts_by_author(
     df: DataFrame, author: str, text: str, order: str, per_part: int = 10_000
 ) -> DataFrame:
-    """Texts of each author as lists, in ``order``.
+    """Texts of each author as lists, in ``order`` (a unique column).
 
     A list cannot grow with the largest author: one with more than ``per_part`` texts is
     spread over several rows (``part`` 0, 1, ...) of about that many texts each. All texts
@@ -236,9 +236,10 @@ def texts_by_author(
     sizes = posts.groupBy(author).agg(F.count(F.lit(1)).alias("__n"))
     # Authors over the bound are few (at most texts / per_part); others need no lookup.
     large = sizes.filter(F.col("__n") > per_part).select(
-        author, F.ceil(F.col("__n") / per_part).alias("__parts")
+        F.col(author).alias("__who"), F.ceil(F.col("__n") / per_part).alias("__parts")
     )
-    spread = posts.join(large, author, "left").withColumn(
+    same = F.col(author).eqNullSafe(F.col("__who"))
+    spread = posts.join(large, same, "left").withColumn(
         "part", F.pmod(F.xxhash64(order), F.coalesce("__parts", F.lit(1)))
     )
     texts = F.array_sort(F.collect_list(F.struct(order, text)))

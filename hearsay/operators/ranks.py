@@ -151,7 +151,9 @@ def global_ranks(
     ]
     if value:
         ranks.append((F.sum("__v").over(upto) + F.col("__sum")).alias("range_sum"))
-    return df.join(joined.select(order, *ranks), order)
+    # Null-safe, since rows without a sort value have a rank too.
+    ranked = joined.select(F.col(order).alias("__value"), *ranks)
+    return df.join(ranked, F.col(order).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def running_total(

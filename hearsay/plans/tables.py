@@ -119,18 +119,19 @@ add("wordlist_decisions", "F20 F21 J10",
         risk.wordlist_scores(posts(s, d), "post_id", "text", GOOD, POOR), "post_id")),
     _decision_sql(_WORD_RISK, "post_id"))
 
+def _per_day(s, d, name, column):
+    days = table(s, d, name).groupBy(F.to_date(column).alias("bucket"))
+    return days.agg(F.count(F.lit(1)).alias("n"))
+
+
+# Orders and shipments overlap in time but neither covers the other.
 add("merged_timelines", "J5",
     lambda s, d: series.merge_timelines(
-        kpis.daily_series(facts_with_comments(s, d).filter(F.dayofmonth("created_date") > 5)),
-        kpis.event_daily(
-            known_collections(feed(s, d)).filter(F.dayofmonth("ts") < 25), "ts"),
-        "bucket", "total", ("forum", "feed")), f"""
-WITH {ALL_FACTS}, {FEED},
-a AS (SELECT created_date AS bucket, sum(engagement) AS forum FROM all_facts
-      WHERE day(created_date) > 5 GROUP BY 1),
-b AS (SELECT CAST(ts AS DATE) AS bucket, count(*) AS feed FROM feed
-      WHERE event_type IN ('view', 'click', 'purchase') AND day(ts) < 25 GROUP BY 1)
-SELECT {day_text('bucket')} AS bucket, coalesce(forum, 0) AS forum, coalesce(feed, 0) AS feed
+        _per_day(s, d, "orders", "o_orderdate"), _per_day(s, d, "lineitem", "l_shipdate"),
+        "bucket", "n", ("ordered", "shipped")), f"""
+WITH a AS (SELECT CAST(o_orderdate AS DATE) AS bucket, count(*) AS ordered FROM orders GROUP BY 1),
+b AS (SELECT CAST(l_shipdate AS DATE) AS bucket, count(*) AS shipped FROM lineitem GROUP BY 1)
+SELECT {day_text('bucket')} AS bucket, coalesce(ordered, 0) AS ordered, coalesce(shipped, 0) AS shipped
 FROM a FULL JOIN b USING (bucket)""")
 
 

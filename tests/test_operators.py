@@ -139,6 +139,12 @@ def test_global_ranks_equal_brute_force(skewed, descending):
     assert rows(got, "id", "rank", "dense_rank", "range_sum") == sorted(want)
 
 
+def test_rows_without_a_sort_value_are_ranked_too(spark):
+    frame = spark.createDataFrame([(None,), (None,), (1,), (2,)], "v INT")
+    got = ranks.global_ranks(frame, "v").select("rank", "dense_rank").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 1), (3, 2), (4, 3)]
+
+
 def test_running_total_of_a_hot_key(skewed):
     data, frame = skewed
     want, sums = [], Counter()
@@ -217,12 +223,12 @@ def test_splits_sum_to_hundred(spark):
 
 def test_texts_of_a_hot_author_are_spread_and_kept(spark):
     frame = spark.range(900).select(
-        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("who"), F.col("id").cast("string").alias("text"), "id")
+        F.when(F.col("id") % 3 != 0, F.col("id")).alias("who"), F.col("id").cast("string").alias("text"), "id")
     got = kpis.texts_by_author(frame, "who", "text", "id", per_part=50)
-    parts = got.filter("who = -1").collect()
+    parts = got.filter("who IS NULL").collect()
     assert len(parts) == 6 and max(len(p["texts"]) for p in parts) < 100
     assert sorted(t for p in parts for t in p["texts"]) == sorted(str(i) for i in range(0, 900, 3))
-    assert got.filter("who != -1 AND part != 0").count() == 0
+    assert got.filter("who IS NOT NULL AND part != 0").count() == 0
 
 
 # Words ------------------------------------------------------------------------------------------

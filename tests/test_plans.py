@@ -1,8 +1,6 @@
 """What the plans must and must not hold."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from __spark_entry__ import registry
 from hearsay.operators import series, words
 from hearsay.plans import inputs
@@ -44,6 +42,26 @@ def test_words_are_combined_before_the_shuffle(spark):
     assert plan.index("HashAggregate") < plan.index("partial_count") and "Generate explode" in plan
 
 
+def final_plan(frame):
+    """The plan that ran, without the initial plans printed beside it."""
+    frame.collect()
+    lines, hidden = [], None
+    for line in plan_of(frame).split("\n"):
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth - 1 if "== Initial Plan ==" in line else None
+        if hidden is None:
+            lines.append(line)
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("name", ["popular_words", "declining_words"])
+def test_ranking_and_series_share_an_exchange(spark, name):
+    plan = final_plan(registry()[name].run(spark, FOLDER))
+    assert plan.count("Generate explode(") == 1 and "ReusedExchange" in plan
+
+
 @pytest.mark.parametrize("name", ["sentiment_heatmap", "dying_trends", "saturation_timeline", "word_timeline_top"])
 def test_texts_are_read_once(spark, name):
     """Ranking words and giving their series must not tokenize twice."""
@@ -59,4 +77,3 @@ def test_top_k_is_not_a_full_sort(spark):
 def test_every_query_names_its_operators():
     assert all(query.items for query in registry().values())
     assert not [name for name in registry() if name.startswith("op") or name == "pipeline"]
-    assert F  # plans are made from public functions only
