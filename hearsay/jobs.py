@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.functions.scores import wordlist_sentiment
-from hearsay.functions.text import lang_only, tokens_alpha
+from hearsay.functions.text import tokens_alpha
 from hearsay.functions.times import iso_utc, micros_ts
 from hearsay.functions.values import post_uri, root_author
 from hearsay.operators.filters import created_posts
@@ -16,32 +16,40 @@ from hearsay.operators.series import (
     controversy_series, crosslink_series, ingestion_metrics, labelled, word_series,
 )
 from hearsay.schemas import FEED_EVENT, HYDRATED_POST
-from hearsay.sources.readers import read_events
+from hearsay.sources.readers import read_events, read_table
 from hearsay.sources.sinks import write_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def feed_posts(events: DataFrame) -> DataFrame:
-    """Created posts of the feed as flat rows."""
+def flat_feed(events: DataFrame) -> DataFrame:
+    """Feed events as flat rows.
+
+    ``sole_lang`` is the language of single-language records: unlike a test on the list
+    it is a plain column, so a Parquet scan can skip row groups by it.
+    """
     record = F.col("commit.record")
-    return created_posts(events).select(
+    return events.select(
         post_uri("did", "commit.collection", "commit.rkey").alias("uri"),
         "did",
         micros_ts("time_us").alias("ts"),
+        F.col("commit.collection").alias("collection"),
+        F.col("commit.operation").alias("operation"),
         record["text"].alias("text"),
         record["langs"].alias("langs"),
+        _sole(record["langs"]).alias("sole_lang"),
         root_author("commit.record.reply.root.uri").alias("root_id"),
     )
 
 
-def hydrated_posts(posts: DataFrame) -> DataFrame:
+def flat_fetched(posts: DataFrame) -> DataFrame:
     """Fetched posts as flat rows; ``created`` and ``indexed`` are null when unreadable."""
     record = F.col("record")
     return posts.select(
         "uri",
         record["text"].alias("text"),
         record["langs"].alias("langs"),
+        _sole(record["langs"]).alias("sole_lang"),
         F.col("likeCount").alias("like_count"),
         F.col("replyCount").alias("reply_count"),
         iso_utc(record["createdAt"]).alias("created"),
@@ -49,48 +57,61 @@ def hydrated_posts(posts: DataFrame) -> DataFrame:
     )
 
 
+def _sole(langs: Column) -> Column:
+    return F.when(F.size(langs) == 1, F.get(langs, 0))
+
+
 def score_by_wordlist(posts: DataFrame) -> DataFrame:
     return posts.withColumn("score", wordlist_sentiment(tokens_alpha("text")))
 
 
 def series_tables(
-    events: DataFrame,
+    feed: DataFrame,
     fetched: DataFrame,
     needle: str,
     score: Scorer = score_by_wordlist,
     lang: str = "en",
     width: str = "10 minutes",
 ) -> dict[str, DataFrame]:
-    """The four tables from the raw feed and the fetched posts.
+    """The four tables from ``flat_feed`` and ``flat_fetched`` rows.
 
     ``score`` adds a column ``score`` to posts: word lists, a valence lexicon or a model.
     """
-    posts, hydrated = feed_posts(events), hydrated_posts(fetched)
-    spoken = score(posts.filter(lang_only("langs", lang)))
+    posts = created_posts(feed, "collection", "operation")
     return {
-        "word_time_series": word_series(spoken, width=width),
+        "word_time_series": word_series(
+            score(posts.filter(F.col("sole_lang") == lang)), width=width
+        ),
         "ingestion_metrics_timeline": ingestion_metrics(
-            labelled(events, micros_ts("time_us"), "firehose"),
-            labelled(hydrated, "created", "getPosts_endpoint"),
+            labelled(feed, "ts", "firehose"),
+            labelled(fetched, "created", "getPosts_endpoint"),
             width=width,
         ),
         "controversial_topics_timeline": controversy_series(
-            hydrated.filter(lang_only("langs", lang)), ts="indexed", width=width
+            fetched.filter(F.col("sole_lang") == lang), ts="indexed", width=width
         ),
-        "crosslink_stats": crosslink_series(hydrated, needle, ts="created", width=width),
+        "crosslink_stats": crosslink_series(fetched, needle, ts="created", width=width),
     }
 
 
 def build_series_tables(
     spark: SparkSession, feed_path: str, fetched_path: str, out: str, needle: str, **options
 ) -> list[str]:
-    """Read the JSON feeds, write the tables as Parquet below ``out`` and return their paths."""
-    tables = series_tables(
-        read_events(spark, feed_path, FEED_EVENT),
-        read_events(spark, fetched_path, HYDRATED_POST),
-        needle,
-        **options,
-    )
+    """Read the JSON feeds, write the tables as Parquet below ``out`` and return their paths.
+
+    The feeds are parsed once, into flat Parquet tables by day below ``out/flat``; the series
+    read from those the columns and row groups they need.
+    """
+    raw = {
+        "feed": (flat_feed(read_events(spark, feed_path, FEED_EVENT)), "ts"),
+        "fetched": (flat_fetched(read_events(spark, fetched_path, HYDRATED_POST)), "indexed"),
+    }
+    flat = {}
+    for name, (rows, ts) in raw.items():
+        path = f"{out}/flat/{name}"
+        write_table(rows.withColumn("day", F.to_date(ts)), path, "overwrite", ["day"])
+        flat[name] = read_table(spark, path)
+    tables = series_tables(flat["feed"], flat["fetched"], needle, **options)
     for name, table in tables.items():
         write_table(table, f"{out}/{name}", "overwrite")
     return [f"{out}/{name}" for name in tables]

@@ -139,3 +139,23 @@ def test_shared_paths_lie_in_the_checkpoint_folder(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert shared_path(spark, "x").startswith(checkpoint_root(spark))
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+def test_series_jobs_push_their_filters(spark, tmp_path):
+    from hearsay import jobs
+
+    feed = write_lines(tmp_path, *[
+        f'{{"did": "d{i}", "time_us": {1_735_689_600_000_000 + i}, "commit": {{"collection": "{POST_COLLECTION if i % 2 else "x"}", '
+        f'"operation": "create", "rkey": "{i}", "record": {{"text": "sky is {word}", "langs": {langs}}}}}}}'
+        for i, (word, langs) in enumerate([("good", '["en"]'), ("bad", '["en"]'), ("rot", '["de"]'), ("wide", '["en","de"]'), ("x", "null")])
+    ])
+    flat = str(tmp_path / "flat")
+    jobs.flat_feed(readers.read_events(spark, feed, schemas.FEED_EVENT)).write.parquet(flat)
+    fetched = spark.createDataFrame([], schemas.HYDRATED_POST)
+    tables = jobs.series_tables(spark.read.parquet(flat), jobs.flat_fetched(fetched), "example.com")
+    words = tables["word_time_series"]
+    assert sorted(map(tuple, words.select("word", "avg_vader_sentiment_score").collect())) == [("bad", -0.5), ("sky", -0.5)]
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(sole_lang,en)" in plan and f"EqualTo(collection,{POST_COLLECTION})" in plan
+    assert "root_id" not in plan
+    assert tables["ingestion_metrics_timeline"].first()["record_count"] == 5
