@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.functions.scores import wordlist_sentiment
-from hearsay.functions.text import tokens_alpha
 from hearsay.functions.times import iso_utc, micros_ts
 from hearsay.functions.values import post_uri, root_author
 from hearsay.operators.filters import created_posts
 from hearsay.operators.series import (
     controversy_series, crosslink_series, ingestion_metrics, labelled, word_series,
 )
+from hearsay.operators.words import with_wordlist_score
 from hearsay.schemas import FEED_EVENT, HYDRATED_POST
 from hearsay.sources.readers import read_events, read_table
 from hearsay.sources.sinks import write_table
@@ -61,15 +61,11 @@ def _sole(langs: Column) -> Column:
     return F.when(F.size(langs) == 1, F.get(langs, 0))
 
 
-def score_by_wordlist(posts: DataFrame) -> DataFrame:
-    return posts.withColumn("score", wordlist_sentiment(tokens_alpha("text")))
-
-
 def series_tables(
     feed: DataFrame,
     fetched: DataFrame,
     needle: str,
-    score: Scorer = score_by_wordlist,
+    score: Scorer = partial(with_wordlist_score, text="text"),
     lang: str = "en",
     width: str = "10 minutes",
 ) -> dict[str, DataFrame]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.scores import post_decision, risk_gauge
-from hearsay.functions.text import sentence_words
+from hearsay.functions.text import sentence_words, strip
 from hearsay.functions.vocab import EDGE_PUNCTUATION, NEGATIVE_WORDS, POSITIVE_WORDS
 
 
@@ -47,18 +47,33 @@ def score_sentences(sentences: DataFrame, series: DataFrame, key: str, text: str
     return joined.select(key, "word", "uses", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def wordlist_scores(
+def wordlist_risk(
     sentences: DataFrame,
-    key: str,
     text: str,
     positive: list[str] = POSITIVE_WORDS,
     negative: list[str] = NEGATIVE_WORDS,
 ) -> DataFrame:
-    """As ``score_sentences``, with +1 and -1 from word lists; no join is needed."""
-    counts = sentence_word_counts(sentences, key, text, EDGE_PUNCTUATION + "_")
-    word = F.col("word")
-    score = F.when(word.isin(positive), 1.0).when(word.isin(negative), -1.0).otherwise(0.0)
-    return counts.withColumn("score", score)
+    """The columns of ``sentence_risk`` with +1 and -1 for the words of two lists.
+
+    All of it is counted within the row: nothing is exploded, joined or shuffled.
+    Sentences without a word are left out, as they have no average.
+    """
+    # A text has a word if it is not all blanks; a test of the word list itself would be
+    # pushed below the projection and split every text once more.
+    spoken = sentences.filter(F.length(strip(text)) > 0)
+    words = spoken.withColumn("__words", sentence_words(text, EDGE_PUNCTUATION + "_"))
+
+    def uses(listed: list[str]) -> Column:
+        return F.size(F.filter("__words", lambda word: word.isin(list(listed))))
+
+    counted = words.withColumns(
+        {"__all": F.size("__words"), "__good": uses(positive), "__poor": uses(negative)}
+    )
+    good, poor, every = F.col("__good"), F.col("__poor"), F.col("__all")
+    lowest = F.when(poor > 0, -1.0).when(good < every, 0.0).otherwise(1.0)
+    return counted.withColumns(
+        {"avg_score": (good - poor) / every, "neg_frac": poor / every, "min_score": lowest}
+    ).drop("__words", "__all", "__good", "__poor")
 
 
 def sentence_risk(scored: DataFrame, key: str) -> DataFrame:

@@ -55,6 +55,21 @@ def word_sentiment_avg(df: DataFrame, tokens: Column, score: str) -> DataFrame:
     return words.groupBy("word").agg(F.avg(score).alias("avg_sentiment"))
 
 
+def with_wordlist_score(
+    df: DataFrame,
+    text: str,
+    positive: list[str] = POSITIVE_WORDS,
+    negative: list[str] = NEGATIVE_WORDS,
+    out: str = "score",
+) -> DataFrame:
+    """Add the word-list sentiment of a text. The tokens are a column of their own first:
+    the score mentions them four times, and nested they would be made four times."""
+    tokenized = df.withColumn("__tokens", tokens_alpha(text))
+    return tokenized.withColumn(
+        out, wordlist_sentiment("__tokens", positive, negative)
+    ).drop("__tokens")
+
+
 def scored_titles(
     facts: DataFrame,
     text: str = "title",

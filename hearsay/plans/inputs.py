@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.functions.scores import wordlist_sentiment
-from hearsay.functions.text import tokens_alpha
 from hearsay.functions.times import epoch_micros
 from hearsay.functions.vocab import (
     FOLLOW_COLLECTION, IMAGE_DOMAIN, IMAGE_EXTENSION, LIKE_COLLECTION, POST_COLLECTION,
@@ -18,7 +16,7 @@ from hearsay.functions.vocab import (
 )
 from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.series import controversy_series, crosslink_series, word_series
-from hearsay.operators.words import scored_titles
+from hearsay.operators.words import scored_titles, with_wordlist_score
 from hearsay.sources.readers import widen
 
 # Word lists that occur in the generated texts (the built-in ones hardly do).
@@ -258,7 +256,7 @@ STATS = f"""{SCORED}, stats AS (
 def english_scored(spark: SparkSession, folder: str) -> DataFrame:
     """English posts with a word-list score."""
     english = posts(spark, folder).filter(F.col("langs") == F.array(F.lit("en")))
-    return english.withColumn("score", wordlist_sentiment(tokens_alpha("text"), GOOD, POOR))
+    return with_wordlist_score(english, "text", GOOD, POOR)
 
 
 def gold_series(spark: SparkSession, folder: str, width: str = "10 minutes") -> DataFrame:

@@ -115,8 +115,8 @@ risk AS (
          min(score) AS min_score FROM scores GROUP BY 1)"""
 
 add("wordlist_decisions", "F20 F21 J10",
-    lambda s, d: risk.decide(risk.sentence_risk(
-        risk.wordlist_scores(posts(s, d), "post_id", "text", GOOD, POOR), "post_id")),
+    lambda s, d: risk.decide(risk.wordlist_risk(
+        posts(s, d).select("post_id", "text"), "text", GOOD, POOR)).drop("text"),
     _decision_sql(_WORD_RISK, "post_id"))
 
 def _per_day(s, d, name, column):

@@ -465,8 +465,15 @@ def test_sentence_risk(spark):
     got = risk.decide(risk.sentence_risk(scored, "id")).orderBy("id").collect()
     assert got[0]["avg_score"] == pytest.approx(0.7 / 3) and got[0]["neg_frac"] == pytest.approx(1 / 3)
     assert got[0]["min_score"] == -0.3 and got[0]["gauge"] == "Avoid" and got[1]["gauge"] == "Risky"
-    listed = risk.sentence_risk(risk.wordlist_scores(sentences, "id", "text"), "id").orderBy("id").first()
-    assert listed["avg_score"] == pytest.approx(1 / 3)
+
+
+def test_wordlist_risk(spark):
+    texts = ["Good, good bad!", "good love", "good cat", "cat", "  ", "_hate_ (bad)"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = risk.wordlist_risk(frame, "text")
+    close(rows(got, "id", "avg_score", "neg_frac", "min_score"), [
+        (0, 1 / 3, 1 / 3, -1.0), (1, 1.0, 0.0, 1.0), (2, 0.5, 0.0, 0.0), (3, 0.0, 0.0, 0.0), (5, -1.0, 1.0, -1.0)])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def valence_brute(text, lexicon):
