@@ -34,8 +34,12 @@ def epoch_seconds(ts: Column | str) -> Column:
 
 
 def iso_ts(text: Column | str) -> Column:
-    """ISO-8601 text to a timestamp; null when it does not parse."""
-    return F.try_to_timestamp(as_col(text))
+    """ISO-8601 text to a timestamp; null when it does not parse.
+
+    Text must start with a year: Spark would read a bare time of day as today's.
+    """
+    text = as_col(text)
+    return F.when(text.rlike(r"^\s*\d{4}"), F.try_to_timestamp(text))
 
 
 def iso_utc(text: Column | str) -> Column:

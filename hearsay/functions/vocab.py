@@ -68,9 +68,9 @@ EDGE_PUNCTUATION = r""".,!?;:()[]{}"'"""
 
 # Negations of the valence score, and its constants (published formula).
 NEGATIONS = (
-    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt mightnt "
-    "mustnt neither never no nobody none nope nor not nothing nowhere shouldnt wasnt werent "
-    "without wont wouldnt"
+    "aint arent cannot cant couldnt darent despite didnt doesnt dont hadnt hasnt havent isnt "
+    "mightnt mustnt neednt neither never none nope nor not nothing nowhere oughtnt rarely "
+    "seldom shant shouldnt uhuh wasnt werent without wont wouldnt"
 ).split()
 NEGATION_FACTOR = -0.74
 NEGATION_SPAN = 3

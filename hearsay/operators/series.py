@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearsay.functions.text import as_col, mentions, tokenize, word_eq
-from hearsay.functions.times import epoch_seconds
 from hearsay.operators.filters import between_ts, controversial
 from hearsay.operators.ranks import rank_key, top_k, top_per_group
 
@@ -232,7 +231,3 @@ def sample_series(series: DataFrame, order: str, n: int, key: str | None = None)
         step = F.round(place * (n - 1) / F.nullif(last, F.lit(0)))
         chosen = (last < n) | (F.bround(step * last / (n - 1)) == place)
     return placed.filter(chosen).drop("__i", "__last")
-
-
-def with_epoch(series: DataFrame, ts: str, out: str = "ts_epoch") -> DataFrame:
-    return series.withColumn(out, epoch_seconds(ts))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearsay.functions.text import tokens_alpha, tokens_clean
+from hearsay.functions.text import tokens_clean
 from hearsay.operators import insights, kpis, series, trends, words
 from hearsay.operators.filters import known_collections, posts_only
 from hearsay.operators.snapshots import snapshot_tables
 from hearsay.plans.inputs import (
-    ALL_FACTS, FACTS, FEED, GOOD, HIGH, INGESTION, LOW, NEEDLE, POOR, POSTS, REMARKS, SCORED,
-    SERIES, STATS, WORD, alpha_sql, clean_sql, controversy_sql, day_text, english_scored, facts,
-    facts_with_comments, feed, forum_posts, gold_controversy, gold_links, gold_series, links_sql,
-    posts, remarks, scored, sentiment_sql, series_sql, table, time_text,
+    ALL_FACTS, FACTS, FEED, GOOD, HIGH, INGESTION, LOW, POOR, POSTS, REMARKS, SCORED,
+    SERIES, STATS, WORD, alpha_sql, controversy_sql, day_text, english_scored, facts,
+    facts_with_comments, feed, forum_posts, gold_controversy, gold_links, gold_series,
+    links_sql, posts, remarks, scored, sentiment_sql, series_sql, table, time_text,
 )
 from hearsay.plans.registry import add, query
 

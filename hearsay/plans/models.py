@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hearsay.functions.vocab import NAMESPACE_URL, NEGATIONS
 from hearsay.operators import models, pairs, valence, vectors
 from hearsay.plans.inputs import POSTS, posts, sql_list, table
-from hearsay.plans.registry import add, query
+from hearsay.plans.registry import add
 
 
 def _stand_ins():

@@ -13,11 +13,11 @@ from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.ranks import scale_minmax, share
 from hearsay.operators.kpis import media_split
 from hearsay.plans.inputs import (
-    ALL_FACTS, FACTS, FEED, GOOD, HIGH, LOW, NEEDLE, POOR, POSTS, REMARKS, WORD, alpha_sql,
-    clean_sql, day_text, facts, facts_with_comments, feed, forum_comments, forum_posts, posts,
-    remarks, rows_of, scored, sentiment_sql, sql_list, table, time_text,
+    ALL_FACTS, FACTS, FEED, GOOD, POOR, POSTS, REMARKS, alpha_sql, clean_sql, day_text,
+    facts, facts_with_comments, feed, forum_comments, forum_posts, posts, remarks, rows_of,
+    sentiment_sql, sql_list, table, time_text,
 )
-from hearsay.plans.registry import add, query
+from hearsay.plans.registry import add
 
 BLANKS_SQL = "[ \\t\\n\\x0B\\f\\r]+"
 

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from hearsay.functions.text import tokens_clean
 from hearsay.functions.vocab import default_stopwords
 from hearsay.operators import drift, keys, kpis, ranks, risk, series, trends, words
-from hearsay.operators.filters import drop_stopwords, known_collections
+from hearsay.operators.filters import drop_stopwords
 from hearsay.operators.grids import zero_fill
 from hearsay.plans.inputs import (
-    ALL_FACTS, FACTS, FEED, GOOD, HIGH, INGESTION, LOW, POOR, POSTS, SCORED, SERIES, STATS,
-    clean_sql, day_text, english_scored, facts, facts_with_comments, feed, gold_series, posts,
-    scored, series_sql, sql_list, table, time_text,
+    FACTS, FEED, GOOD, INGESTION, POOR, POSTS, SCORED, SERIES, STATS, clean_sql, day_text,
+    facts, feed, gold_series, posts, scored, sql_list, table, time_text,
 )
 from hearsay.plans.registry import add, query
 from hearsay.session import shared_path

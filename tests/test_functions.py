@@ -91,9 +91,9 @@ def test_times(spark):
         "1970-01-01T00:00:00", "2023-11-14T22:13:20", "1969-12-31T23:59:59"]
     assert column(spark, ["12.5", "x", None], "STRING", times.epoch_micros(times.seconds_ts("x"))) == [
         12_500_000, None, None]
-    iso = ["2024-01-01T00:00:01Z", "2024-01-01T02:00:01+02:00", "yesterday", ""]
+    iso = ["2024-01-01T00:00:01Z", "2024-01-01T02:00:01+02:00", "yesterday", "", "12:30", None]
     assert column(spark, iso, "STRING", F.unix_micros(times.iso_ts("x"))) == [
-        1_704_067_201_000_000, 1_704_067_201_000_000, None, None]
+        1_704_067_201_000_000, 1_704_067_201_000_000, None, None, None, None]
 
 
 def test_times_do_not_depend_on_the_session_zone(spark):
