@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe
+from hearsay.llm import bpe, chat, linededup
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,22 @@ def rank_file() -> tuple[str, str]:
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = rank_file()
     return bpe.digests(table(spark, folder, "documents"), path, pattern)
+
+
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(added))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.digests(table(spark, folder, "documents"))
+
+
+SQL["op3_line_dedup"] = linededup.SQL
