@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.frames import slices
+from hearsay.llm.frames import slices, worker_cache
 
 #: Pre-tokens kept in the memo of a worker, and the longest one that is kept.
 MEMO_ENTRIES = 400_000
@@ -164,15 +164,13 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
     }
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(content: bytes, pattern: str) -> Codec:
     """The worker's codec for a rank file; built once."""
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(parse_ranks(content), pattern)
-    return _codecs[key]
+    cache = worker_cache()
+    if key not in cache:
+        cache[key] = Codec(parse_ranks(content), pattern)
+    return cache[key]
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:

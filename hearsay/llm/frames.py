@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_cache() -> dict:
+    """What a worker process keeps between tasks. It hangs on ``sys`` because functions sent by
+    value get new globals with each task."""
+    return vars(sys).setdefault("_hearsay_cache", {})
+
+
 def slices(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, linededup
+from hearsay.llm import bpe, chat, linededup, mixing, topk
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,18 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op3_line_dedup"] = linededup.SQL
+
+
+@query
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.nearest(table(spark, folder, "embeddings"), every=50, k=5)
+
+
+SQL["op4_topk"] = topk.SQL
+
+
+@query
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
