@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, linededup, mixing, topk
+from hearsay.llm import bpe, chat, linededup, mixing, ngramjoin, topk
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query
+def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.joined(table(spark, folder, "documents"))
