@@ -2,8 +2,8 @@
 
 A pre-token is a doubly linked list of byte sequences. Every adjacent pair whose bytes form
 a vocabulary entry waits in the bucket of that entry's rank, under the position of its left
-part. A three-level bitmap over the ranks says which buckets hold something; finding the
-lowest rank takes three find-first-set steps, however long the pre-token is. Merging touches
+part. A two-level bitmap over the ranks says which buckets hold something; finding the
+lowest rank takes two find-first-set steps, however long the pre-token is. Merging touches
 two neighbours; their old entries stay behind and are skipped when they come up. A pre-token
 of n bytes therefore takes O(n log n) steps at worst, where rescanning for the lowest pair
 takes O(n^2).
@@ -24,59 +24,12 @@ from pyspark.sql import functions as F
 
 from hearsay.llm.frames import slices, worker_cache
 
-#: Pre-tokens kept in the memo of a worker, and the longest one that is kept.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens in each of the two generations of a worker's memo, and the longest one kept.
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 48
-WORD = 64
-
-
-class RankQueue:
-    """Positions in buckets by rank; the lowest rank and leftmost position come first.
-
-    ``low[i]`` has a bit for each rank of the i-th WORD ranks whose bucket holds something,
-    ``mid`` a bit for each word of ``low`` that is not zero and ``top`` one for each of ``mid``.
-    """
-
-    def __init__(self, ranks: int):
-        self.low = [0] * (ranks // WORD + 1)
-        self.mid = [0] * (ranks // WORD**2 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank // WORD
-        if not self.low[word]:
-            group = word // WORD
-            if not self.mid[group]:
-                self.top |= 1 << group
-            self.mid[group] |= 1 << word % WORD
-        self.low[word] |= 1 << rank % WORD
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        group = (top & -top).bit_length() - 1
-        mid = self.mid[group]
-        word = group * WORD + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        first = low & -low
-        rank = word * WORD + first.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        low = self.low[word] = low ^ first
-        if not low:
-            mid = self.mid[group] = mid ^ (mid & -mid)
-            if not mid:
-                self.top = top ^ (top & -top)
-        return rank, bucket[0]
+#: Ranks of a word of the bitmap, as a power of two.
+BITS = 8
+WORD = 1 << BITS
 
 
 class Codec:
@@ -88,49 +41,86 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.low = [0] * ((max(ranks.values()) >> BITS) + 1)
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        ``low[i]`` has a bit for each of WORD ranks whose bucket holds something and ``top`` a bit
+        for each word of ``low`` that is not zero. A bucket is one position, or a heap of them.
+        The queue is written out here, as calls would cost more than its steps.
+        """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        rank_of = ranks.get
+        low, buckets, top = self.low, {}, 0
         size = len(piece)
         end = list(range(1, size + 1))
         before = list(range(-1, size - 1))
-        waiting = [-1] * size  # the rank under which the pair at a position waits
-        push, pop = self.queue.push, self.queue.pop
-        for at in range(size - 1):
-            rank = ranks.get(piece[at:at + 2])
-            if rank is not None:
-                waiting[at] = rank
-                push(rank, at)
-        while (entry := pop()) is not None:
-            rank, at = entry
-            if waiting[at] != rank:
-                continue  # merged or regrown since
+        waiting = [rank_of(piece[at:at + 2], -1) for at in range(size)]
+        waiting[-1] = -1  # the last has no pair
+        fresh = list(enumerate(waiting))
+        while True:
+            for at, rank in fresh:
+                if rank < 0:
+                    continue
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = at
+                    word = rank >> BITS
+                    if not low[word]:
+                        top |= 1 << word
+                    low[word] |= 1 << (rank & WORD - 1)
+                elif bucket.__class__ is int:
+                    buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+                else:
+                    heappush(bucket, at)
+            # the lowest rank that is not stale, at its leftmost position
+            while top:
+                lowest = top & -top
+                word = lowest.bit_length() - 1
+                here = low[word]
+                first = here & -here
+                rank = (word << BITS) + first.bit_length() - 1
+                bucket = buckets[rank]
+                if bucket.__class__ is int:
+                    at = bucket
+                elif len(bucket) > 1:
+                    at = heappop(bucket)
+                    if waiting[at] == rank:
+                        break
+                    continue
+                else:
+                    at = bucket[0]
+                del buckets[rank]
+                low[word] = here ^ first
+                if here == first:
+                    top ^= lowest
+                if waiting[at] == rank:
+                    break
+            else:
+                break
             gone = end[at]
             stop = end[at] = end[gone]
             waiting[gone] = -1
+            left = before[at]
             if stop < size:
                 before[stop] = at
-                right = ranks.get(piece[at:end[stop]], -1)
+                right = waiting[at] = rank_of(piece[at:end[stop]], -1)
             else:
-                right = -1
-            waiting[at] = right
-            if right >= 0:
-                push(right, at)
-            left = before[at]
+                right = waiting[at] = -1
             if left >= 0:
-                rank = ranks.get(piece[left:stop], -1)
-                waiting[left] = rank
-                if rank >= 0:
-                    push(rank, left)
+                rank = waiting[left] = rank_of(piece[left:stop], -1)
+                fresh = ((at, right), (left, rank))
+            else:
+                fresh = ((at, right),)
         ids, at = [], 0
         while at < size:
             ids.append(ranks[piece[at:end[at]]])
@@ -138,10 +128,14 @@ class Codec:
         return ids
 
     def packed(self, piece: str) -> bytes:
-        """Ids of a pre-token as little-endian 32-bit integers."""
-        found = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        """Ids of a pre-token as little-endian 32-bit integers. What has not come up since the
+        memo last filled is forgotten."""
+        found = self.older.get(piece)
+        if found is None:
+            found = np.array(self.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_ENTRIES:
+                self.older = self.memo.copy()
                 self.memo.clear()
             self.memo[piece] = found
         return found
