@@ -179,11 +179,13 @@ def dropped_keys(docs: DataFrame, least: int, filter_bytes: int) -> DataFrame:
     hashes = written(key_hashes(docs, least), "line-hashes")
     blocks, filters = twice_filters(hashes, hashes.count(), filter_bytes)
     suspects = written(suspected_lines(docs, blocks, filters, least), "line-suspects")
-    repeated = (
+    # Written, so that both sides of the join are dealt anew and a hot key can be split.
+    repeated = written(
         suspects.groupBy("key")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .where("first < last")
-        .select("key", "first")
+        .select("key", "first"),
+        "repeated-lines",
     )
     return (
         suspects.join(repeated, "key")
