@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, linededup, mixing, ngramjoin, topk
+from hearsay.llm import bpe, chat, langid, linededup, mixing, ngramjoin, topk
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngramjoin.joined(table(spark, folder, "documents"))
+
+
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(table(spark, folder, "documents"))
