@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, langid, linededup, mixing, ngramjoin, topk
+from hearsay.llm import bpe, chat, fertility, langid, linededup, mixing, ngramjoin, topk
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,12 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(table(spark, folder, "documents"))
+
+
+@query
+def op9_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return fertility.judged(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
