@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, fertility, langid, linededup, mixing, ngramjoin, topk
+from hearsay.llm import bpe, chat, fertility, langid, linededup, mixing, ngramjoin, topk, toxicity
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def op9_fertility(spark: SparkSession, folder: str) -> DataFrame:
     return fertility.judged(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rated(table(spark, folder, "documents"), table(spark, folder, "labels"))
