@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, fertility, langid, linededup, mixing, ngramjoin, topk, toxicity
+from hearsay.llm import bpe, chat, fertility, html, langid, linededup, mixing, ngramjoin, topk, toxicity
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op9_fertility(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.rated(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op7_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
