@@ -7,7 +7,8 @@ documents that are on T of the inverted lists of its shingles.
 1. Documents with equal sets are one node.
 2. The shingles have one global order: by hash, but the most frequent ones last. The first shingles
    of a set, one more than it may lack, are its prefix: documents that reach T have one in
-   common there. Only prefixes are put into inverted lists.
+   common there. Only prefixes are put into inverted lists. They are taken a little longer than
+   that, as then a pair must share several before it is worth a look at the whole sets.
 3. Short lists give pairs of nodes, with the number of lists they share and how far in the order.
    Pairs that cannot reach T after that are out.
 4. Long lists are not paired. One of their nodes after another probes the whole list, until the
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from hearsay.llm.components import components
 from hearsay.llm.frames import binaries, mixed, slices, worker_cache, written
+from hearsay.llm.linededup import Bloom
 
 #: Frequent shingles that go last in the order at most, and documents of a batch (with
 #: different sets) that make a shingle a candidate for that.
@@ -42,10 +44,15 @@ FREQUENT = 100_000
 BATCH_DOCS = 8
 #: Nodes on a list that is paired; longer lists are probed.
 SHORT_LIST = 50
-#: Nodes that probe a long list in the first round (twice as many in each further one), and
+#: Nodes that probe a long list in the first round (three times as many in each further one), and
 #: candidates that meet a node in one place.
 FIRST_PROBES = 1
 CANDIDATES = 128
+#: What prefixes are longer by, as a share of the set.
+LONGER = 0.05
+#: Size of the filter of wanted ids (as a power of two, in bits), and parts it is made in.
+FILTER_POWER = 23
+FILTER_PARTS = 32
 #: Words whose hashes a worker keeps.
 MEMO_WORDS = 500_000
 #: DivideSkip: weight of the merge against the binary searches.
@@ -129,6 +136,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
                     shingles = shingle_set(text, words)
                     size = len(shingles)
                     length = size - -(-percent * size // 100) + 1 if size else 0
+                    length = min(size, length + math.ceil(LONGER * size))
                     last = holds(carried.value, shingles)
                     first = shingles[~last][:length]
                     n.append(size)
@@ -289,8 +297,31 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     )
 
 
+def id_filter(ids: DataFrame) -> Bloom:
+    """A Bloom filter of the ids. It has a fixed size; each of FILTER_PARTS tasks sends one that
+    the driver joins up. Once it is full it lets everything pass."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Bloom(FILTER_POWER)
+        for batch in rows:
+            part.add(batch.column(0).to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([binaries([np.packbits(part.bits).tobytes()])], ["bits"])
+
+    whole = Bloom(FILTER_POWER)
+    for row in ids.repartition(FILTER_PARTS).mapInArrow(batches, "bits binary").toLocalIterator():
+        whole.bits |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+    return whole
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and shingles (the packed sorted set) of the given nodes."""
+    """node and shingles (the packed sorted set) of the given nodes. Only texts that the filter of
+    their ids lets pass are shuffled."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(id_filter(nodes).bits))
+
+    def passing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom(FILTER_POWER, np.unpackbits(wanted.value).astype(bool))
+        for batch in rows:
+            yield batch.filter(pa.array(bloom.has(batch.column("doc_id").to_numpy().view(np.uint64))))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -302,10 +333,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                     ["node", "shingles"],
                 )
 
+    passed = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
+    ).mapInArrow(passing, "doc_id bigint, text string")
     return (
-        docs.select("doc_id", "text").join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
+        passed.join(nodes, passed["doc_id"] == nodes["node"], "left_semi")
         .mapInArrow(batches, "node bigint, shingles binary")
-        .where(F.length("shingles") > 0).distinct()
+        .where(F.length("shingles") > 0)
     )
 
 
@@ -351,7 +385,7 @@ def probe_long_lists(rows: DataFrame, sets: DataFrame, links: DataFrame,
             ),
             "long-lists",
         )
-        probes *= 2
+        probes *= 3
 
 
 def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -366,15 +400,15 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     frequent = frequent_shingles(docs, words, FREQUENT)
     signed = written(prefixes(docs, words, percent, frequent), "signatures")
-    nodes = written(
-        signed.where("n > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
-             F.first("prefix").alias("prefix"), F.first("rare").alias("rare")),
-        "nodes",
-    )
-    posted = postings(nodes)
+    signed_nodes = signed.where("n > 0 and doc_id is not null")
+    node = [F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("rare").alias("rare")]
+    nodes = written(signed_nodes.groupBy("digest").agg(*node), "nodes")
+
+    def posted(rows: DataFrame) -> DataFrame:
+        return postings(rows.groupBy("digest").agg(*node, F.first("prefix").alias("prefix")))
+
     lists = written(
-        posted.where("rare").repartition("shingle").groupBy("shingle")
+        posted(signed_nodes).where("rare").repartition("shingle").groupBy("shingle")
         .agg(F.sort_array(F.collect_list(F.struct("node", "pos"))).alias("nodes"))
         .where("size(nodes) > 1"),
         "lists",
@@ -386,7 +420,10 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     long_counts = long_rare.groupBy("node").agg(F.count("*").alias("long"))
     pairs = written(candidate_pairs(short, long_counts, nodes, percent), "pairs")
     long_rows = written(
-        long_rare.unionByName(posted.where("not rare").select("shingle", "node"))
+        long_rare.unionByName(
+            posted(signed_nodes.where("8 * rare < length(prefix)")).where("not rare")
+            .select("shingle", "node")
+        )
         .join(nodes.select("node", "n"), "node").select("shingle", "node", "n"),
         "long-lists",
     )
