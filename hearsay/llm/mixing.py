@@ -25,7 +25,7 @@ from hearsay.llm.frames import seeded, written
 #: Words that the knapsack fits at most; beyond it lengths are taken in proportion.
 KNAPSACK_WORDS = 200_000
 #: Buckets of the seeded order within a source and length.
-BUCKETS = 4096
+BUCKETS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
