@@ -38,10 +38,11 @@ from hearsay.llm.components import components
 from hearsay.llm.frames import binaries, mixed, slices, worker_cache, written
 from hearsay.llm.linededup import Bloom
 
-#: Frequent shingles that go last in the order at most, and documents of a batch (with
-#: different sets) that make a shingle a candidate for that.
+#: Frequent shingles that go last in the order at most, and how many of the documents counted
+#: together (with different sets, about COUNTED shingles in all) make one a candidate for that.
 FREQUENT = 100_000
 BATCH_DOCS = 8
+COUNTED = 1_500_000
 #: Nodes on a list that is paired; longer lists are probed.
 SHORT_LIST = 50
 #: Nodes that probe a long list in the first round (three times as many in each further one), and
@@ -54,7 +55,7 @@ LONGER = 0.05
 FILTER_POWER = 23
 FILTER_PARTS = 32
 #: Words whose hashes a worker keeps.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: DivideSkip: weight of the merge against the binary searches.
 MU = 2.0
 
@@ -93,20 +94,29 @@ def frequent_shingles(docs: DataFrame, words: int, most: int) -> np.ndarray:
     """The most frequent shingles among those that many documents of one batch share; sorted,
     ``most`` at the most."""
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]),
+                                  return_counts=True)
+        held = counts >= BATCH_DOCS
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found[held].view(np.int64)), pa.array(counts[held].astype(np.int64))],
+            ["shingle", "docs"],
+        )
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = {}, 0
         for batch in rows:
-            sets = {}
             for part in slices(batch):
                 for text in part.column("text").to_pylist():
                     shingles = shingle_set(text, words)
-                    sets.setdefault(digest_of(shingles), shingles)
-            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]),
-                                      return_counts=True)
-            held = counts >= BATCH_DOCS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[held].view(np.int64)), pa.array(counts[held].astype(np.int64))],
-                ["shingle", "docs"],
-            )
+                    key = digest_of(shingles)
+                    if key not in sets:
+                        sets[key] = shingles
+                        size += len(shingles)
+                if size >= COUNTED:
+                    yield counted(list(sets.values()))
+                    sets, size = {}, 0
+        yield counted(list(sets.values()))
 
     top = (
         docs.select("text").mapInArrow(batches, "shingle bigint, docs bigint")
