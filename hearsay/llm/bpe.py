@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hearsay.llm.frames import slices, worker_cache
 
 #: Pre-tokens in each of the two generations of a worker's memo, and the longest one kept.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 MEMO_CHARS = 48
 #: Ranks of a word of the bitmap, as a power of two.
 BITS = 8
@@ -161,7 +161,7 @@ def parse_ranks(content: bytes) -> dict[bytes, int]:
 def codec_of(content: bytes, pattern: str) -> Codec:
     """The worker's codec for a rank file; built once."""
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    cache = worker_cache()
+    cache = worker_cache("bpe")
     if key not in cache:
         cache[key] = Codec(parse_ranks(content), pattern)
     return cache[key]

@@ -96,7 +96,7 @@ class Tokens:
 
 
 def tokens_of(content: bytes) -> Tokens:
-    cache = worker_cache()
+    cache = worker_cache("fertility")
     if cache.get("fertility-content") != content:
         cache["fertility-content"], cache["fertility"] = content, Tokens(content)
     return cache["fertility"]

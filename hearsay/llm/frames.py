@@ -29,10 +29,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_cache() -> dict:
-    """What a worker process keeps between tasks. It hangs on ``sys`` because functions sent by
-    value get new globals with each task."""
-    return vars(sys).setdefault("_hearsay_cache", {})
+def worker_cache(owner: str) -> dict:
+    """What a worker process keeps between tasks of one operator. It hangs on ``sys`` because
+    functions sent by value get new globals with each task. What another operator has left is
+    dropped, so that only one operator's things are held."""
+    cache = vars(sys).setdefault("_hearsay_cache", {})
+    if cache.get("owner") != owner:
+        cache.clear()
+        cache["owner"] = owner
+    return cache
 
 
 def slices(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:

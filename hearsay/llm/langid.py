@@ -52,7 +52,7 @@ def family_of(lang: str) -> str:
 
 def _letters() -> np.ndarray:
     """For every code point, whether it is a letter; made once per worker."""
-    cache = worker_cache()
+    cache = worker_cache("langid")
     if "letters" not in cache:
         cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return cache["letters"]

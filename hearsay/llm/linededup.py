@@ -90,7 +90,8 @@ def key_hashes(docs: DataFrame, least: int) -> DataFrame:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in rows:
-            found = [digest(key) for text in batch.column("text").to_pylist()
+            found = [digest(key) for part in slices(batch)
+                     for text in part.column("text").to_pylist()
                      for key in _distinct_keys(text, least)]
             hashes, counts = np.unique(np.array(found, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays(

@@ -74,9 +74,10 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    memo = worker_cache().setdefault("word-hashes", None)
+    cache = worker_cache("ngramjoin")
+    memo = cache.get("word-hashes")
     if memo is None:
-        memo = worker_cache()["word-hashes"] = _WordHashes()
+        memo = cache["word-hashes"] = _WordHashes()
     at = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
     size = min(words, len(found))
     n = len(found) - size + 1
