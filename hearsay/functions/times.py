@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from hearsay.functions.text import as_col
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+# The years 1 to 9999, in epoch seconds.
+FIRST_SECOND, END_SECOND = -62_135_596_800.0, 253_402_300_800.0
 
 
 def micros_ts(micros: Column | str) -> Column:
@@ -20,8 +22,11 @@ def micros_ts(micros: Column | str) -> Column:
 
 
 def seconds_ts(seconds: Column | str) -> Column:
-    """Epoch seconds (fractions allowed, text allowed) to a UTC timestamp; null when bad."""
-    return micros_ts(F.floor(as_col(seconds).try_cast("double") * 1_000_000))
+    """Epoch seconds (fractions allowed, text allowed) to a UTC timestamp; null when bad: not a
+    finite number, or outside of the years 1 to 9999 (milliseconds taken for seconds, say)."""
+    value = as_col(seconds).try_cast("double")
+    dated = (value >= FIRST_SECOND) & (value < END_SECOND)  # NaN is larger than any number
+    return micros_ts(F.when(dated, F.floor(value * 1_000_000)))
 
 
 def epoch_micros(ts: Column | str) -> Column:

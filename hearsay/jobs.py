@@ -17,7 +17,7 @@ from hearsay.operators.series import (
 from hearsay.operators.words import with_wordlist_score
 from hearsay.schemas import FEED_EVENT, HYDRATED_POST
 from hearsay.sources.readers import read_events, read_table
-from hearsay.sources.sinks import write_table
+from hearsay.sources.sinks import write_parted, write_table
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -105,7 +105,7 @@ def build_series_tables(
     flat = {}
     for name, (rows, ts) in raw.items():
         path = f"{out}/flat/{name}"
-        write_table(rows.withColumn("day", F.to_date(ts)), path, "overwrite", ["day"])
+        write_parted(rows.withColumn("day", F.to_date(ts)), ["day"], path, "parquet", "overwrite")
         flat[name] = read_table(spark, path)
     tables = series_tables(flat["feed"], flat["fetched"], needle, **options)
     for name, table in tables.items():

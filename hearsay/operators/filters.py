@@ -148,3 +148,11 @@ def embeddable(df: DataFrame, text: Column | str, cid: Column | str) -> DataFram
     for column in (as_col(text), as_col(cid)):
         kept = kept.filter(column.isNotNull() & (column != ""))
     return kept
+
+
+def hash_sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, by a hash of their key. Unlike ``DataFrame.sample`` it draws the
+    same rows whatever the file layout, and all or none of a key's rows."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return df.filter(place < int(share * 2**32))

@@ -1,7 +1,6 @@
 """Dense series: every key in every bucket, absent points filled with zero.
 
-No cross join is made. Either side that is exploded is an array with a known bound: the keys
-of a top-k, or the buckets of a calendar.
+No cross join is made. What is exploded is the array of a calendar's buckets.
 """
 
 from __future__ import annotations
@@ -19,17 +18,16 @@ def zero_fill(
     key: str,
     bucket: str,
     values: list[str],
-    max_keys: int,
 ) -> DataFrame:
     """``points`` on the full grid of ``keys`` and ``buckets``.
 
-    ``keys`` holds at most ``max_keys`` rows (a top-k, cut again here). They are found once,
-    as an array that each bucket row explodes and that points are filtered by before
-    anything is joined.
+    Any number of keys will do: each explodes the distinct buckets, which are the time steps
+    of one calendar.
     """
-    listed = keys.select(key).limit(max_keys).agg(F.collect_list(key)).scalar()
-    grid = buckets.select(bucket).distinct().withColumn(key, F.explode(listed))
-    kept = points.filter(F.array_contains(listed, F.col(key)))
+    calendar = buckets.select(bucket).distinct().agg(F.collect_list(bucket)).scalar()
+    wanted = keys.select(key).distinct()
+    grid = wanted.withColumn(bucket, F.explode(calendar))
+    kept = points.join(wanted, key, "left_semi")
     filled = grid.join(kept, [key, bucket], "left")
     return filled.select(
         key, bucket, *[F.coalesce(F.col(value), F.lit(0)).alias(value) for value in values]
@@ -41,15 +39,24 @@ def top_series(
 ) -> DataFrame:
     """The k keys of largest total weight, each with its points as a list ``series``.
 
-    Totals and points come from one aggregate, so whatever ``points`` is made of is read
-    once; ranking keys first and joining back would read it twice. ``points`` has one row
-    per key and bucket: a list is as long as the calendar, however often a key is used.
+    Keys are ranked by sums alone, and lists are made for the k keys only. Both sides share
+    the exchange of ``points``, which has one row per key and bucket: a list is as long as
+    the calendar, however often a key is used.
     """
-    listed = points.groupBy(key).agg(
-        F.sum(weight).alias("total"),
-        F.collect_list(F.struct(bucket, *values)).alias("series"),
+    # The join filters null keys; doing it here lets both sides share one exchange.
+    known = points.filter(F.col(key).isNotNull())
+    sums = {value: f"__{value}" for value in values if value != weight}
+    totals = known.groupBy(key).agg(
+        F.sum(weight).alias("total"), *[F.sum(value).alias(name) for value, name in sums.items()]
+    )
+    # Ranking asks for the other values too: with fewer columns it would have another exchange.
+    present = F.col("total").isNotNull()
+    for name in sums.values():
+        present = present | F.col(name).isNotNull()
+    top = top_k(totals.filter(present).drop(*sums.values()), "total", k, key)
+    return known.join(top, key).groupBy(key, "total").agg(
+        F.collect_list(F.struct(bucket, *values)).alias("series")
     )
-    return top_k(listed, "total", k, key)
 
 
 def dense_series(

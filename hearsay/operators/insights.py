@@ -31,9 +31,16 @@ def word_days(scored: DataFrame, day: str = "created_date") -> DataFrame:
         "sentiment",
         interest_value("ups", "num_comments", "score").alias("interest"),
         controversy_score("num_comments", "score").alias("controversy"),
-        F.array_append(F.array_distinct("tokens"), F.lit(EVERY_POST)).alias("words"),
+        # A post without a title has no words and still counts for its day. The expression itself
+        # is exploded: of a column Spark would filter the size first and tokenize again for it.
+        F.explode(
+            F.array_append(
+                F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))),
+                F.lit(EVERY_POST),
+            )
+        ).alias("word"),
     )
-    rows = posts.withColumn("word", F.explode("words"))
+    rows = posts
     return rows.groupBy("word", "bucket").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum("sentiment").alias("sentiment"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from hearsay.operators.ranks import global_order
 
 
 def pending_keys(keys: DataFrame, processed: DataFrame, key: str) -> DataFrame:
@@ -73,15 +74,11 @@ def patch(base: DataFrame, updates: DataFrame, keys: list[str], columns: list[st
     )
 
 
-def chunk(df: DataFrame, key: str, size: int = 25, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Number distinct keys in batches of ``size``: adds ``bucket`` and ``batch``.
-
-    Keys are spread over as many hash buckets as their number asks for and numbered within
-    each, so no task sorts more than about ``rows_per_bucket`` keys. Together the two
-    columns name a batch.
-    """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    buckets = F.greatest(F.lit(1), F.ceil(total / rows_per_bucket)).cast("bigint")
-    spread = df.withColumn("bucket", F.pmod(F.xxhash64(key), buckets))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
-    return spread.withColumn("batch", F.floor((place - 1) / size).cast("bigint"))
+def chunk(df: DataFrame, key: str, size: int = 25) -> DataFrame:
+    """Number distinct keys in batches of ``size`` by their order: adds ``batch``. Every batch is
+    full but the last. Positions come from ``global_order``, so no task sorts all keys."""
+    return (
+        global_order(df, key, key)
+        .withColumn("batch", F.floor((F.col("row_number") - 1) / size).cast("bigint"))
+        .drop("row_number")
+    )

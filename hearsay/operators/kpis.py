@@ -10,6 +10,7 @@ from hearsay.functions.scores import sign_label
 from hearsay.functions.vocab import (
     FOLLOW_COLLECTION, LIKE_COLLECTION, MEDIA_LABELS, POST_COLLECTION,
 )
+from hearsay.operators.ranks import running_total
 
 IS_COMMENT = "post_type = 'comment'"
 IS_POST = "post_type != 'comment'"
@@ -228,21 +229,14 @@ def texts_by_author(
 ) -> DataFrame:
     """Texts of each author as lists, in ``order`` (a unique column).
 
-    A list cannot grow with the largest author: one with more than ``per_part`` texts is
-    spread over several rows (``part`` 0, 1, ...) of about that many texts each. All texts
-    are kept.
+    A list holds ``per_part`` texts that follow each other: ``part`` 0 the first, ``part`` 1 the
+    next, and so on for every author alike. Positions are running counts over range partitions,
+    so an author with a large share of the texts is sorted and listed by several tasks.
     """
-    posts = df.select(author, text, order).dropna(subset=[text])
-    sizes = posts.groupBy(author).agg(F.count(F.lit(1)).alias("__n"))
-    # Authors over the bound are few (at most texts / per_part); others need no lookup.
-    large = sizes.filter(F.col("__n") > per_part).select(
-        F.col(author).alias("__who"), F.ceil(F.col("__n") / per_part).alias("__parts")
-    )
-    same = F.col(author).eqNullSafe(F.col("__who"))
-    spread = posts.join(large, same, "left").withColumn(
-        "part", F.pmod(F.xxhash64(order), F.coalesce("__parts", F.lit(1)))
-    )
+    posts = df.select(author, text, order).dropna(subset=[text]).withColumn("__one", F.lit(1))
+    placed = running_total(posts, author, [order], "__one", "__at")
+    part = F.floor((F.col("__at") - 1) / per_part).cast("bigint")
     texts = F.array_sort(F.collect_list(F.struct(order, text)))
-    return spread.groupBy(author, "part").agg(
+    return placed.groupBy(author, part.alias("part")).agg(
         F.transform(texts, lambda row: row[text]).alias("texts")
     )

@@ -74,16 +74,27 @@ def head_tail(df: DataFrame, by: str, n: int = 10) -> DataFrame:
     return head.unionByName(tail)
 
 
+# Bits of monotonically_increasing_id that count within a partition.
+PLACE_BITS = 33
+
+
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows in range partitions, each tagged with its number, written to the checkpoint.
+    """Rows in sorted range partitions, each with its partition's number and its place there (from
+    0), written to the checkpoint.
 
     The bounds of a range partitioning are sampled, so two runs of it may differ. The
     checkpoint pins one: totals and rows then speak of the same partitions, also after an
-    executor is lost.
+    executor is lost. Sessions of ``build_session`` remove it once nothing refers to it.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return (
-        df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("__id", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__id", PLACE_BITS).cast("int"))
+        .withColumn("__place", F.col("__id").bitwiseAND((1 << PLACE_BITS) - 1))
+        .drop("__id")
+        .checkpoint()
     )
 
 
@@ -116,12 +127,12 @@ def global_order(
     if value:
         totals["__sum"] = F.sum(value)
     joined = ranged.join(F.broadcast(_before(ranged, totals)), "__part")
-    window = Window.partitionBy("__part").orderBy(*keys)
-    out = joined.withColumn("row_number", F.row_number().over(window) + F.col("__rows"))
+    out = joined.withColumn("row_number", F.col("__place") + 1 + F.col("__rows"))
     if value:
+        window = Window.partitionBy("__part").orderBy("__place")
         running = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
         out = out.withColumn("running_sum", running + F.col("__sum"))
-    return out.drop("__part", "__rows", "__sum")
+    return out.drop("__part", "__place", "__rows", "__sum")
 
 
 def global_ranks(
@@ -143,11 +154,11 @@ def global_ranks(
     if value:
         totals["__sum"] = F.sum("__v")
     joined = ranged.join(F.broadcast(_before(ranged, totals)), "__part")
-    window = Window.partitionBy("__part").orderBy(*keys)
+    window = Window.partitionBy("__part").orderBy("__place")
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     ranks = [
         (F.sum("__n").over(upto) - F.col("__n") + F.col("__rows") + 1).alias("rank"),
-        (F.row_number().over(window) + F.col("__values")).alias("dense_rank"),
+        (F.col("__place") + 1 + F.col("__values")).alias("dense_rank"),
     ]
     if value:
         ranks.append((F.sum("__v").over(upto) + F.col("__sum")).alias("range_sum"))
@@ -176,8 +187,8 @@ def running_total(
     first = Window.partitionBy(*keys).orderBy("__part")
     cut = (
         parts.withColumn("__before", F.sum("__sum").over(earlier))
-        .withColumn("__place", F.row_number().over(first))
-        .filter(F.col("__place") > 1)
+        .withColumn("__nth", F.row_number().over(first))
+        .filter(F.col("__nth") > 1)
         .select(F.col("__part").alias("__at"), "__before",
                 *[F.col(key).alias(f"__key_{key}") for key in keys])
     )
@@ -187,7 +198,7 @@ def running_total(
     joined = ranged.join(F.broadcast(cut), same, "left")
     window = (
         Window.partitionBy("__part", *keys)
-        .orderBy(*order)
+        .orderBy("__place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = F.sum(value).over(window) + F.coalesce("__before", F.lit(0))

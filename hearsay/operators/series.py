@@ -132,12 +132,9 @@ def word_sentiment(
     return kept.groupBy("time_range").agg(mean.alias("sentiment_score"))
 
 
-def series_for_top(series: DataFrame, top: DataFrame, key: str, k: int) -> DataFrame:
-    """The rows of a series whose key is among the k rows of ``top``.
-
-    Only the k keys are broadcast; the limit keeps that true whatever is passed in.
-    """
-    return series.join(F.broadcast(top.select(key).limit(k)), key, "left_semi")
+def series_for_top(series: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """The rows of a series whose key is in ``top``, of any size."""
+    return series.join(top.select(key), key, "left_semi")
 
 
 def popular_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame:
@@ -146,7 +143,7 @@ def popular_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame:
     in_range = between_ts(series.filter(F.col("word").isNotNull()), "time_range", low, high)
     totals = in_range.groupBy("word").agg(F.sum("word_count").alias("total_count"))
     top = top_k(totals, "total_count", n, "word")
-    points = in_range.join(F.broadcast(top), "word")
+    points = in_range.join(top, "word")
     return points.groupBy("word", "total_count", "time_range").agg(
         F.sum("word_count").alias("popularity")
     )

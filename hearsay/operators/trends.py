@@ -150,7 +150,7 @@ def declining_words(series: DataFrame, n: int, low=None, high=None) -> DataFrame
         exact_slope(epoch_seconds("time_range"), F.col("word_count")).alias("slope")
     )
     steepest = top_k(slopes, "slope", n, "word", descending=False)
-    points = in_range.join(F.broadcast(steepest), "word")
+    points = in_range.join(steepest, "word")
     return points.groupBy("word", "slope", "time_range").agg(
         F.sum("word_count").alias("word_count")
     )

@@ -6,9 +6,6 @@ lexicon is a table ``word, valence``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +14,6 @@ from hearsay.functions.vocab import (
     NEGATION_FACTOR, NEGATION_SPAN, NEGATIONS, VALENCE_ALPHA,
 )
 
-# A lexicon up to this many words is carried by each task as a dictionary (some MB).
-MAX_CARRIED_WORDS = 100_000
-
 
 def valence_words(text: str) -> Column:
     """Lower-case letter runs in order; apostrophes are dropped, so don't reads dont."""
@@ -28,65 +22,37 @@ def valence_words(text: str) -> Column:
 
 
 def valence_score(
-    df: DataFrame,
-    text: str,
-    lexicon: DataFrame,
-    key: str,
-    out: str = "score",
-    max_carried: int = MAX_CARRIED_WORDS,
+    df: DataFrame, text: str, lexicon: DataFrame, key: str, out: str = "score"
 ) -> DataFrame:
     """Add the compound score; texts that are missing or empty score 0.
 
-    The lexicon's size is checked: up to ``max_carried`` words no row is shuffled, beyond
-    that ``valence_score_joined`` is used, which needs the row key.
+    ``key`` names one row each. The lexicon may have any size and the planner chooses the join; of
+    a word listed more than once the mean valence counts, and words without a valence do not.
     """
-    few = lexicon.select("word", "valence").limit(max_carried + 1).collect()
-    if len(few) > max_carried:
-        return valence_score_joined(df, text, lexicon, key, out)
-    valences = {row["word"]: float(row["valence"]) for row in few}
-    negations, factor, span = frozenset(NEGATIONS), NEGATION_FACTOR, NEGATION_SPAN
-
-    @F.pandas_udf("double")
-    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def add(words):
-            score = 0.0
-            for place, word in enumerate(words):
-                valence = valences.get(word)
-                if valence is not None:
-                    near = words[max(0, place - span):place]
-                    negated = not negations.isdisjoint(near)
-                    score += valence * factor if negated else valence
-            return score
-
-        for words in batches:
-            yield words.map(add).astype("float64")
+    negations = F.array(*[F.lit(word) for word in NEGATIONS])
 
-    return df.withColumn(out, normalise_valence(total(valence_words(text)), VALENCE_ALPHA))
+    def marked(words: Column) -> Column:
+        def mark(word, at):
+            before = F.slice(
+                words, F.greatest(F.lit(1), at + 1 - NEGATION_SPAN), F.least(at, F.lit(NEGATION_SPAN))
+            )
+            return F.struct(word.alias("word"), F.arrays_overlap(before, negations).alias("negated"))
 
+        return F.transform(words, mark)
 
-def valence_score_joined(
-    df: DataFrame, text: str, lexicon: DataFrame, key: str, out: str = "score"
-) -> DataFrame:
-    """The same score for a lexicon of any size, by a join on the words.
-
-    Uses of a word are counted per text first; a word that stands everywhere then has at
-    most two rows per text and adaptive execution can split it.
-    """
-    tokens = df.select(key, valence_words(text).alias("__words"))
-    placed = tokens.select(key, "__words", F.posexplode("__words").alias("__at", "word"))
-    before = F.slice(
-        "__words",
-        F.greatest(F.lit(1), F.col("__at") + 1 - NEGATION_SPAN),
-        F.least(F.col("__at"), F.lit(NEGATION_SPAN)),
+    # The words are bound once, as a lambda's variable, so that texts are tokenized once.
+    uses = df.select(
+        key, F.inline(F.flatten(F.transform(F.array(valence_words(text)), marked)))
+    )
+    valences = (
+        lexicon.where("word IS NOT NULL AND valence IS NOT NULL")
+        .groupBy("word").agg(F.avg(F.col("valence").cast("double")).alias("__valence"))
     )
-    negated = F.arrays_overlap(before, F.array(*[F.lit(word) for word in NEGATIONS]))
-    uses = placed.select(key, "word", negated.alias("__negated"))
-    counts = uses.groupBy(key, "word", "__negated").agg(F.count(F.lit(1)).alias("__uses"))
-    factor = F.when(F.col("__negated"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    factor = F.when(F.col("negated"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
     totals = (
-        counts.join(lexicon.select("word", "valence"), "word")
+        uses.join(valences, "word")
         .groupBy(key)
-        .agg(F.sum(F.col("valence") * F.col("__uses") * factor).alias("__total"))
+        .agg(F.sum(F.col("__valence") * factor).alias("__total"))
     )
     total = F.coalesce("__total", F.lit(0.0))
     return (

@@ -1,9 +1,8 @@
 """Nearest texts by cosine similarity, exact.
 
-Vectors are never paired with queries row by row. A task multiplies a block of vectors with
-a block of queries and passes on only the k best per query; a last step merges those. Few
-queries are carried by the tasks. Many are cut into blocks that meet blocks of vectors in
-a co-group, so memory per task is bounded on both sides.
+Vectors are never paired with queries row by row. A task multiplies a block of vectors with a
+block of queries that meet in a co-group, and passes on only the k best per query; a last step
+merges those. Memory per task is bounded by the blocks on both sides.
 """
 
 from __future__ import annotations
@@ -16,8 +15,9 @@ from hearsay.functions.values import uuid5
 from hearsay.operators.filters import embeddable
 from hearsay.operators.ranks import top_per_group
 
-# Up to this many query vectors are carried by the tasks (4,096 of 384 doubles: 12 MB).
-MAX_CARRIED_QUERIES = 4096
+# Blocks that vectors and queries are dealt to (50,000 vectors of 384 doubles take 150 MB).
+VECTOR_BLOCKS = 16
+QUERY_BLOCKS = 1
 
 
 def nearest(
@@ -28,10 +28,15 @@ def nearest(
     vector: str = "embedding",
     query_id: str = "query_id",
     query: str = "embedding",
-    max_carried: int = MAX_CARRIED_QUERIES,
-    vectors_per_block: int = 50_000,
+    vector_blocks: int = VECTOR_BLOCKS,
+    query_blocks: int = QUERY_BLOCKS,
 ) -> DataFrame:
-    """The k nearest vectors per query: ``query_id, vector_id, score, rn``; ties by id."""
+    """The k nearest vectors per query: ``query_id, vector_id, score, rn``; ties by id.
+
+    Ids are dealt to ``vector_blocks`` times ``query_blocks`` meetings. A task holds one block of
+    each side: give as many blocks as that takes for the larger side. Each vector is copied
+    once per query block, each query once per vector block; the result is the same.
+    """
     base = vectors.select(F.col(vector_id), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.select(F.col(query_id), F.col(query).cast("array<double>").alias("q"))
     id_type = base.schema[vector_id].dataType.simpleString()
@@ -39,17 +44,19 @@ def nearest(
     shape = f"`{query_id}` {key_type}, `{vector_id}` {id_type}, score double"
     best = _block_best(k, vector_id, query_id)
 
-    few = asked.limit(max_carried + 1).toPandas()
-    if len(few) <= max_carried:
+    def blocks(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
+        numbered = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(count)))
+        every = F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))
+        return numbered.withColumn(other, F.explode(every))
+
+    left = blocks(base, vector_id, "__vb", vector_blocks, "__qb", query_blocks)
+    right = blocks(asked, query_id, "__qb", query_blocks, "__vb", vector_blocks)
 
-        def carried(batches):
-            for batch in batches:
-                yield best(batch, few)
+    def meet(vector_block, query_block):
+        return best(vector_block, query_block)
 
-        partial = base.mapInPandas(carried, shape)
-    else:
-        partial = _by_blocks(base, asked, best, shape, vector_id, query_id, max_carried,
-                             vectors_per_block)
+    keys = ["__vb", "__qb"]
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, shape)
     return top_per_group(partial, query_id, "score", k, vector_id)
 
 
@@ -99,27 +106,6 @@ def _block_best(k: int, vector_id: str, query_id: str):
     return best
 
 
-def _by_blocks(base, asked, best, shape, vector_id, query_id, per_query_block, per_vector_block):
-    """Blocks of vectors against blocks of queries. The grid is as fine as the two counts
-    ask for; each side is copied once per block of the other."""
-    vector_blocks = max(1, -(-base.count() // per_vector_block))
-    query_blocks = max(1, -(-asked.count() // per_query_block))
-
-    def blocks(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
-        numbered = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(count)))
-        every = F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))
-        return numbered.withColumn(other, F.explode(every))
-
-    left = blocks(base, vector_id, "__vb", vector_blocks, "__qb", query_blocks)
-    right = blocks(asked, query_id, "__qb", query_blocks, "__vb", vector_blocks)
-
-    def meet(vector_block, query_block):
-        return best(vector_block, query_block)
-
-    keys = ["__vb", "__qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, shape)
-
-
 def retrieve_texts(
     found: DataFrame, texts: DataFrame, vector_id: str, text: str, query_id: str = "query_id",
     min_length: int = 60, limit: int = 5,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearsay.functions.text import tokens_clean
+from hearsay.functions.vocab import NEGATIVE_WORDS, POSITIVE_WORDS
 from hearsay.operators import insights, kpis, series, trends, words
 from hearsay.operators.filters import known_collections, posts_only
 from hearsay.operators.snapshots import snapshot_tables
@@ -253,12 +254,14 @@ add("count_by_collection", "A24",
 WITH {FEED} SELECT collection, count(*) AS count FROM feed GROUP BY 1""")
 
 add("texts_by_author", "A25",
-    lambda s, d: kpis.texts_by_author(posts(s, d), "did", "text", "post_id").select(
+    lambda s, d: kpis.texts_by_author(posts(s, d), "did", "text", "post_id", per_part=2).select(
         "did", "part", F.size("texts").alias("n_texts"),
         F.md5(F.array_join("texts", "\n")).alias("digest")), f"""
 WITH {POSTS}
-SELECT did, 0::BIGINT AS part, count(*) AS n_texts,
-       md5(string_agg(text, chr(10) ORDER BY post_id)) AS digest FROM posts GROUP BY did""")
+SELECT did, part, count(*) AS n_texts,
+       md5(string_agg(text, chr(10) ORDER BY post_id)) AS digest
+FROM (SELECT *, (row_number() OVER (PARTITION BY did ORDER BY post_id) - 1) // 2 AS part FROM posts)
+GROUP BY did, part""")
 
 add("mention_split", "A26", lambda s, d: kpis.mention_split(posts(s, d), "text", WORD), f"""
 WITH {POSTS}
@@ -420,6 +423,7 @@ WITH {ALL_FACTS}, tokenized AS (
 SELECT 'kpis' AS report, 'total_content' AS label, count(*)::DOUBLE AS value, 7::BIGINT AS run_id
 FROM all_facts
 UNION ALL SELECT 'kpis', 'total_posts', count(*) FILTER (post_type <> 'comment'), 7 FROM all_facts
+UNION ALL SELECT 'kpis', 'avg_sentiment', round(avg({sentiment_sql('tokens', POSITIVE_WORDS, NEGATIVE_WORDS)}), 6), 7 FROM tokenized
 UNION ALL SELECT 'kpis', 'avg_score', round(avg(score), 6), 7 FROM all_facts
 UNION ALL SELECT 'kpis', 'avg_comments', round(avg(num_comments), 6), 7 FROM all_facts
 UNION ALL SELECT 'content_split', 'posts', count(*) FILTER (post_type <> 'comment'), 7 FROM all_facts
@@ -438,7 +442,7 @@ def _snapshots(s, d):
         return tables[name].select(F.lit(name).alias("report"), F.inline(pairs), "run_id")
 
     return (
-        tall("kpis", "total_content", "total_posts", "avg_score", "avg_comments")
+        tall("kpis", "total_content", "total_posts", "avg_sentiment", "avg_score", "avg_comments")
         .unionByName(tall("content_split", "posts", "comments"))
         .unionByName(tables["top_keywords"].select(
             F.lit("top_keywords").alias("report"), "label",
@@ -449,6 +453,73 @@ def _snapshots(s, d):
     )
 
 
+def _tall(bundle: dict, part: str, label, value):
+    """A table of a bundle as rows of part, label and value."""
+    return bundle[part].select(
+        F.lit(part).alias("part"), label.cast("string").alias("label"),
+        value.cast("double").alias("value"))
+
+
+def _stacked(frames):
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+@query("forum_overview", "A1 A2 A3 A4 A5 A6 A6b", f"""
+WITH {ALL_FACTS}, chosen AS (SELECT * FROM all_facts WHERE month IN (1, 2, 3, 7))
+SELECT 'available_years' AS part, CAST(year AS VARCHAR) AS label, year::DOUBLE AS value
+FROM (SELECT DISTINCT year FROM all_facts)
+UNION ALL SELECT 'kpis', 'total_posts', count(*) FILTER (post_type <> 'comment') FROM chosen
+UNION ALL SELECT 'content_split', 'comments', count(*) FILTER (post_type = 'comment') FROM chosen
+UNION ALL SELECT 'post_type_split', post_type, count(*) FROM chosen GROUP BY 2
+UNION ALL (SELECT 'top_keywords', word, count(*) FROM (
+  SELECT unnest({alpha_sql('title')}) AS word FROM chosen WHERE post_type <> 'comment')
+  GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 6)
+UNION ALL SELECT 'timeline', {day_text('created_date')}, count(*) FROM chosen
+          WHERE post_type <> 'comment' GROUP BY 2
+UNION ALL SELECT 'timeline_series', {day_text('created_date')}, round(sum(engagement), 6)
+          FROM chosen GROUP BY 2""")
+def _forum_overview(s, d):
+    bundle = insights.forum_overview(facts_with_comments(s, d), "overall", "1,2,3,7")
+    day = F.date_format("bucket", "yyyy-MM-dd")
+    return _stacked([
+        _tall(bundle, "available_years", F.col("year"), F.col("year")),
+        _tall(bundle, "kpis", F.lit("total_posts"), F.col("total_posts")),
+        _tall(bundle, "content_split", F.lit("comments"), F.col("comments")),
+        _tall(bundle, "post_type_split", F.col("label"), F.col("value")),
+        _tall(bundle, "top_keywords", F.col("word"), F.col("count")),
+        _tall(bundle, "timeline", day, F.col("count")),
+        _tall(bundle, "timeline_series", day, F.col("total")),
+    ])
+
+
+@query("comments_overview", "A6 A7 A8 A9 A10", f"""
+WITH {REMARKS}, chosen AS (SELECT * FROM remarks WHERE month IN (2, 4, 6, 8))
+SELECT 'available_years' AS part, CAST(year AS VARCHAR) AS label, year::DOUBLE AS value
+FROM (SELECT DISTINCT year FROM remarks)
+UNION ALL SELECT 'kpis', 'total_comments', count(*) FROM chosen
+UNION ALL SELECT 'timeline_series', {day_text('created_date')},
+          count(*) FILTER (controversiality > 0) FROM chosen GROUP BY 2
+UNION ALL SELECT 'controversial_split', 'controversial', count(*) FILTER (controversiality > 0)
+          FROM chosen
+UNION ALL SELECT 'score_split',
+          CASE sign(score) WHEN 1 THEN 'positive' WHEN -1 THEN 'negative' ELSE 'neutral' END, count(*)
+          FROM chosen GROUP BY 2""")
+def _comments_overview(s, d):
+    bundle = insights.comments_overview(remarks(s, d), "overall", "2,4,6,8")
+    return _stacked([
+        _tall(bundle, "available_years", F.col("year"), F.col("year")),
+        _tall(bundle, "kpis", F.lit("total_comments"), F.col("total_comments")),
+        _tall(bundle, "timeline_series", F.date_format("bucket", "yyyy-MM-dd"),
+              F.col("controversial_comments")),
+        _tall(bundle, "controversial_split", F.col("label"), F.col("value")).filter(
+            F.col("label") == "controversial"),
+        _tall(bundle, "score_split", F.col("label"), F.col("value")),
+    ])
+
+
 add("top_communities", "S21",
     lambda s, d: snapshot_tables(
         facts(s, d).join(

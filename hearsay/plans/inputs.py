@@ -17,7 +17,6 @@ from hearsay.functions.vocab import (
 from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.series import controversy_series, crosslink_series, word_series
 from hearsay.operators.words import scored_titles, with_wordlist_score
-from hearsay.sources.readers import widen
 
 # Word lists that occur in the generated texts (the built-in ones hardly do).
 GOOD = ["tion", "ment", "ble", "thing", "thon", "thin"]
@@ -39,8 +38,9 @@ def rows_of(df: DataFrame) -> Column:
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     documents, events = table(spark, folder, "documents"), table(spark, folder, "events")
     stride = F.floor(rows_of(events) / rows_of(documents))
-    keyed = widen(documents, "doc_id").withColumn("event_id", F.col("doc_id") * stride)
-    return keyed.join(events, "event_id").select(
+    keyed = documents.withColumn("event_id", F.col("doc_id") * stride)
+    # Both tables grow alike; a merge join also deals the texts of a single small file to all tasks.
+    return keyed.join(events.hint("merge"), "event_id").select(
         F.col("doc_id").alias("post_id"),
         F.col("user_id").alias("did"),
         "ts",
@@ -229,11 +229,13 @@ def clean_sql(text: str, unique: bool = True) -> str:
     return f"list_distinct({kept})" if unique else kept
 
 
-def sentiment_sql(tokens: str) -> str:
+def sentiment_sql(
+    tokens: str, positive: list[str] | None = None, negative: list[str] | None = None
+) -> str:
     return (
         f"CASE WHEN len({tokens}) > 0 THEN CAST("
-        f"len(list_filter({tokens}, lambda t: t IN {sql_list(GOOD)})) - "
-        f"len(list_filter({tokens}, lambda t: t IN {sql_list(POOR)})) AS DOUBLE) / "
+        f"len(list_filter({tokens}, lambda t: t IN {sql_list(positive or GOOD)})) - "
+        f"len(list_filter({tokens}, lambda t: t IN {sql_list(negative or POOR)})) AS DOUBLE) / "
         f"len({tokens}) ELSE 0.0 END"
     )
 

@@ -109,15 +109,18 @@ SELECT post_id, CASE WHEN total IS NULL THEN 0.0::DOUBLE ELSE
        round(greatest(-1, least(1, total / sqrt(total * total + 15))), 6) END AS score
 FROM posts LEFT JOIN totals USING (post_id)"""
 
-add("valence_scores", "F16 X3 X4",
+add("valence_scores", "F16 X3 J10",
     lambda s, d: valence.valence_score(
         posts(s, d).select("post_id", "text"), "text", lexicon(s, d), "post_id").drop("text"),
     _VALENCE)
 
+# The same with every lexicon word listed twice, its valences as far above as below.
 add("valence_scores_joined", "F16 J10",
     lambda s, d: valence.valence_score(
-        posts(s, d).select("post_id", "text"), "text", lexicon(s, d), "post_id",
-        max_carried=0).drop("text"), _VALENCE)
+        posts(s, d).select("post_id", "text"), "text",
+        lexicon(s, d).select("word", F.explode(F.array(
+            F.col("valence") - 1, F.col("valence") + 1, F.lit(None))).alias("valence")),
+        "post_id").drop("text"), _VALENCE)
 
 # Vectors ------------------------------------------------------------------------------------
 
@@ -153,9 +156,8 @@ add("nearest_vectors", "V2", lambda s, d: _nearest(s, d, 10), f"""
 WITH {_NEAREST}
 SELECT query_id::BIGINT AS query_id, vec_id, round(score, 6) AS score, rn FROM found WHERE rn <= 10""")
 
-# The route for more queries than a task may carry, on small blocks.
 add("nearest_vectors_blocked", "V2",
-    lambda s, d: _nearest(s, d, 10, max_carried=4, vectors_per_block=150), f"""
+    lambda s, d: _nearest(s, d, 10, vector_blocks=5, query_blocks=3), f"""
 WITH {_NEAREST}
 SELECT query_id::BIGINT AS query_id, vec_id, round(score, 6) AS score, rn FROM found WHERE rn <= 10""")
 

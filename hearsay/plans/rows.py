@@ -273,8 +273,11 @@ add("conformed", "P23",
 SELECT event_type, CAST(event_id AS VARCHAR) AS event_id, CAST(trunc(value) AS BIGINT) AS value,
        CAST(user_id AS DOUBLE) AS user_id FROM events""")
 
-# A Bernoulli sample has no SQL twin: the two engines draw different rows.
-add("sampled_series", "P24", lambda s, d: table(s, d, "events").sample(0.2, seed=42))
+add("sampled_series", "P24",
+    lambda s, d: filters.hash_sample(table(s, d, "events"), "event_id", 0.2).select(
+        "event_id", "event_type"), f"""
+SELECT event_id, event_type FROM events
+WHERE CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) < {int(0.2 * 2**32)}""")
 
 add("embeddable", "P25",
     lambda s, d: filters.embeddable(
@@ -336,10 +339,17 @@ SELECT event_id, round(value / 7, 2) AS two, round(value / 7, 3) AS three,
 
 add("epoch_parts", "F24",
     lambda s, d: table(s, d, "events").select(
-        "event_id", times.seconds_ts(times.epoch_micros("ts") / 1_000_000).alias("at")).select(
+        "event_id", times.seconds_ts(
+            F.when(F.col("event_id") % 7 == 0, F.lit("NaN"))
+            .when(F.col("event_id") % 7 == 1, F.lit("Infinity"))
+            .when(F.col("event_id") % 7 == 2, (times.epoch_micros("ts") / 1_000).cast("string"))
+            .when(F.col("event_id") % 7 == 3, F.lit("soon"))
+            .otherwise((times.epoch_micros("ts") / 1_000_000).cast("string"))).alias("at"))
+    .where("at is not null").select(
         "event_id", F.to_date("at").alias("day"), F.year("at").alias("year"),
         F.month("at").alias("month")), f"""
-SELECT event_id, {day_text('ts')} AS day, year(ts) AS year, month(ts) AS month FROM events""")
+SELECT event_id, {day_text('ts')} AS day, year(ts) AS year, month(ts) AS month FROM events
+WHERE event_id % 7 > 3""")
 
 add("micros_times", "F25",
     lambda s, d: feed(s, d).select("event_id", times.micros_ts("time_us").alias("at")), f"""

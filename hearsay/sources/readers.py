@@ -29,17 +29,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer partitions than the cluster has slots over all slots.
-
-    For a few small files in front of heavy per-row work such as tokenizing. A scan with
-    partitions enough is left alone, so large inputs are never shuffled for this. Rows go
-    by the hash of a unique key, which a retry computes again.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
-
-
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parsed rows and the lines that failed."""
     if CORRUPT not in df.columns:

@@ -35,9 +35,9 @@ def convert_format(
 def compact_posts(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Created posts only, in files of bounded size, for a job that reads them often.
 
-    Files are sized by row count when written; no row is moved between tasks for it.
+    Rows are dealt anew in portions of the advisory size: many small inputs become few files.
     """
-    created_posts(df).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(
+    created_posts(df).hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(
         path
     )
 
@@ -109,20 +109,11 @@ def write_parted(
 ) -> None:
     """Write a folder per value of ``columns``, in as many files as its rows ask for.
 
-    Rows are counted per folder first; a folder with many rows is written by many tasks,
-    one with few by one. The salt is a hash of the row and of its input partition: a retry
-    computes it again, and copies of a row are spread as widely as they were read.
+    The input is worked out once. Rows are dealt by folder and adaptive execution splits
+    folders with many rows over many tasks and puts small ones together.
     """
-    counts = df.groupBy(*[F.col(name).alias(f"__of_{name}") for name in columns]).agg(
-        F.ceil(F.count(F.lit(1)) / rows_per_file).alias("__files")
-    )
-    salted = df.withColumn("__salt", F.xxhash64(*df.columns, F.spark_partition_id()))
-    same = F.lit(True)
-    for name in columns:
-        same = same & F.col(name).eqNullSafe(F.col(f"__of_{name}"))
-    sized = salted.join(counts, same)
-    spread = sized.repartition(*columns, F.pmod("__salt", "__files")).select(*df.columns)
-    writer = spread.write.mode(mode).partitionBy(*columns)
+    dealt = df.hint("rebalance", *[F.col(name) for name in columns])
+    writer = dealt.write.mode(mode).partitionBy(*columns)
     writer.option("maxRecordsPerFile", rows_per_file).format(fmt).save(path)
 
 

@@ -13,6 +13,7 @@ from hearsay.operators import (
     drift, facts, filters, grids, insights, keys, kpis, pairs, ranks, risk, series, snapshots, trends,
     valence, words,
 )
+from hearsay.functions import times
 from hearsay.functions.vocab import NEGATIONS
 
 
@@ -91,16 +92,10 @@ def test_patch_keeps_what_an_update_leaves_null(spark):
         ("a", 1, "x", 9), ("a", 2, "y", 2), ("b", 1, "new", 3)]
 
 
-def test_chunks_are_full_and_disjoint_over_many_buckets(spark):
-    frame = spark.range(1000).select(F.col("id").cast("string").alias("k"))
-    got = keys.chunk(frame, "k", 25, rows_per_bucket=100)
-    sizes = got.groupBy("bucket", "batch").count().collect()
-    assert got.count() == 1000 and len({row["bucket"] for row in sizes}) == 10
-    assert max(row["count"] for row in sizes) == 25
-    per_bucket = defaultdict(list)
-    for row in sizes:
-        per_bucket[row["bucket"]].append(row["count"])
-    assert all(sorted(counts)[1:] == [25] * (len(counts) - 1) for counts in per_bucket.values())
+def test_chunks_are_full_but_the_last(spark):
+    frame = spark.range(1010).select(F.format_string("%05d", "id").alias("k")).repartition(9)
+    got = keys.chunk(frame, "k", 25).orderBy("k").collect()
+    assert [row["batch"] for row in got] == [i // 25 for i in range(1010)]
 
 
 # Ranks ----------------------------------------------------------------------------------------
@@ -221,13 +216,14 @@ def test_splits_sum_to_hundred(spark):
     assert [r["label"] for r in kpis.media_split(frame).orderBy("position").collect()] == ["video", "photo", "text", "other"]
 
 
-def test_texts_of_a_hot_author_are_spread_and_kept(spark):
+def test_texts_of_a_hot_author_are_spread_and_kept_in_order(spark):
     frame = spark.range(900).select(
         F.when(F.col("id") % 3 != 0, F.col("id")).alias("who"), F.col("id").cast("string").alias("text"), "id")
-    got = kpis.texts_by_author(frame, "who", "text", "id", per_part=50)
-    parts = got.filter("who IS NULL").collect()
-    assert len(parts) == 6 and max(len(p["texts"]) for p in parts) < 100
-    assert sorted(t for p in parts for t in p["texts"]) == sorted(str(i) for i in range(0, 900, 3))
+    got = kpis.texts_by_author(frame.repartition(7), "who", "text", "id", per_part=50)
+    parts = got.filter("who IS NULL").orderBy("part").collect()
+    assert [p["part"] for p in parts] == list(range(6))
+    assert [t for p in parts for t in p["texts"]] == [str(i) for i in range(0, 900, 3)]
+    assert {len(p["texts"]) for p in parts} == {50}
     assert got.filter("who IS NOT NULL AND part != 0").count() == 0
 
 
@@ -389,12 +385,15 @@ def test_zero_fill_is_words_times_days_and_has_no_cross_join(spark):
     points = spark.createDataFrame([("a", 1, 5), ("b", 2, 6), ("z", 9, 7)], "w STRING, d INT, n INT")
     keys_ = spark.createDataFrame([("a",), ("b",), ("none",)], "w STRING")
     days = spark.createDataFrame([(1,), (2,), (3,), (3,)], "d INT")
-    grid = grids.zero_fill(points, keys_, days, "w", "d", ["n"], 3)
+    grid = grids.zero_fill(points, keys_, days, "w", "d", ["n"])
     assert grid.count() == 9
     assert rows(grid.filter("n > 0"), "w", "d", "n") == [("a", 1, 5), ("b", 2, 6)]
     plan = grid._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert grids.zero_fill(points, keys_.limit(0), days, "w", "d", ["n"], 3).count() == 0
+    assert grids.zero_fill(points, keys_.limit(0), days, "w", "d", ["n"]).count() == 0
+    many = spark.range(500).select(F.col("id").cast("string").alias("w"))
+    assert grids.zero_fill(points, many, days, "w", "d", ["n"]).count() == 1500
+    assert series.series_for_top(points, spark.createDataFrame([("a",), ("z",)], "w STRING"), "w").count() == 2
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 7, 10, 11, 50])
@@ -484,16 +483,44 @@ def valence_brute(text, lexicon):
     return max(-1, min(1, total / (total * total + 15) ** 0.5))
 
 
-@pytest.mark.parametrize("carried", [100, 0])
-def test_valence_score(spark, carried):
+def test_valence_score(spark):
     lexicon = {"good": 1.9, "bad": -2.5, "great": 3.1, "not": -0.5}
     texts = ["good", "not good", "not a b good", "not a b c good", "Don't say bad bad", "great great great bad",
              "", "nothing", "good not bad not good"]
     frame = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id INT, text STRING").repartition(3)
     table = spark.createDataFrame(list(lexicon.items()), "word STRING, valence DOUBLE")
-    got = dict(rows(valence.valence_score(frame, "text", table, "id", max_carried=carried), "id", "score"))
+    scored = valence.valence_score(frame, "text", table, "id")
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = dict(rows(scored, "id", "score"))
     assert got.pop(99) == 0.0
     assert got == pytest.approx({i: valence_brute(text, lexicon) for i, text in enumerate(texts)})
+    # A word listed twice counts with the mean of its valences; null valences do not count.
+    twice = table.selectExpr("word", "explode(array(valence - 1, valence + 1, null)) AS valence")
+    again = dict(rows(valence.valence_score(frame, "text", twice, "id"), "id", "score"))
+    assert again.pop(99) == 0.0 and again == pytest.approx(got)
+
+
+def test_times_that_cannot_be_dated_are_null(spark):
+    texts = ["1735689600", "1735689600.5", "NaN", "Infinity", "-Infinity", "1735689600000", "x", None,
+             "253402300799", "-62135596800", "253402300800"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    got = dict(rows(frame.select("id", F.year(times.seconds_ts("t")).alias("y")), "id", "y"))
+    assert got == {0: 2025, 1: 2025, **dict.fromkeys((2, 3, 4, 5, 6, 7, 10)), 8: 9999, 9: 1}
+
+
+def test_untitled_posts_count_in_the_bundle(spark):
+    frame = spark.createDataFrame(
+        [("good cat", "2025-01-01", 1.0), (None, "2025-01-01", 2.0)], "title STRING, d STRING, score DOUBLE"
+    ).select("title", F.to_date("d").alias("created_date"), F.year(F.to_date("d")).alias("year"),
+             F.month(F.to_date("d")).alias("month"), "score", F.lit(0.0).alias("ups"),
+             F.lit(0.0).alias("num_comments"), F.lit("text").alias("post_type"))
+    bundle = insights.feature_insights(frame, positive=["good"], negative=["bad"])
+    figures = bundle["sentiment_kpis"].first()
+    single = kpis.sentiment_kpis(words.scored_titles(frame, "title", ["good"], ["bad"])).first()
+    assert figures["avg_sentiment"] == pytest.approx(single["avg_sentiment"]) == pytest.approx(0.25)
+    counted = insights.word_days(words.scored_titles(frame, "title", ["good"], ["bad"]))
+    assert counted.filter(F.col("word") == insights.EVERY_POST).first()["count"] == 2
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
 
 
 def test_pairs(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 from __spark_entry__ import registry
-from hearsay.operators import series, words
+from hearsay.operators import ranks, series, words
 from hearsay.plans import inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -12,7 +12,7 @@ PLANNED = [
     if not name.startswith(("stream_", "json_", "global_")) and "S1" not in registry()[name].items
     and name not in {"dual_sink", "csv_export", "malformed_lines", "compacted_posts", "converted_format"}
 ]
-PYTHON = {"model_scores", "model_labels", "embedded_texts", "valence_scores", "nearest_vectors",
+PYTHON = {"model_scores", "model_labels", "embedded_texts", "nearest_vectors",
           "nearest_vectors_blocked", "retrieved_texts"}
 
 
@@ -65,8 +65,23 @@ def test_ranking_and_series_share_an_exchange(spark, name):
 @pytest.mark.parametrize("name", ["sentiment_heatmap", "dying_trends", "saturation_timeline", "word_timeline_top"])
 def test_texts_are_read_once(spark, name):
     """Ranking words and giving their series must not tokenize twice."""
+    plan = final_plan(registry()[name].run(spark, FOLDER))
+    assert plan.count("regexp_extract_all") == 1 and "ReusedExchange" in plan
+
+
+def test_global_row_numbers_shuffle_rows_once(spark):
+    orders = inputs.table(spark, FOLDER, "orders")
+    plan = plan_of(ranks.global_order(orders, "o_totalprice", "o_orderkey"))
+    # What is dealt by partition number are the counts of the partitions, not the rows.
+    assert "row_number" not in plan.replace("row_number#", "") and plan.count("hashpartitioning(__part") == 1
+    assert "partial_count" in plan[plan.index("hashpartitioning(__part"):]
+
+
+@pytest.mark.parametrize("name", ["sentiment_heatmap", "dying_trends", "word_timeline_top"])
+def test_lists_are_made_for_the_top_words_only(spark, name):
     plan = registry()[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all") == 1
+    above = plan[:plan.index("GlobalLimit")]
+    assert "collect_list" in above and "collect_list" not in plan[plan.index("GlobalLimit"):]
 
 
 def test_top_k_is_not_a_full_sort(spark):

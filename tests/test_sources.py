@@ -128,13 +128,6 @@ def test_views_and_sql(spark):
     assert readers.query_view(frame, "nested_rows", "SELECT r.id FROM nested_rows WHERE r.id > 2").count() == 2
 
 
-def test_small_scans_are_widened_and_wide_ones_left(spark):
-    slots = spark.sparkContext.defaultParallelism
-    assert readers.widen(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == slots
-    wide = spark.range(0, 100, 1, slots)
-    assert readers.widen(wide, "id") is wide
-
-
 def test_shared_paths_lie_in_the_checkpoint_folder(spark):
     assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert shared_path(spark, "x").startswith(checkpoint_root(spark))

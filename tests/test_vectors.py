@@ -28,7 +28,7 @@ def data():
     return vecs, queries
 
 
-@pytest.mark.parametrize("options", [{}, {"max_carried": 3, "vectors_per_block": 40}])
+@pytest.mark.parametrize("options", [{}, {"vector_blocks": 7, "query_blocks": 3}, {"vector_blocks": 1}])
 def test_nearest_equals_brute_force(spark, data, options):
     vecs, queries = data
     base = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id INT, embedding ARRAY<DOUBLE>").repartition(5)
