@@ -11,12 +11,14 @@ documents that are on T of the inverted lists of its shingles.
    that, as then a pair must share several before it is worth a look at the whole sets.
 3. Short lists give pairs of nodes, with the number of lists they share and how far in the order.
    Pairs that cannot reach T after that are out.
-4. Long lists are not paired. One of their nodes after another probes the whole list, until the
-   others of the list are in one component or have probed themselves. Members of one component
-   need no comparing: what counts is who can be reached.
-5. A node and its candidates meet with their whole sets, and DivideSkip searches the candidates:
-   the lists of the node's shingles over the candidates are merged but for the longest, and what
-   is on enough of them is looked up in the longest by binary search.
+4. Pairs and long lists hold nodes together in blocks, and no link leaves a block. The whole sets of a
+   block meet in one task, where DivideSkip searches them: the inverted lists of a node's
+   shingles are merged but for the longest, and what is on enough of them is looked up in the
+   longest by binary search. Who is in a group already needs no comparing: what counts is
+   who can be reached.
+5. Blocks beyond a fixed size are searched piecewise: a node and some of its candidates at a time.
+   Long lists are not paired there; one of their nodes after another probes the whole list, until
+   the others of the list are in one component or have probed themselves.
 
 The order needs to be the same everywhere, but it need not be right about frequencies: they only
 decide how long lists get. So a bounded number of the most frequent shingles is broadcast.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm.components import components
@@ -49,6 +51,8 @@ SHORT_LIST = 50
 #: candidates that meet a node in one place.
 FIRST_PROBES = 1
 CANDIDATES = 128
+#: Shingles of a block that one task searches at most.
+BLOCK_SHINGLES = 1_000_000
 #: What prefixes are longer by, as a share of the set.
 LONGER = 0.05
 #: Size of the filter of wanted ids (as a power of two, in bits), and parts it is made in.
@@ -188,13 +192,14 @@ def postings(nodes: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(lists: DataFrame, long_counts: DataFrame, nodes: DataFrame,
+def candidate_pairs(lists: DataFrame, long_postings: DataFrame, nodes: DataFrame,
                     percent: int) -> DataFrame:
     """x, y (x < y) that may reach T, from short lists.
 
-    Up to the end of the shorter prefix, x has at least i and y at least j shingles, if those at i
-    and j are the last they share, and one of them all its prefix. What they have there and do not
-    share counts as difference. Of the long lists they may share all.
+    What a pair shares of long lists is looked up for the pairs that short lists give. Up to the end
+    of the shorter prefix, x has at least i and y at least j shingles, if those at i and j are the
+    last they share, and one of them has all its prefix there. What they have there and do not
+    share counts as difference.
     """
     pairs = lists.selectExpr(
         "explode(flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, size(nodes)), "
@@ -203,57 +208,126 @@ def candidate_pairs(lists: DataFrame, long_counts: DataFrame, nodes: DataFrame,
     shared = pairs.groupBy("x", "y").agg(
         F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j")
     )
-    own = nodes.join(long_counts, "node", "left").select(
-        "node", "n", "rare", F.coalesce("long", F.lit(0)).alias("long")
+    by_node = long_postings.groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("long")
+    ).select("node", F.col("long.pos").alias("at"), F.col("long.shingle").alias("long"))
+    own = nodes.join(by_node, "node", "left").select(
+        "node", "n", "rare", "at", F.coalesce("long", F.array().cast("array<bigint>")).alias("long")
     )
     ends = [own.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else side)
                          for c in own.columns)) for side in ("x", "y")]
-    least = F.expr(
-        "i + j + least(x_rare - i, y_rare - j) - 2 * (shared + least(x_long, y_long))"
-    )
+
+    def last(side: str, at: str) -> Column:
+        """The later of the last shared places in short and in long lists."""
+        place = F.expr(f"get({side}_at, cast(array_position({side}_long, get(both, size(both) - 1)) "
+                       "- 1 as int))")
+        return F.greatest(F.col(at), F.coalesce(place, F.lit(0)))
+
+    difference = F.expr("i + j + least(x_rare - i, y_rare - j) - 2 * (shared + size(both))")
     return (
         shared.join(ends[0], "x").join(ends[1], "y")
         .where(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-        .where((100 + percent) * least <= (100 - percent) * F.expr("x_n + y_n"))
+        .withColumn("both", F.array_intersect("x_long", "y_long"))
+        .withColumn("i", last("x", "i")).withColumn("j", last("y", "j"))
+        .where((100 + percent) * difference <= (100 - percent) * F.expr("x_n + y_n"))
         .select("x", "y")
     )
 
 
-def needed(n: int, m: int, percent: int) -> int:
-    """T: shared shingles from which sets of n and m are similar enough."""
-    return -(-percent * (n + m) // (100 + percent))
+class Index:
+    """Inverted lists of shingles over a number of sets; entries of a list are in set order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+
+    def search(self, query: np.ndarray, percent: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the sets (only of those marked in ``among``) that share at least T shingles
+        with the query, by DivideSkip.
+
+        The short lists are merged by counting their entries, which does in one vectorized step
+        what a heap does entry by entry. What is on enough of them is looked up in the long
+        lists by binary search.
+        """
+        n = len(query)
+        goals = -(-percent * (n + self.sizes) // (100 + percent))
+        allowed = 100 * np.minimum(n, self.sizes) >= percent * np.maximum(n, self.sizes)
+        if among is not None:
+            allowed &= among
+        if not allowed.any():
+            return np.zeros(0, np.int64)
+        goal = int(goals[allowed].min())
+        starts = np.searchsorted(self.values, query, "left")
+        lengths = np.searchsorted(self.values, query, "right") - starts
+        longest = max(2, int(lengths.max()))
+        skipped = min(int(goal / (MU * math.log(longest) + 1)), goal - 1)
+        order = np.argsort(lengths, kind="stable")
+        short, long_lists = order[:n - skipped], order[n - skipped:]
+        sizes = lengths[short]
+        places = np.repeat(starts[short] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        counts = np.bincount(self.owners[places], minlength=len(self.sizes))
+        candidates = np.flatnonzero(allowed & (counts >= goals - skipped))
+        for i in long_lists[::-1].tolist():
+            if len(candidates) and lengths[i]:
+                counts[candidates] += holds(self.owners[starts[i]:starts[i] + lengths[i]], candidates)
+        return candidates[counts[candidates] >= goals[candidates]]
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which of the sets share at least T shingles with the query, by DivideSkip.
+    """Which of the sets share at least T shingles with the query."""
+    return Index(sets).search(query, percent).tolist()
 
-    The inverted lists hold positions in ``sets`` by shingle of the query. The short lists are
-    merged by counting their sorted concatenation, which does in one vectorized step what a heap
-    does entry by entry.
+
+def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links from the smallest id of every group within a block to its other ids.
+
+    Searches go on from what the one before has found, each among the sets that no group has yet.
+    Sets of one id link like the id.
     """
-    goals = np.array([needed(len(query), len(s), percent) for s in sets])
-    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values = np.concatenate(sets)
-    at = np.minimum(np.searchsorted(query, values), len(query) - 1)
-    hit = query[at] == values
-    at, owners = at[hit], owners[hit]
-    by_list = np.argsort(at, kind="stable")
-    at, owners = at[by_list], owners[by_list]  # lists one after the other, each sorted
-    lengths = np.bincount(at, minlength=len(query))
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    goal = int(goals.min())
-    skipped = min(int(goal / (MU * math.log(max(2, int(lengths.max(initial=0)))) + 1)), goal - 1)
-    order = np.argsort(-lengths, kind="stable")
-    long_lists = order[:skipped]
-    is_long = np.zeros(len(query), bool)
-    is_long[long_lists] = True
-    counts = np.bincount(owners[~is_long[at]], minlength=len(sets))
-    candidates = np.flatnonzero(counts >= goals - skipped)
-    for i in long_lists.tolist():
-        entries = owners[starts[i]:starts[i + 1]]
-        if len(entries) and len(candidates):
-            counts[candidates] += holds(entries, candidates)
-    return candidates[counts[candidates] >= goals[candidates]].tolist()
+    index = Index(sets)
+    free = np.ones(len(sets), bool)
+    out = []
+    for root in np.argsort(np.array(ids), kind="stable").tolist():
+        if not free[root]:
+            continue
+        free[root] = False
+        waiting = [root]
+        while waiting:
+            found = index.search(sets[waiting.pop()], percent, free)
+            free[found] = False
+            waiting += found.tolist()
+            out += [(ids[root], ids[i]) for i in found.tolist()]
+    return out
+
+
+def blocks_linked(sets: DataFrame, percent: int) -> DataFrame:
+    """x, y: the links of every block, from node, block and shingles. A block is of bounded size
+    and is searched as it streams by."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, members = None, [], []
+        for batch in stream:
+            out = []
+            for part in slices(batch):
+                for node, own, shingles in zip(*(part.column(c).to_pylist()
+                                                 for c in ("node", "block", "shingles"))):
+                    if own != block:
+                        if ids:
+                            out += block_links(ids, members, percent)
+                        block, ids, members = own, [], []
+                    ids.append(node)
+                    members.append(np.frombuffer(shingles, np.uint64))
+            yield _pairs(out)
+        if ids:
+            yield _pairs(block_links(ids, members, percent))
+
+    return (
+        sets.select("node", "block", "shingles").repartition("block")
+        .sortWithinPartitions("block", "node").mapInArrow(batches, "x bigint, y bigint")
+    )
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +350,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(x, queries, ids, sets) -> list[tuple[int, int]]:
-            hits = {ids[i] for q in queries for i in t_occurrence(q, sets, percent)} if sets else ()
+            index = Index(sets) if sets else None
+            hits = {ids[i] for q in queries for i in index.search(q, percent).tolist()} if sets else ()
             return [(x, y) for y in sorted(hits)]
 
         key, queries, ids, members = None, [], [], []
@@ -319,7 +394,7 @@ def id_filter(ids: DataFrame) -> Bloom:
         yield pa.RecordBatch.from_arrays([binaries([np.packbits(part.bits).tobytes()])], ["bits"])
 
     whole = Bloom(FILTER_POWER)
-    for row in ids.repartition(FILTER_PARTS).mapInArrow(batches, "bits binary").toLocalIterator():
+    for row in ids.repartition(FILTER_PARTS).mapInArrow(batches, "bits binary").collect():
         whole.bits |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
     return whole
 
@@ -399,6 +474,40 @@ def probe_long_lists(rows: DataFrame, sets: DataFrame, links: DataFrame,
         probes *= 3
 
 
+def candidate_blocks(pairs: DataFrame, long_rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, block and shingles (of the whole block): what candidate pairs and long lists hold
+    together. No link leaves a block."""
+    first = long_rows.groupBy("shingle").agg(F.min("node").alias("x"))
+    held = long_rows.join(first, "shingle").select("x", F.col("node").alias("y")).where("x != y")
+    together = components(pairs.unionByName(held.distinct()))
+    whole = together.withColumnRenamed("component", "block").join(nodes.select("node", "n"), "node")
+    sizes = whole.groupBy("block").agg(F.sum("n").alias("shingles"))
+    return written(whole.join(sizes, "block").select("node", "block", "shingles"), "blocks")
+
+
+def larger_linked(docs: DataFrame, larger: DataFrame, pairs: DataFrame, long_rows: DataFrame,
+                  words: int, percent: int) -> DataFrame:
+    """The links of blocks that are too large for one task: candidates meet a node in groups."""
+    sets = written(shingle_sets(docs, larger, words), "sets")
+    ids = larger.select(F.col("node").alias("x"))
+    pairs = written(pairs.join(ids, "x", "left_semi"), "pairs")
+    # A pair for each node first; most others are then in one component and need no search.
+    lead = (
+        pairs.groupBy("x").agg(F.min("y").alias("y"))
+        .unionByName(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")).distinct()
+    )
+    links = written(linked(lead, sets, percent), "links")
+    known = components(links)
+    kx, ky = (known.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+              for s in ("x", "y"))
+    rest = (
+        pairs.join(lead, ["x", "y"], "left_anti").join(kx, "x", "left").join(ky, "y", "left")
+        .where("cx is null or cy is null or cx != cy").select("x", "y")
+    )
+    links = written(links.unionByName(linked(written(rest, "pairs"), sets, percent)), "links")
+    return probe_long_lists(long_rows.join(larger, "node", "left_semi"), sets, links, percent)
+
+
 def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -425,39 +534,28 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "lists",
     )
     short = lists.where(F.size("nodes") <= SHORT_LIST)
-    long_rare = lists.where(F.size("nodes") > SHORT_LIST).select(
-        "shingle", F.explode("nodes.node").alias("node")
-    )
-    long_counts = long_rare.groupBy("node").agg(F.count("*").alias("long"))
-    pairs = written(candidate_pairs(short, long_counts, nodes, percent), "pairs")
+    long_rare = lists.where(F.size("nodes") > SHORT_LIST).select("shingle", F.inline("nodes"))
+    pairs = written(candidate_pairs(short, long_rare, nodes, percent), "pairs")
     long_rows = written(
-        long_rare.unionByName(
+        long_rare.select("shingle", "node").unionByName(
             posted(signed_nodes.where("8 * rare < length(prefix)")).where("not rare")
             .select("shingle", "node")
         )
         .join(nodes.select("node", "n"), "node").select("shingle", "node", "n"),
         "long-lists",
     )
-    involved = (
-        pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-        .unionByName(long_rows.select("node")).distinct()
+    sized = candidate_blocks(pairs, long_rows, nodes)
+    bounded = sized.where(F.col("shingles") <= BLOCK_SHINGLES).select("node", "block")
+    links = written(
+        blocks_linked(
+            shingle_sets(docs, bounded.select("node"), words).join(bounded, "node"), percent
+        ),
+        "links",
     )
-    sets = written(shingle_sets(docs, involved, words), "sets")
-    # A pair for each node first; most others are then in one component and need no search.
-    lead = (
-        pairs.groupBy("x").agg(F.min("y").alias("y"))
-        .unionByName(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")).distinct()
-    )
-    links = written(linked(lead, sets, percent), "links")
-    known = components(links)
-    kx, ky = (known.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
-              for s in ("x", "y"))
-    rest = (
-        pairs.join(lead, ["x", "y"], "left_anti").join(kx, "x", "left").join(ky, "y", "left")
-        .where("cx is null or cy is null or cx != cy").select("x", "y")
-    )
-    links = written(links.unionByName(linked(written(rest, "pairs"), sets, percent)), "links")
-    links = probe_long_lists(long_rows, sets, links, percent)
+    larger = written(sized.where(F.col("shingles") > BLOCK_SHINGLES).select("node"), "larger")
+    if not larger.isEmpty():
+        more = larger_linked(docs, larger, pairs, long_rows, words, percent)
+        links = written(links.unionByName(more), "links")
     labels = components(links)
     of_digest = nodes.join(labels, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("component_id")

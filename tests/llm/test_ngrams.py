@@ -75,11 +75,12 @@ def noisy_copies(seed):
 
 
 @pytest.mark.parametrize("seed, limits", [
-    (1, {}), (2, {"SHORT_LIST": 3, "BATCH_DOCS": 4, "CANDIDATES": 3}),
-    (3, {"SHORT_LIST": 2, "BATCH_DOCS": 2, "FREQUENT": 40}),
+    (1, {}), (2, {"SHORT_LIST": 3, "BATCH_DOCS": 4, "CANDIDATES": 3, "BLOCK_SHINGLES": 0}),
+    (3, {"SHORT_LIST": 2, "BATCH_DOCS": 2, "FREQUENT": 40, "BLOCK_SHINGLES": 500}),
 ])
 def test_against_brute_force(spark, monkeypatch, seed, limits):
-    """The same groups, whether lists are paired or probed and whatever counts as frequent."""
+    """The same groups, whether lists are paired or probed, whatever counts as frequent, and
+    whether blocks are searched whole or piecewise."""
     for name, value in limits.items():
         monkeypatch.setattr(ngramjoin, name, value)
     rows = noisy_copies(seed)
