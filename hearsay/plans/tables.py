@@ -232,12 +232,13 @@ SELECT post_id, (row_number() OVER (ORDER BY post_id) - 1) // 25 AS batch FROM p
 for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN",
                    "full": "FULL JOIN"}.items():
     add(f"join_{_how}", "J12",
-        lambda s, d, how=_how: table(s, d, "documents").filter(F.col("lang") == "en").select(
-            "doc_id", "source").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id", how)
-        .select("doc_id", F.coalesce("source", F.lit("none")).alias("source"),
+        lambda s, d, how=_how: table(s, d, "pages").select(
+            F.col("page_id").alias("doc_id"), "url").join(
+            table(s, d, "labels").select("doc_id", "toxic"), "doc_id", how)
+        .select("doc_id", F.coalesce("url", F.lit("none")).alias("url"),
                 F.coalesce("toxic", F.lit(-1)).alias("toxic")), f"""
-SELECT doc_id, coalesce(source, 'none') AS source, CAST(coalesce(toxic, -1) AS BIGINT) AS toxic
-FROM (SELECT doc_id, source FROM documents WHERE lang = 'en') {_sql} labels USING (doc_id)""")
+SELECT doc_id, coalesce(url, 'none') AS url, CAST(coalesce(toxic, -1) AS BIGINT) AS toxic
+FROM (SELECT page_id AS doc_id, url FROM pages) {_sql} labels USING (doc_id)""")
 
 add("join_anti", "J12",
     lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select(
