@@ -66,7 +66,8 @@ MEDIA_LABELS = ["video", "photo", "text", "other"]
 # Punctuation cut from both ends of a sentence word.
 EDGE_PUNCTUATION = r""".,!?;:()[]{}"'"""
 
-# Negations of the valence score, and its constants (published formula).
+# Negations of the valence score, and its constants: fixed values of the published VADER lexicon
+# method (Hutto and Gilbert, 2014).
 NEGATIONS = (
     "aint arent cannot cant couldnt darent despite didnt doesnt dont hadnt hasnt havent isnt "
     "mightnt mustnt neednt neither never none nope nor not nothing nowhere oughtnt rarely "

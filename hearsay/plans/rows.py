@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from hearsay.functions import media, scores, text, times, values
-from hearsay.functions.vocab import NAMESPACE_URL, POST_COLLECTION, default_stopwords
+from hearsay.functions.vocab import (
+    IMAGE_MARKS, NAMESPACE_URL, POST_COLLECTION, VIDEO_MARKS, default_stopwords,
+)
 from hearsay.operators import filters
 from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.ranks import scale_minmax, share
@@ -454,8 +456,8 @@ _MEDIA = f"""{POSTS}, media AS (
   SELECT post_id, CASE WHEN event_type = 'view' THEN
                     CASE WHEN trim(text) <> '' THEN 'text' ELSE 'other' END
          WHEN event_type = 'signup' THEN 'photo' WHEN event_type = 'error' THEN 'video'
-         WHEN regexp_matches(lower(url), '\\.mp4|\\.mov|\\.webm|video') THEN 'video'
-         WHEN regexp_matches(lower(url), '\\.jpg|\\.jpeg|\\.png|\\.gif|\\.webp|image') THEN 'photo'
+         WHEN regexp_matches(lower(url), '{VIDEO_MARKS}') THEN 'video'
+         WHEN regexp_matches(lower(url), '{IMAGE_MARKS}') THEN 'photo'
          WHEN event_type = 'click' THEN 'photo' ELSE 'other' END AS media
   FROM posts JOIN pages ON page_id = post_id % (SELECT count(*) FROM pages))"""
 
