@@ -42,8 +42,8 @@ from hearsay.llm.linededup import Bloom
 
 #: Frequent shingles that go last in the order at most, and how many of the documents counted
 #: together (with different sets, about COUNTED shingles in all) make one a candidate for that.
-FREQUENT = 100_000
-BATCH_DOCS = 8
+FREQUENT = 200_000
+BATCH_DOCS = 3
 COUNTED = 1_500_000
 #: Nodes on a list that is paired; longer lists are probed.
 SHORT_LIST = 50
@@ -52,7 +52,7 @@ SHORT_LIST = 50
 FIRST_PROBES = 1
 CANDIDATES = 128
 #: Shingles of a block that one task searches at most.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 2_000_000
 #: What prefixes are longer by, as a share of the set.
 LONGER = 0.05
 #: Size of the filter of wanted ids (as a power of two, in bits), and parts it is made in.
