@@ -10,7 +10,7 @@ documents that are on T of the inverted lists of its shingles.
    common there. Only prefixes are put into inverted lists. They are taken a little longer than
    that, as then a pair must share several before it is worth a look at the whole sets.
 3. Short lists give pairs of nodes, with the number of lists they share and how far in the order.
-   Pairs that cannot reach T after that are out.
+   Pairs that cannot reach T after that are out, unless a long list holds them together.
 4. Pairs and long lists hold nodes together in blocks, and no link leaves a block. The whole sets of a
    block meet in one task, where DivideSkip searches them: the inverted lists of a node's
    shingles are merged but for the longest, and what is on enough of them is looked up in the
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearsay.llm.components import components
@@ -171,7 +171,8 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """shingle, node, pos (from 1) and rare (it is not one of the frequent shingles)."""
+    """shingle, node, pos (from 1), rare (it is not one of the frequent shingles), n (size of the
+    node's set) and last (how many rare shingles its prefix has)."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -179,59 +180,41 @@ def postings(nodes: DataFrame) -> DataFrame:
                 lists = [np.frombuffer(x.as_py(), np.int64) for x in part.column("prefix")]
                 sizes = [len(x) for x in lists]
                 pos = np.concatenate([np.zeros(0, np.int64), *[np.arange(1, s + 1) for s in sizes]])
-                rare = np.repeat(part.column("rare").to_numpy(), sizes)
+                node, n, rare = (np.repeat(part.column(c).to_numpy(), sizes)
+                                 for c in ("node", "n", "rare"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.zeros(0, np.int64), *lists])),
-                     pa.array(np.repeat(part.column("node").to_numpy(), sizes)),
-                     pa.array(pos.astype(np.int32)), pa.array(pos <= rare)],
-                    ["shingle", "node", "pos", "rare"],
+                    [pa.array(np.concatenate([np.zeros(0, np.int64), *lists])), pa.array(node),
+                     pa.array(pos.astype(np.int32)), pa.array(pos <= rare),
+                     pa.array(n.astype(np.int32)), pa.array(rare.astype(np.int32))],
+                    ["shingle", "node", "pos", "rare", "n", "last"],
                 )
 
-    return nodes.select("node", "prefix", "rare").mapInArrow(
-        batches, "shingle bigint, node bigint, pos int, rare boolean"
+    return nodes.select("node", "prefix", "rare", "n").mapInArrow(
+        batches, "shingle bigint, node bigint, pos int, rare boolean, n int, last int"
     )
 
 
-def candidate_pairs(lists: DataFrame, long_postings: DataFrame, nodes: DataFrame,
-                    percent: int) -> DataFrame:
+def candidate_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """x, y (x < y) that may reach T, from short lists.
 
-    What a pair shares of long lists is looked up for the pairs that short lists give. Up to the end
-    of the shorter prefix, x has at least i and y at least j shingles, if those at i and j are the
-    last they share, and one of them has all its prefix there. What they have there and do not
-    share counts as difference.
+    Up to the end of the shorter prefix, x has at least i and y at least j shingles, if those at i
+    and j are the last they share, and one of them has all its prefix there. What they have there
+    and do not share counts as difference. A pair that shares a long list too may be left out
+    here, as long lists hold their nodes together anyway.
     """
     pairs = lists.selectExpr(
-        "explode(flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, size(nodes)), "
-        "b -> struct(a.node as x, b.node as y, a.pos as i, b.pos as j))))) as p"
-    ).select("p.*")
+        "explode(flatten(transform(nodes, (a, at) -> transform(slice(nodes, at + 2, size(nodes)), "
+        "b -> struct(a.node as x, b.node as y, a.pos as i, b.pos as j, a.n as xn, b.n as yn, "
+        "a.last as xl, b.last as yl))))) as p"
+    ).select("p.*").where(f"100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
+    first = [F.first(c).alias(c) for c in ("xn", "yn", "xl", "yl")]
     shared = pairs.groupBy("x", "y").agg(
-        F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j")
-    )
-    by_node = long_postings.groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "shingle"))).alias("long")
-    ).select("node", F.col("long.pos").alias("at"), F.col("long.shingle").alias("long"))
-    own = nodes.join(by_node, "node", "left").select(
-        "node", "n", "rare", "at", F.coalesce("long", F.array().cast("array<bigint>")).alias("long")
-    )
-    ends = [own.select(*(F.col(c).alias(f"{side}_{c}" if c != "node" else side)
-                         for c in own.columns)) for side in ("x", "y")]
-
-    def last(side: str, at: str) -> Column:
-        """The later of the last shared places in short and in long lists."""
-        place = F.expr(f"get({side}_at, cast(array_position({side}_long, get(both, size(both) - 1)) "
-                       "- 1 as int))")
-        return F.greatest(F.col(at), F.coalesce(place, F.lit(0)))
-
-    difference = F.expr("i + j + least(x_rare - i, y_rare - j) - 2 * (shared + size(both))")
-    return (
-        shared.join(ends[0], "x").join(ends[1], "y")
-        .where(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-        .withColumn("both", F.array_intersect("x_long", "y_long"))
-        .withColumn("i", last("x", "i")).withColumn("j", last("y", "j"))
-        .where((100 + percent) * difference <= (100 - percent) * F.expr("x_n + y_n"))
-        .select("x", "y")
+        F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), *first
     )
+    difference = F.expr("i + j + least(xl - i, yl - j) - 2 * shared")
+    return shared.where(
+        (100 + percent) * difference <= (100 - percent) * F.expr("xn + yn")
+    ).select("x", "y")
 
 
 class Index:
@@ -529,15 +512,17 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     lists = written(
         posted(signed_nodes).where("rare").repartition("shingle").groupBy("shingle")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "pos"))).alias("nodes"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "pos", "n", "last"))).alias("nodes"))
         .where("size(nodes) > 1"),
         "lists",
     )
     short = lists.where(F.size("nodes") <= SHORT_LIST)
-    long_rare = lists.where(F.size("nodes") > SHORT_LIST).select("shingle", F.inline("nodes"))
-    pairs = written(candidate_pairs(short, long_rare, nodes, percent), "pairs")
+    long_rare = lists.where(F.size("nodes") > SHORT_LIST).select(
+        "shingle", F.explode("nodes.node").alias("node")
+    )
+    pairs = written(candidate_pairs(short, percent), "pairs")
     long_rows = written(
-        long_rare.select("shingle", "node").unionByName(
+        long_rare.unionByName(
             posted(signed_nodes.where("8 * rare < length(prefix)")).where("not rare")
             .select("shingle", "node")
         )
