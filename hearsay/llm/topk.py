@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from hearsay.llm.frames import binaries, written
 
 SCALE = 256
+#: Scores (and components) beyond this are cut to it, so that sums stay 64-bit integers.
+SCORE_BOUND = 1 << 62
 SLICES = 2
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 4096
@@ -36,7 +38,7 @@ def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     """vec_id, dim and v (floor(256 * x) of each component as little-endian 64-bit integers).
 
     Left out are rows with a null id, and vectors that are null, empty or hold a null or a
-    non-finite component. Of rows that share an id the one with the smallest v counts, so
+    non-finite component; components beyond SCORE_BOUND are cut to it. Of rows that share an id the one with the smallest v counts, so
     repeated rows count once.
     """
 
@@ -48,6 +50,7 @@ def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
                     continue
                 found = np.floor(SCALE * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
                 if np.isfinite(found).all():
+                    found = np.clip(found, -SCORE_BOUND, SCORE_BOUND)
                     ids.append(i)
                     dims.append(len(found))
                     packed.append(found.astype("<i8").tobytes())
@@ -63,13 +66,17 @@ def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     )
 
 
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products of all rows: as doubles where these are exact, else as 64-bit integers,
-    which wrap around as Spark's do."""
+def bounded(exact: np.ndarray, rough: np.ndarray, bound: int) -> np.ndarray:
+    """Integer products, which may have wrapped around, cut at the bound by their doubles."""
+    return np.where(np.abs(rough) < bound, exact, np.sign(rough).astype(np.int64) * bound)
+
+
+def products(left: np.ndarray, right: np.ndarray, bound: int = SCORE_BOUND) -> np.ndarray:
+    """Inner products of all rows, by doubles where these are exact, else by 64-bit integers."""
     most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
     if most < 2**53:
         return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
-    return left @ right.T
+    return bounded(left @ right.T, left.astype(np.float64) @ right.T.astype(np.float64), bound)
 
 
 def cut(dim: int, slices: int) -> list[tuple[int, int]]:
@@ -138,6 +145,7 @@ def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool) -> DataFrame
                 found = products(
                     np.frombuffer(row["q_parts"], "<i8").reshape(len(q_ids), stop - start),
                     np.frombuffer(row["parts"], "<i8").reshape(len(ids), stop - start),
+                    SCORE_BOUND // slices,
                 )
                 if by_cutoff:
                     cutoffs = np.frombuffer(row["cutoffs"], "<i8")
@@ -187,7 +195,8 @@ def _rowwise(left: list[bytes], right: list[bytes]) -> np.ndarray:
     if not left:
         return np.zeros(0, np.int64)
     a, b = (np.frombuffer(b"".join(x), "<i8").reshape(len(x), -1) for x in (left, right))
-    return np.einsum("ij,ij->i", a, b)
+    rough = np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
+    return bounded(np.einsum("ij,ij->i", a, b), rough, SCORE_BOUND)
 
 
 def _ranked(rows: DataFrame, k: int, keys: list[str], order: list) -> DataFrame:
