@@ -29,14 +29,13 @@ MEMO_WORDS = 400_000
 #: Documents that a language needs for bands of its own.
 LEAST_DOCS = 100
 #: Per measure: how many times the middle half's width the band reaches below and above the
-#: median (None: no bound), and the least width, as a share of the median.
+#: median (None: no bound), and the least width, as a share of the median and as such.
 BANDS = {
-    "chars_per_token": (12.0, 12.0, 0.02),
-    "fertility": (None, 12.0, 0.04),
-    "entropy": (3.5, None, 0.05),
+    "chars_per_token": (12.0, 12.0, 0.02, 0.0),
+    "fertility": (None, 12.0, 0.04, 0.0),
+    "byte_share": (4.0, 4.0, 0.0, 0.05),
+    "entropy": (3.5, None, 0.05, 0.0),
 }
-#: Share of byte tokens that any band allows.
-BYTE_SHARE = 0.2
 ACCURACY = 10_000
 
 
@@ -169,9 +168,9 @@ def bands(rows: DataFrame) -> DataFrame:
         passed.agg(F.count("*").alias("docs"), *percentiles).withColumn("group", F.lit(""))
     )
     columns = []
-    for m, (below, above, least) in BANDS.items():
+    for m, (below, above, share, least) in BANDS.items():
         low, mid, high = (F.col(m)[i] for i in range(3))
-        width = F.greatest(high - low, least * F.abs(mid))
+        width = F.greatest(high - low, share * F.abs(mid), F.lit(least))
         columns += [
             (mid - below * width if below is not None else F.lit(float("-inf"))).alias(f"low_{m}"),
             (mid + above * width if above is not None else F.lit(float("inf"))).alias(f"high_{m}"),
@@ -200,7 +199,7 @@ def judged(docs: DataFrame, model_file: str) -> DataFrame:
         found.where(F.col("group") != "").where(F.col("docs") >= LEAST_DOCS).drop("docs"),
         "group", "left",
     )
-    inside = F.col("byte_share") <= BYTE_SHARE
+    inside = F.lit(True)
     for m in BANDS:
         inside &= F.col(m) >= F.coalesce(f"low_{m}", F.lit(whole[f"low_{m}"]).cast("double"))
         inside &= F.col(m) <= F.coalesce(f"high_{m}", F.lit(whole[f"high_{m}"]).cast("double"))

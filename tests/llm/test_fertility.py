@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -57,6 +58,26 @@ def test_tokens_are_those_of_the_whole_text():
         assert tokens.of(text.encode().split()).tolist() == model.encode(" ".join(text.split()))
 
 
+def made(rng, letters, n_words=80):
+    """Lower-case words of random letters, none of which comes back often."""
+    return " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n_words))
+
+
+ETHIOPIC = [c for c in map(chr, range(0x1208, 0x1248)) if c.isalpha()]
+LATIN = list("abcdefghijklmnopqrstuvwxyz")
+
+
+def test_byte_share_is_judged_by_the_language(spark):
+    rng = random.Random(1)
+    rows = [(i, "am", made(rng, ETHIOPIC)) for i in range(120)]
+    rows += [(i, "en", made(rng, LATIN)) for i in range(1000, 1120)]
+    rows += [(2000, "en", made(rng, ETHIOPIC)), (2001, "am", made(rng, LATIN))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    found = {r.doc_id: r for r in fertility.judged(docs, MODEL).collect()}
+    assert min(found[i].byte_share for i in range(120)) > 0.2
+    assert all(r.kept == (i < 2000) for i, r in found.items())
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
