@@ -78,6 +78,18 @@ def test_byte_share_is_judged_by_the_language(spark):
     assert all(r.kept == (i < 2000) for i, r in found.items())
 
 
+def test_far_from_the_median_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = fertility.judged(docs, MODEL).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    rows = rows[~rows.base_failed]
+    for measure, seen in (("chars_per_token", 100), ("fertility", 300), ("entropy", 0)):
+        groups = rows.groupby("lang")[measure]
+        width = groups.transform("quantile", 0.75) - groups.transform("quantile", 0.25)
+        far = (rows[measure] - groups.transform("median")).abs() > 5 * width
+        assert far.sum() >= seen and not rows.kept[far].any(), measure
+    assert rows.kept.mean() > 0.9
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
