@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.llm.frames import mixed, seeded, slices, worker_cache, written
+from hearsay.llm.frames import mixed, slices, worker_cache, written
 
-#: Size of the feature vector, rows that a model is fitted on at most, iterations.
+#: Size of the feature vector, rows of a language that a model is fitted on at most, iterations.
 FEATURES = 2048
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 1500
 ITERATIONS = 30
 SEED = 5
 #: Code points of a text that are held as numbers at once.
@@ -121,14 +121,20 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from text and lang of ``rows`` rows at the most, chosen by a seeded hash of
-    doc_id; rows without text, letters or lang do not count. Without any, the model knows no language."""
+    """A model from text and lang of ``rows`` rows of each language at the most, chosen by a
+    seeded hash of doc_id and text, so that no language of a labelled row is left out. Rows
+    without text, letters or lang do not count. Without any, the model knows no language."""
+    # Cn: a letter of a newer Unicode version than Java's counts too
+    usable = labelled.where("lang is not null").where(F.col("text").rlike(r"[\p{L}\p{Cn}]")).select(
+        F.col("lang").cast("string").alias("lang"), "text",
+        F.xxhash64(F.lit(SEED), "doc_id", "text").alias("at"),
+    )
+    # Cut to the first of each language where rows are read; repeated rows share a place.
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("at"))
     sample = (
-        labelled.where("lang is not null and text is not null")
-        .select("doc_id", "lang").orderBy(seeded("doc_id", SEED), "doc_id").limit(rows)
-        .dropDuplicates(["doc_id"])
+        usable.select("lang", "at").withColumn("place", place).where(F.col("place") <= rows)
+        .select("lang", "at").distinct()
     )
-    chosen = labelled.where("lang is not null and text is not null").select("doc_id", "text")
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -145,10 +151,10 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     ["lang", "x"],
                 )
 
-    # The sample's ids and languages are a bounded table.
+    # The sample's hashes are a table bounded by the number of languages.
     vectors = written(
-        chosen.join(F.broadcast(sample), "doc_id").select("lang", "text")
-        .mapInArrow(batches, "lang string, x array<double>"),
+        usable.join(F.broadcast(sample), ["lang", "at"]).dropDuplicates(["lang", "at"])
+        .select("lang", "text").mapInArrow(batches, "lang string, x array<double>"),
         "language-samples",
     )
     langs = sorted(r.lang for r in vectors.select("lang").distinct().collect())

@@ -49,6 +49,18 @@ def test_nothing_to_learn_languages_from(odd_docs, no_docs):
     assert letters and {r.lang_pred for r in letters} == {"en"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "en", f"the house number {i} stands by the river") for i in range(2000)]
+    rows += [(1, "en", "the house number 1 stands by the river")] * 100
+    rows += [(3000 + i, "fi", f"talo numero {i} on joen rannalla") for i in range(3)]
+    rows += [(4000 + i, "ja", f"{i}") for i in range(200)] + [(5000, "ja", "川のそばの家")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.fit(docs, 20)
+    assert sorted(sum(model.languages.values(), [])) == ["en", "fi", "ja"]
+    found = langid.predict(docs.where("lang != 'ja' or doc_id = 5000"), model)
+    assert found.where("lang_pred != lang").count() == 0
+
+
 def test_long_texts_are_read_whole(monkeypatch):
     text = "Der Text ist lang. " * 2000
     whole = langid.features(text + "ñ")
