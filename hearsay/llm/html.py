@@ -28,15 +28,15 @@ BLOCK_TAGS = frozenset(
     "select summary table tbody td template tfoot th thead title tr ul".split()
 )
 #: Tags whose content is not markup.
-RAW_TAGS = frozenset("script style textarea noscript template iframe svg math object canvas "
-                     "audio video".split())
+RAW_TAGS = frozenset("script style textarea noscript template iframe svg canvas audio video".split())
+#: Of these, tags that hide the rest of a page that never closes them; others end at once.
+TO_THE_END = frozenset(("script", "style"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: Tags whose content is never main text, and words in class or id that say the same.
 SIDE_TAGS = frozenset("nav footer aside form menu dialog button select fieldset head search".split())
-COMMENT_WORDS = frozenset("comment comments commentlist commentary disqus reply replies respond "
-                          "discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentary disqus reply replies respond".split())
 SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notification alert popup modal overlay sidebar menu nav "
@@ -55,6 +55,8 @@ _TAG = re.compile(
     re.S,
 )
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: For headings, whose ids are slugs of their text.
+_CLASSES = re.compile(r"""\b(?:class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(
     r"""\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I
 )
@@ -89,7 +91,8 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
         return True, False
     if tag in ("body", "html"):
         return False, False
-    words = {w.lower() for found in _MARKS.findall(attributes) for w in _WORD.findall("".join(found))}
+    marks = _CLASSES if tag in HEADINGS else _MARKS
+    words = {w.lower() for found in marks.findall(attributes) for w in _WORD.findall("".join(found))}
     if words & COMMENT_WORDS:
         return True, False
     return False, tag not in MAIN_TAGS and bool(words & SIDE_WORDS)
@@ -104,6 +107,7 @@ def blocks(page: str) -> list[Block]:
     pieces: list[tuple[str, bool]] = []
     heading = False
     links = 0
+    unclosed: set[str] = set()  # raw tags without an end tag further on
 
     def flush() -> None:
         if not pieces:
@@ -166,8 +170,15 @@ def blocks(page: str) -> list[Block]:
         attributes = match.group(4) or match.group(7) or ""
         if tag in RAW_TAGS:
             if not ending and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                end = None
+                if tag not in unclosed:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = size
+                else:
+                    unclosed.add(tag)
             pieces.append((" ", False))
             continue
         if tag == "a":
@@ -248,11 +259,18 @@ LABELLED = (
     (6, 0.2, 2, 1.0, 3, 0.0, 0, 1, 1, 1),
     (9, 0.0, 0, 0.0, 1, 0.0, 0, 1, 1, 1),
     (2, 0.0, 5, 0.0, 1, 0.0, 0, 1, 0, 1),
-    (1, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 0),
-    (2, 1.0, 150, 0.0, 3, 1.0, 0, 1, 0, 0),
-    (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 0, 0),
-    (8, 1.0, 60, 0.0, 9, 1.0, 0, 1, 0, 0),
-    (3, 0.9, 5, 1.0, 0, 0.0, 0, 1, 0, 0),
+    # wholly links: headings, items and paragraphs of the article
+    (6, 1.0, 0, 0.0, 60, 0.0, 0, 1, 1, 1),
+    (3, 1.0, 45, 0.0, 30, 0.0, 0, 1, 1, 1),
+    (1, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1),
+    (2, 1.0, 150, 0.0, 3, 1.0, 0, 1, 0, 1),
+    (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 0, 1),
+    (8, 1.0, 60, 0.0, 9, 1.0, 0, 1, 0, 1),
+    (3, 0.9, 5, 1.0, 0, 0.0, 0, 1, 0, 1),
+    (30, 0.8, 25, 0.1, 40, 0.0, 0, 1, 0, 1),
+    *((words, links, 10, links_before, 10, links_after, 0, 1, heading, 1)
+      for words in (1, 3, 8, 20, 60) for links in (0.0, 1.0) for links_before in (0.0, 1.0)
+      for links_after in (0.0, 1.0) for heading in (0, 1)),
     # marked as a side matter, wherever it stands
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 1, 0.5, 0, 0),
@@ -291,6 +309,16 @@ LABELLED = (
     (7, 0.2, 3, 0.0, 0, 0.0, 0, 0.5, 0, 0),
     (2, 0.0, 0, 0.0, 1, 1.0, 0, 0.5, 0, 0),
     (4, 0.6, 3, 0.0, 5, 0.4, 0, 0.5, 0, 0),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0.5, 0, 0),
+    (3, 0.0, 2, 0.0, 0, 0.0, 0, 0.5, 0, 0),
+    (2, 0.0, 3, 0.0, 2, 0.0, 0, 0.5, 0, 0),
+    *((words, 0.0, before, links_before, after, 0.0, 0, 0.5, 1, 1)
+      for words in (1, 2, 4, 7) for before, links_before in ((0, 0.0), (1, 1.0), (40, 0.0))
+      for after in (15, 30, 60)),
+    # the same: prose, links and side matters of many lengths, whatever stands around them
+    *((words, links, before, 0.0, after, 0.0, marked, 0.5, 0, int(not links and not marked))
+      for words in (14, 20, 30, 45, 90) for before in (0, 2, 30) for after in (0, 1, 30)
+      for links, marked in ((0.0, 0), (0.8, 0), (0.0, 1))),
 )
 
 

@@ -46,6 +46,28 @@ def test_odd_pages(page, expected):
     assert text(page) == expected
 
 
+def test_last_prose_without_article():
+    words = " ".join(["word"] * 30)
+    assert text(f"<body><p>{words}</p></body>") == words
+    assert text(f"<body><p>{words}</p><p>{words} end</p><a href=a>Top</a>").startswith(f"{words}\n\n{words}")
+
+
+@pytest.mark.parametrize("inside, expected", [
+    ('<h1><a href="/p">A linked title</a></h1><p>Text.</p>', "A linked title\n\nText."),
+    ("<p>Sources:</p><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", "Sources:\n\nOne\n\nTwo"),
+    ('<h2 id="discussion">Discussion</h2><p>Text.</p>', "Discussion\n\nText."),
+    ('<section id="discussion"><p>Text.</p></section>', "Text."),
+    ('<h2 id="related-work">Related work</h2><p>Text.</p>', "Related work\n\nText."),
+    ("<p>Let <math><mi>x</mi></math> be.</p>", "Let x be."),
+    ("<object><p>In its place.</p></object><p>Text.", "In its place.\n\nText."),
+    ("<p>One.</p><canvas><p>Two.</p>", "One.\n\nTwo."),
+    ("<p>One.</p><script>x <p>Two.</p>", "One."),
+    ('<p>Text.</p><div id="comments"><p>No.</p></div>', "Text."),
+])
+def test_article_text_stays(inside, expected):
+    assert text(f"<body><article>{inside}</article></body>") == expected
+
+
 def test_broken_pages_take_linear_time():
     start = time.process_time()
     for page in ("<div " * 100_000, '<a "' * 50_000 + ">", "<div>" * 50_000 + "</b>" * 50_000,
