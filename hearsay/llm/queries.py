@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import bpe, chat, fertility, html, langid, linededup, mixing, ngramjoin, topk, toxicity
+from hearsay.llm import (
+    bpe,
+    chat,
+    fertility,
+    html,
+    langid,
+    linededup,
+    mixing,
+    ngramjoin,
+    runs,
+    topk,
+    toxicity,
+)
 from hearsay.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +104,8 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digests(runs.planted(table(spark, folder, "documents")))
