@@ -13,6 +13,7 @@ from hearsay.llm import (
     html,
     langid,
     linededup,
+    minhash,
     mixing,
     ngramjoin,
     runs,
@@ -109,3 +110,8 @@ def op7_html(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digests(runs.planted(table(spark, folder, "documents")))
+
+
+@query
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))

@@ -35,3 +35,17 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def sf_documents(spark, tmp_path_factory):
+    """A folder with a documents table of the odd rows, near and exact copies, and its rows."""
+    from test_ngrams import noisy_copies
+
+    rows = [(i, text) for i, (_, text) in enumerate(noisy_copies(77) + noisy_copies(78))]
+    rows += [(1000 + r[0], r[1]) for r in ROWS if r[0] is not None]
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(
+        f"{folder}/documents.parquet"
+    )
+    return folder, rows
