@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hearsay.llm import (
     bpe,
     chat,
+    codes,
     fertility,
     html,
     langid,
@@ -115,3 +116,11 @@ def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op12_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.digests(table(spark, folder, "embeddings"))
+
+
+SQL["op12_codes"] = codes.SQL
