@@ -157,7 +157,7 @@ WITH {_NEAREST}
 SELECT query_id::BIGINT AS query_id, vec_id, round(score, 6) AS score, rn FROM found WHERE rn <= 10""")
 
 add("nearest_vectors_blocked", "V2",
-    lambda s, d: _nearest(s, d, 10, vector_blocks=5, query_blocks=3), f"""
+    lambda s, d: _nearest(s, d, 10, block_rows=40), f"""
 WITH {_NEAREST}
 SELECT query_id::BIGINT AS query_id, vec_id, round(score, 6) AS score, rn FROM found WHERE rn <= 10""")
 

@@ -28,7 +28,9 @@ def data():
     return vecs, queries
 
 
-@pytest.mark.parametrize("options", [{}, {"vector_blocks": 7, "query_blocks": 3}, {"vector_blocks": 1}])
+@pytest.mark.parametrize("options", [
+    {}, {"block_rows": 7}, {"block_rows": 3, "most_balls": 5}, {"block_bytes": 8 * 8 * 20},
+])
 def test_nearest_equals_brute_force(spark, data, options):
     vecs, queries = data
     base = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id INT, embedding ARRAY<DOUBLE>").repartition(5)
@@ -45,11 +47,48 @@ def test_copies_do_not_swell_the_partial_result(data):
 
     vecs, queries = data
     best = vectors._block_best(4, "vec_id", "query_id")
-    block = pandas.DataFrame({"vec_id": [i for i, _ in vecs], "v": [v for _, v in vecs]})
-    asked = pandas.DataFrame({"query_id": [q for q, _ in queries], "q": [v for _, v in queries]})
+    unit = lambda v: v / (numpy.linalg.norm(v) or 1.0)
+    block = pandas.DataFrame({"vec_id": [i for i, _ in vecs], "v": [unit(v) for _, v in vecs]})
+    asked = pandas.DataFrame({"query_id": [q for q, _ in queries], "q": [unit(v) for _, v in queries]})
     assert len(best(block, asked)) == 4 * len(queries)
 
 
+def test_far_balls_are_skipped_and_blocks_are_bounded(spark):
+    """Clusters: a query visits few balls; no meeting holds more rows than a block has."""
+    rng = numpy.random.default_rng(8)
+    centres = rng.normal(size=(20, 16))
+    vecs = [(i, centres[i % 20] + rng.normal(size=16) / 30) for i in range(2000)]
+    queries = [(q, centres[q] + rng.normal(size=16) / 30) for q in range(20)]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id INT, embedding ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([(q, v.tolist()) for q, v in queries], "query_id INT, embedding ARRAY<DOUBLE>")
+    balls = vectors.balls_of(base, "vec_id", "embedding", block_rows=25)
+    assert sum(balls.sizes) == 2000 and 40 <= len(balls.sizes) <= 80
+    plain = asked.toDF("qid", "q")
+    first = vectors.visits(plain, balls, 5)
+    assert first.count() < 3 * 20
+    best = vectors.nearest(base, asked, 5, block_rows=25)
+    floors = best.where("rn = 5").select(F.col("query_id").alias("qid"), F.col("score").alias("floor"))
+    again = vectors.visits(plain.join(floors, "qid"), balls, 5, second=True)
+    assert first.count() + again.count() < 0.35 * 20 * len(balls.sizes)
+    assert not again.join(first, ["qid", "ball"]).count()
+    sizes = balls.rows.groupBy("ball", F.expr("pmod(xxhash64(id), 1)")).count()
+    blocks = balls.blocks()
+    assert all(r["count"] <= 25 * blocks[r["ball"]] for r in sizes.collect())
+    want = brute(vecs, queries, 5)
+    assert sorted((r["query_id"], r["vec_id"], r["rn"]) for r in best.collect()) == [w[:3] for w in want]
+
+
+def test_vectors_that_do_not_count(spark):
+    """Null, holed and short vectors are left out, on both sides; no vectors give no rows."""
+    shape = "vec_id INT, embedding ARRAY<DOUBLE>"
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [1.0]), (5, [0.0, 0.0])], shape)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "query_id INT, embedding ARRAY<DOUBLE>")
+    got = vectors.nearest(base, asked, 4)
+    assert sorted((r["query_id"], r["vec_id"], r["score"], r["rn"]) for r in got.collect()) == [(1, 1, 1.0, 1), (1, 5, 0.0, 2)]
+    empty = vectors.nearest(base.limit(0), asked, 4)
+    assert empty.columns == got.columns and empty.collect() == []
+
+
 def test_long_texts_only(spark):
     found = spark.createDataFrame([(1, i, 1.0 - i / 10, i + 1) for i in range(4)], "query_id INT, vec_id INT, score DOUBLE, rn INT")
     texts = spark.createDataFrame([(0, "  short "), (1, " " * 80 + "x"), (2, "y" * 60), (3, "z" * 70)], "vec_id INT, text STRING")
