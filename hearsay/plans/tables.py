@@ -16,6 +16,8 @@ from hearsay.plans.inputs import (
 from hearsay.plans.registry import add, query
 from hearsay.session import shared_path
 from hearsay.sources import ledger, readers, sinks
+from hearsay.sources.counted import write_counted, write_parsed
+from hearsay.sources.keystore import KeyedTable, ProcessedKeys
 from hearsay.streaming.sinks import dual_sink, read_versions
 
 # Joins and keys -------------------------------------------------------------------------------
@@ -28,18 +30,48 @@ WITH {POSTS}
 SELECT post_id FROM posts WHERE post_id NOT IN (SELECT doc_id FROM labels)""")
 
 
-@query("processed_keys", "J1b", f"""
+def _processed_labels(s, d) -> ProcessedKeys:
+    """A store that holds the labelled documents as processed keys."""
+    store = ProcessedKeys(s, shared_path(s, "processed"), "post_id", "bigint", 8)
+    store.add(table(s, d, "labels").select(F.col("doc_id").alias("post_id")))
+    return store
+
+
+@query("pending_keys_bucketed", "J1", f"""
+WITH {POSTS}
+SELECT post_id FROM posts WHERE post_id NOT IN (SELECT doc_id FROM labels)""")
+def _pending(s, d):
+    fetched = posts(s, d).select("post_id")
+    return _processed_labels(s, d).pending(fetched.unionByName(fetched))
+
+
+
+_PROCESSED = f"""
 WITH {POSTS}
 SELECT doc_id AS post_id FROM labels
-UNION SELECT post_id FROM posts WHERE event_type IN ('view', 'click', 'purchase')""")
-def _processed(s, d):
+UNION SELECT post_id FROM posts WHERE event_type IN ('view', 'click', 'purchase')"""
+
+
+def _fetched(s, d):
     status = (
         F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 400)
         .when(F.col("event_type") == "purchase", 404).otherwise(503)
     )
-    results = posts(s, d).select("post_id", status.alias("status"))
+    return posts(s, d).select("post_id", status.alias("status"))
+
+
+@query("processed_keys", "J1b", _PROCESSED)
+def _processed(s, d):
     done = table(s, d, "labels").select(F.col("doc_id").alias("post_id"))
-    return keys.mark_processed(done, results, "post_id")
+    return keys.mark_processed(done, _fetched(s, d), "post_id")
+
+
+@query("processed_keys_bucketed", "J1b", _PROCESSED)
+def _processed_bucketed(s, d):
+    store = _processed_labels(s, d)
+    for _ in range(2):  # a job that is run again adds nothing
+        store.mark(_fetched(s, d))
+    return store.table()
 
 
 add("series_for_top", "J3",
@@ -187,12 +219,15 @@ SELECT word, {day_text('bucket')} AS bucket, count FROM placed
 WHERE n <= 7 OR i IN (SELECT round_even(r * (n - 1)::DOUBLE / 6, 0) FROM range(7) t(r))""")
 
 
-@query("patched_payloads", "J8", f"""
+_PATCHED = f"""
 WITH {POSTS}
 SELECT p.did, p.post_id, CASE WHEN u.quality = 1 THEN 'good' ELSE p.source END AS source,
        coalesce(u.toxic, p.reply_count) AS reply_count
-FROM posts p LEFT JOIN labels u ON u.doc_id = p.post_id""")
-def _patched(s, d):
+FROM posts p LEFT JOIN labels u ON u.doc_id = p.post_id"""
+
+
+def _payloads(s, d):
+    """Payloads and what is to be patched in them."""
     base = posts(s, d).select("did", "post_id", "source", "reply_count")
     updates = table(s, d, "labels").withColumnRenamed("doc_id", "post_id").join(
         base.select("did", "post_id"), "post_id"
@@ -200,17 +235,48 @@ def _patched(s, d):
         "did", "post_id", F.when(F.col("quality") == 1, "good").alias("source"),
         F.col("toxic").cast("bigint").alias("reply_count"),
     )
-    return keys.patch(base, updates, ["did", "post_id"], ["source", "reply_count"])
+    return base, updates
 
 
-add("upserted", "J9 W2",
-    lambda s, d: keys.upsert(
-        table(s, d, "events").filter(F.col("event_type") == "view").select(
-            "user_id", "ts", "event_id", "value"),
-        table(s, d, "events").select("user_id", "ts", "event_id", "value"),
-        "user_id", "ts", ["event_id"]), f"""
+add("patched_payloads", "J8",
+    lambda s, d: keys.patch(*_payloads(s, d), ["did", "post_id"], ["source", "reply_count"]),
+    _PATCHED)
+
+
+@query("patched_in_place", "J8", _PATCHED)
+def _patched_in_place(s, d):
+    base, updates = _payloads(s, d)
+    kept = KeyedTable(s, shared_path(s, "payloads"), ("did", "post_id"), 8)
+    kept.create(base)
+    kept.patch(updates, ["source", "reply_count"])
+    return kept.read()
+
+
+_UPSERTED = f"""
 SELECT user_id, {time_text('max(ts)')} AS ts, arg_max(event_id, ts) AS event_id,
-       round(arg_max(value, ts), 6) AS value FROM events GROUP BY 1""")
+       round(arg_max(value, ts), 6) AS value FROM events GROUP BY 1"""
+
+
+def _views_and_events(s, d):
+    events = table(s, d, "events").select("user_id", "ts", "event_id", "value")
+    views = table(s, d, "events").filter(F.col("event_type") == "view").select(*events.columns)
+    return views, events
+
+
+add("upserted", "J9 W2",
+    lambda s, d: keys.upsert(*_views_and_events(s, d), "user_id", "ts", ["event_id"]), _UPSERTED)
+
+
+@query("upserted_in_place", "J9 W2", _UPSERTED)
+def _upserted_in_place(s, d):
+    """A table of the last view of each user, into which all events are merged, some twice."""
+    views, events = _views_and_events(s, d)
+    kept = KeyedTable(s, shared_path(s, "last-events"), ("user_id",), 8)
+    kept.create(keys.latest_per_key(views, "user_id", "ts", ["event_id"]))
+    for part in (F.col("event_id") % 2 == 0, F.lit(True), F.col("event_id") % 2 == 1):
+        kept.upsert(events.where(part), "ts", ["event_id"])
+    return kept.read()
+
 
 add("latest_per_key", "W2",
     lambda s, d: keys.latest_per_key(
@@ -416,15 +482,16 @@ def _lines_with_damage(s, d):
 SELECT CASE WHEN event_type = 'error' THEN 'bad' ELSE 'good' END AS state, count(*) AS n
 FROM events GROUP BY 1""")
 def _malformed(s, d):
-    path = shared_path(s, "lines")
+    """Lines are parsed and the good ones written; the counts come out of the same pass. Those of
+    the good ones are taken from the table that was written."""
+    path, parsed = shared_path(s, "lines"), shared_path(s, "parsed")
     _lines_with_damage(s, d).write.text(path)
-    # Parsed once and kept as a table: Spark refuses to read the corrupt column alone.
-    parsed = readers.parse_lines(s.read.text(path), _EVENT_DDL)
-    good, bad = readers.split_corrupt(parsed)
-    return (
-        good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("state"), "n")
-        .unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad").alias("state"), "n"))
-    )
+    counts = write_parsed(s.read.text(path), _EVENT_DDL, parsed)
+    if counts["good"] + counts["bad"] != counts["scanned"]:
+        raise ValueError(f"counts do not add up: {counts}")
+    good = s.read.parquet(parsed).agg(F.count(F.lit(1)).alias("n"))
+    return good.select(F.lit("good").alias("state"), "n").unionByName(
+        s.createDataFrame([("bad", counts["bad"])], "state STRING, n BIGINT"))
 
 
 add("converted_format", "S5 S11",
@@ -579,12 +646,14 @@ FROM ledger GROUP BY 1 ORDER BY 1 DESC LIMIT 1""")
 SELECT 1::BIGINT AS run_id, 'events' AS source_path, count(*) AS records_scanned FROM events
 UNION ALL SELECT 2, 'documents', count(*) FROM documents""")
 def _runs_recorded(s, d):
-    """Two runs are opened, each adds what it scanned in two portions, and the ledger is read."""
+    """Two runs are opened; each loads a table in two portions, adds what was counted while it wrote
+    them, and the ledger is read."""
     path = shared_path(s, "ledger")
     for name, key in (("events", "event_id"), ("documents", "doc_id")):
-        run = ledger.start_run(s, path, name)
+        run, target = ledger.start_run(s, path, name), shared_path(s, name)
         for portion in (0, 1):
-            scanned = table(s, d, name).where(F.col(key) % 2 == portion).count()
+            rows = table(s, d, name).where(F.col(key) % 2 == portion)
+            scanned = write_counted(rows, target)["scanned"]
             ledger.add_scanned(s, path, run, name, scanned)
     return ledger.run_totals(ledger.read_ledger(s, path)).drop("run_ts")
 
