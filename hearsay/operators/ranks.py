@@ -7,6 +7,8 @@ partitions before, and shares take their total from a scalar subquery.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,6 +115,84 @@ def _before(ranged: DataFrame, totals: dict[str, Column]) -> DataFrame:
     )
 
 
+def _key_starts():
+    """A function that gives the places of a batch where another key begins, 0 among them."""
+
+    def starts(batch, keys: list[str]):
+        import numpy
+        import pyarrow.compute as compute
+
+        change = numpy.zeros(batch.num_rows, bool)
+        change[:1] = True
+        for key in keys:
+            one, two = batch.column(key).slice(1), batch.column(key).slice(0, batch.num_rows - 1)
+            differ = compute.fill_null(compute.not_equal(one, two), False)
+            hollow = compute.not_equal(compute.is_null(one), compute.is_null(two))
+            change[1:] |= compute.or_(differ, hollow).to_numpy(zero_copy_only=False)
+        return numpy.flatnonzero(change)
+
+    return starts
+
+
+def _carried(rows: DataFrame, value: str, keys: list[str], earlier: str, out: str) -> DataFrame:
+    """Add the running sum of ``value`` in each sorted partition, beginning from ``earlier`` with each
+    of ``keys`` (whose rows follow each other). Missing values add nothing; before the first value
+    the sum is missing.
+
+    The sum is carried from batch to batch while a partition streams through, so rows are not
+    dealt and sorted a second time for a window.
+    """
+    kind = rows.agg(F.sum(value).alias(out)).schema[out].dataType
+    typed = rows.withColumn("__x", F.col(value).cast(kind)).withColumn(
+        earlier, F.col(earlier).cast(kind))
+    schema = rows.drop(earlier).withColumn(out, F.lit(None).cast(kind)).schema
+
+    starts_of = _key_starts()
+
+    def batches(stream: Iterator) -> Iterator:
+        from itertools import accumulate
+
+        import numpy
+        import pyarrow
+
+        def add(total, x):
+            return total if x is None else x if total is None else total + x
+
+        last, carry = None, None
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            starts = starts_of(batch, keys)
+            begins = batch.column(earlier).take(pyarrow.array(starts)).to_pylist()
+            first = tuple(batch.column(key)[0].as_py() for key in keys)
+            if first == last:
+                begins[0] = carry
+            column = batch.column("__x")
+            if pyarrow.types.is_integer(column.type) or pyarrow.types.is_floating(column.type):
+                import pandas
+
+                own = numpy.repeat(numpy.arange(len(starts)), numpy.diff([*starts, batch.num_rows]))
+                valid = column.is_valid().to_numpy(zero_copy_only=False)
+                plain = column.fill_null(0).to_numpy(zero_copy_only=False)
+                sums = pandas.Series(plain).groupby(own).cumsum().to_numpy()
+                base = numpy.array([b or 0 for b in begins], sums.dtype)
+                none = numpy.array([b is None for b in begins])[own]
+                none &= pandas.Series(valid.astype(int)).groupby(own).cumsum().to_numpy() == 0
+                sums = pyarrow.array(sums + base[own], column.type, mask=none)
+            else:
+                values, found = column.to_pylist(), []
+                for begin, start, stop in zip(begins, starts, [*starts[1:], batch.num_rows]):
+                    found += list(accumulate([begin, *values[start:stop]], add))[1:]
+                sums = pyarrow.array(found, column.type)
+            last = tuple(batch.column(key)[batch.num_rows - 1].as_py() for key in keys)
+            carry = sums[len(sums) - 1].as_py()
+            kept = [name for name in batch.schema.names if name not in ("__x", earlier)]
+            yield pyarrow.RecordBatch.from_arrays(
+                [*[batch.column(name) for name in kept], sums], [*kept, out])
+
+    return typed.mapInArrow(batches, schema)
+
+
 def global_order(
     df: DataFrame, order: str, tie: str, value: str | None = None, descending: bool = False
 ) -> DataFrame:
@@ -126,13 +206,32 @@ def global_order(
     totals = {"__rows": F.count(F.lit(1))}
     if value:
         totals["__sum"] = F.sum(value)
+        totals["__values"] = F.count(value)
     joined = ranged.join(F.broadcast(_before(ranged, totals)), "__part")
     out = joined.withColumn("row_number", F.col("__place") + 1 + F.col("__rows"))
     if value:
-        window = Window.partitionBy("__part").orderBy("__place")
-        running = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn("running_sum", running + F.col("__sum"))
-    return out.drop("__part", "__place", "__rows", "__sum")
+        known = out.withColumn("__sum", F.when(F.col("__values") > 0, F.col("__sum")))
+        out = _carried(known, value, [], "__sum", "running_sum")
+    return out.drop("__part", "__place", "__rows", "__sum", "__values")
+
+
+def global_places(df: DataFrame, order: str) -> DataFrame:
+    """Add ``__i``, a row's place in the order of the whole table from 0, and ``__last``, the
+    place of the last one."""
+    ranged = _ranged(df, [F.col(order).asc()])
+    per_part = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row for each partition.
+    counts = per_part.select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows"),
+        (F.sum("__n").over(every) - 1).alias("__last"))
+    return (
+        ranged.join(F.broadcast(counts), "__part")
+        .withColumn("__i", F.col("__rows") + F.col("__place"))
+        .drop("__part", "__place", "__rows")
+    )
 
 
 def global_ranks(
@@ -196,13 +295,8 @@ def running_total(
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"__key_{key}"))
     joined = ranged.join(F.broadcast(cut), same, "left")
-    window = (
-        Window.partitionBy("__part", *keys)
-        .orderBy("__place")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    running = F.sum(value).over(window) + F.coalesce("__before", F.lit(0))
-    return joined.withColumn(out, running).select(*df.columns, out)
+    rows = joined.select(*df.columns, "__before")
+    return _carried(rows, value, keys, "__before", out)
 
 
 def share(df: DataFrame, value: str, out: str = "percent", scale: float = 100.0) -> DataFrame:

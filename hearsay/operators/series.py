@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from hearsay.functions.text import as_col, mentions, tokenize, word_eq
 from hearsay.operators.filters import between_ts, controversial
-from hearsay.operators.ranks import rank_key, top_k, top_per_group
+from hearsay.operators.ranks import global_places, rank_key, top_k, top_per_group
 
 
 def _windowed(df: DataFrame, ts: str, width: str, key: str, out: str, **aggregates) -> DataFrame:
@@ -213,14 +213,18 @@ def sample_series(series: DataFrame, order: str, n: int, key: str | None = None)
 
     Point i of n is at place ``round(i * (length - 1) / (n - 1))``, halves to even. With
     more points than n those places lie over one apart, so each row can tell from its own
-    place whether it is one. Without ``key`` the frame must hold a single series.
+    place whether it is one. Without ``key`` the frame must hold a single series, of any length:
+    its rows get their places from range partitions and the numbers of rows before them.
     """
     if n <= 0:
         return series.limit(0)
-    window = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    placed = series.withColumn("__i", F.row_number().over(window.orderBy(order)) - 1).withColumn(
-        "__last", F.count(F.lit(1)).over(window) - 1
-    )
+    if key:
+        window = Window.partitionBy(key)
+        placed = series.withColumn(
+            "__i", F.row_number().over(window.orderBy(order)) - 1
+        ).withColumn("__last", F.count(F.lit(1)).over(window) - 1)
+    else:
+        placed = global_places(series, order)
     place, last = F.col("__i"), F.col("__last")
     if n == 1:
         chosen = place == last

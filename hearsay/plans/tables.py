@@ -219,6 +219,16 @@ SELECT word, {day_text('bucket')} AS bucket, count FROM placed
 WHERE n <= 7 OR i IN (SELECT round_even(r * (n - 1)::DOUBLE / 6, 0) FROM range(7) t(r))""")
 
 
+add("sampled_orders", "W7",
+    lambda s, d: series.sample_series(
+        table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 101), """
+WITH placed AS (
+  SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i,
+         count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM placed
+WHERE n <= 101 OR i IN (SELECT round_even(r * (n - 1)::DOUBLE / 100, 0) FROM range(101) t(r))""")
+
+
 _PATCHED = f"""
 WITH {POSTS}
 SELECT p.did, p.post_id, CASE WHEN u.quality = 1 THEN 'good' ELSE p.source END AS source,

@@ -156,6 +156,32 @@ def test_running_total_of_a_hot_key(skewed):
     assert rows(ranks.running_total(hollow, "v", ["id"], "n"), "id", "running_sum") == want
 
 
+@pytest.mark.parametrize("kind", ["BIGINT", "INT", "DOUBLE", "DECIMAL(9,2)"])
+def test_running_sums_of_missing_values(spark, kind):
+    """Missing values add nothing, whatever the type and wherever the partitions and batches end;
+    before the first value of a key there is no sum."""
+    random.seed(3)
+    data = [(i, random.choice(["a", "b", None, "c"]), None if i < 9 or i % 4 == 0 else i % 11) for i in range(400)]
+    frame = spark.createDataFrame(data, "id INT, k STRING, n INT").withColumn("n", F.col("n").cast(kind)).repartition(6)
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        sums, want = {}, []
+        for i, k, n in data:
+            sums[k] = sums.get(k) if n is None else (sums.get(k) or 0) + n
+            want.append((i, sums[k]))
+        got = rows(ranks.running_total(frame, "k", ["id"], "n"), "id", "running_sum")
+        assert [(i, x if x is None else int(x)) for i, x in got] == want
+        total, want = None, []
+        for place, (i, _, n) in enumerate(data, 1):
+            total = total if n is None else (total or 0) + n
+            want.append((i, place, total))
+        got = rows(ranks.global_order(frame, "id", "id", "n"), "id", "row_number", "running_sum")
+        assert [(i, p, x if x is None else int(x)) for i, p, x in got] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+
+
 def test_top_k_ties_and_nulls(spark):
     frame = spark.createDataFrame([("b", 2), ("a", 2), ("c", None), ("d", 3)], "w STRING, n INT")
     assert [r["w"] for r in ranks.top_k(frame, "n", 3, "w").collect()] == ["d", "a", "b"]
