@@ -77,6 +77,26 @@ NEGATION_FACTOR = -0.74
 NEGATION_SPAN = 3
 VALENCE_ALPHA = 15.0
 
+# Degree words that strengthen or weaken the valence after them, and the published weights.
+INTENSIFIERS = (
+    "absolutely amazingly awfully completely considerably decidedly deeply enormously entirely "
+    "especially exceptionally extremely fabulously flippin flipping frickin fricking friggin "
+    "frigging fully greatly hella highly hugely incredibly intensely majorly more most "
+    "particularly purely quite really remarkably so substantially thoroughly totally "
+    "tremendously uber unbelievably unusually utterly very"
+).split()
+DAMPENERS = (
+    "almost barely hardly kinda kindof kind-of less little marginally occasionally partly "
+    "scarcely slightly somewhat sorta sortof sort-of"
+).split()
+DEGREE_WEIGHT = 0.293
+DEGREE_DECAY = (1.0, 0.95, 0.9)
+CAPITALS_WEIGHT = 0.733
+NEVER_SO_FACTORS = (1.0, 1.5, 1.25)
+CONTRAST_FACTORS = (0.5, 1.5)
+EXCLAMATION_WEIGHT, MOST_EXCLAMATIONS = 0.292, 4
+QUESTION_WEIGHT, MANY_QUESTIONS_WEIGHT = 0.18, 0.96
+
 # RFC 4122 name space for URLs.
 NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 

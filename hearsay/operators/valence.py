@@ -2,18 +2,27 @@
 
 A valence is turned and damped when one of the three words before it negates it. The
 lexicon is a table ``word, valence``.
+
+``valence_score`` has that rule alone; ``valence_in_context`` has the published ones: capitals, words
+of degree, negation, "least", contrast, exclamation and question marks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.scores import normalise_valence
 from hearsay.functions.vocab import (
-    NEGATION_FACTOR, NEGATION_SPAN, NEGATIONS, VALENCE_ALPHA,
+    CAPITALS_WEIGHT, CONTRAST_FACTORS, DAMPENERS, DEGREE_DECAY, DEGREE_WEIGHT, EXCLAMATION_WEIGHT,
+    INTENSIFIERS, MANY_QUESTIONS_WEIGHT, MOST_EXCLAMATIONS, NEGATION_FACTOR, NEGATION_SPAN,
+    NEGATIONS, NEVER_SO_FACTORS, QUESTION_WEIGHT, VALENCE_ALPHA,
 )
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 def valence_words(text: str) -> Column:
     """Lower-case letter runs in order; apostrophes are dropped, so don't reads dont."""
@@ -60,3 +69,156 @@ def valence_score(
         .withColumn(out, normalise_valence(total, VALENCE_ALPHA))
         .drop("__total")
     )
+
+
+@dataclass(frozen=True)
+class ContextWords:
+    """The words that the rules of context look for, all in lower case and without apostrophes."""
+
+    up: list[str] = field(default_factory=lambda: list(INTENSIFIERS))
+    down: list[str] = field(default_factory=lambda: list(DAMPENERS))
+    negations: list[str] = field(default_factory=lambda: list(NEGATIONS))
+    contrast: str = "but"
+
+
+def context_tokens(text: str) -> Column:
+    """Words between white space, without punctuation at their ends; one that would keep two letters
+    or fewer stays as it is, so that emoticons do."""
+    words = F.split(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+")
+    bare = lambda w: F.btrim(w, F.lit(PUNCTUATION))
+    stripped = F.transform(words, lambda w: F.when(F.length(bare(w)) <= 2, w).otherwise(bare(w)))
+    return F.filter(stripped, lambda w: w != "")
+
+
+def _plain(word: Column) -> Column:
+    return F.translate(F.lower(word), "'’", "")
+
+
+def _shouted(word: Column) -> Column:
+    return (F.upper(word) == word) & (F.lower(word) != word)
+
+
+def _any_of(words: list[str]) -> Column:
+    return F.array(*[F.lit(word) for word in words]).cast("array<string>")
+
+
+def _of_degree(word: Column, valence: Column, shouted: Column, words: ContextWords) -> Column:
+    """What a word of degree adds to the valence after it."""
+    sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    weight = (
+        F.when(F.array_contains(_any_of(words.up), _plain(word)), F.lit(DEGREE_WEIGHT))
+        .when(F.array_contains(_any_of(words.down), _plain(word)), F.lit(-DEGREE_WEIGHT))
+        .otherwise(F.lit(0.0))
+    )
+    louder = F.when(
+        (weight != 0) & shouted & _shouted(word),
+        F.when(valence > 0, F.lit(CAPITALS_WEIGHT)).otherwise(F.lit(-CAPITALS_WEIGHT)),
+    ).otherwise(F.lit(0.0))
+    return weight * sign + louder
+
+
+def _in_context(hit: Column, places: Column, words: ContextWords) -> Column:
+    """The valence of a word of the lexicon where it stands.
+
+    ``hit`` has place (from 1), word, valence, ``before`` (up to three words, the nearest first),
+    shouted (some words of the text are in capitals, but not all) and contrast (the place of the
+    first word of contrast, 0 without one). ``places`` are those of all words of the lexicon: what
+    stands there changes nothing after it.
+    """
+    sign = F.when(hit["valence"] > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    loud = hit["shouted"] & _shouted(hit["word"])
+    first = hit["valence"] + F.when(loud, sign * CAPITALS_WEIGHT).otherwise(F.lit(0.0))
+    at = lambda k: F.get(hit["before"], k - 1)
+    plain = lambda k: _plain(at(k))
+    negated = lambda k: F.array_contains(_any_of(words.negations), plain(k)) | at(k).contains("n't")
+    so = lambda k: F.coalesce(plain(k).isin("so", "this"), F.lit(False))
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k)
+
+    def step(valence: Column, k: Column) -> Column:
+        free = at(k).isNotNull() & ~F.array_contains(places, hit["place"] - k)
+        raised = valence + _of_degree(at(k), valence, hit["shouted"], words) * pick(DEGREE_DECAY, k)
+        never_so = (plain(k) == "never") & (
+            ((k == 2) & so(F.lit(1))) | ((k == 3) & (so(F.lit(2)) | so(F.lit(1)))))
+        factor = (
+            F.when(never_so, pick(NEVER_SO_FACTORS, k))
+            .when(negated(k), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+        )
+        return F.when(free, raised * factor).otherwise(valence)
+
+    told = F.aggregate(F.sequence(F.lit(1), F.lit(NEGATION_SPAN)), first, step)
+    nearest, second = plain(F.lit(1)), F.coalesce(plain(F.lit(2)), F.lit(""))
+    least = (
+        (nearest == "least") & ~F.array_contains(places, hit["place"] - 1)
+        & ~second.isin("at", "very")
+    )
+    side = (
+        F.when(hit["contrast"] == 0, F.lit(1.0))
+        .when(hit["place"] < hit["contrast"], F.lit(CONTRAST_FACTORS[0]))
+        .when(hit["place"] > hit["contrast"], F.lit(CONTRAST_FACTORS[1])).otherwise(F.lit(1.0))
+    )
+    known = F.array_contains(_any_of([*words.up, *words.down]), _plain(hit["word"]))
+    turned = told * F.when(F.coalesce(least, F.lit(False)), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    return F.when(known, F.lit(0.0)).otherwise(turned * side)
+
+
+def emphasis(text: str) -> Column:
+    """What exclamation and question marks add to the size of a text's sum."""
+    marks = lambda sign: F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit(sign), F.lit("")))
+    asked = marks("?")
+    return F.least(marks("!"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION_WEIGHT + (
+        F.when(asked <= 1, F.lit(0.0)).when(asked <= 3, asked * QUESTION_WEIGHT)
+        .otherwise(F.lit(MANY_QUESTIONS_WEIGHT))
+    )
+
+
+def valence_in_context(
+    df: DataFrame, text: str, lexicon: DataFrame, key: str, out: str = "score",
+    words: ContextWords | None = None,
+) -> DataFrame:
+    """Add the compound score by the published rules of context; missing texts score 0.
+
+    ``key`` names one row each. Idioms of several words are not known. Words are looked up before
+    anything is shuffled, if the lexicon is small enough for the planner to send it along; what
+    meets per text are then its words of the lexicon, each with the three words before it.
+    """
+    words = words or ContextWords()
+    tokens = F.col("tokens")
+
+    def placed(word: Column, i: Column) -> Column:
+        return F.struct(
+            (i + 1).alias("place"), word.alias("word"),
+            F.reverse(F.slice(tokens, F.greatest(F.lit(1), i + 1 - NEGATION_SPAN),
+                              F.least(i, F.lit(NEGATION_SPAN)))).alias("before"),
+        )
+
+    loud = F.size(F.filter(tokens, _shouted))
+    uses = (
+        df.select(key, context_tokens(text).alias("tokens"))
+        .withColumn("shouted", (loud > 0) & (loud < F.size(tokens)))
+        .withColumn("contrast", F.array_position(F.transform(tokens, F.lower), words.contrast))
+        .select(key, "shouted", "contrast", F.inline(F.transform(tokens, placed)))
+        .withColumn("of", F.lower("word"))
+    )
+    valences = (
+        lexicon.where("word IS NOT NULL AND valence IS NOT NULL")
+        .groupBy(F.lower("word").alias("of"))
+        .agg(F.avg(F.col("valence").cast("double")).alias("valence"))
+    )
+    hits = (
+        uses.join(valences, "of")
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct(
+            "place", "word", "valence", "before", "shouted", "contrast"))).alias("hits"))
+        .withColumn("places", F.transform("hits", lambda hit: hit["place"]))
+    )
+    total = F.aggregate(
+        F.transform("hits", lambda hit: _in_context(hit, F.col("places"), words)), F.lit(0.0),
+        lambda total, x: total + x)
+    sums = hits.select(key, total.alias("__total"))
+    total = F.coalesce("__total", F.lit(0.0))
+    louder = F.coalesce(emphasis(text), F.lit(0.0)) * F.signum(total)
+    return (
+        df.join(sums, key, "left")
+        .withColumn(out, normalise_valence(total + louder, VALENCE_ALPHA))
+        .drop("__total")
+    )

@@ -89,21 +89,30 @@ def lexicon(s, d) -> DataFrame:
     return words.distinct().select("word", (F.ascii("word") % 9 - 4).cast("double").alias("valence"))
 
 
-_VALENCE = f"""WITH {POSTS}, lexicon AS (
+def list_sql(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+_LEXICON = """lexicon AS (
   SELECT DISTINCT word, (ascii(word) % 9 - 4)::DOUBLE AS valence FROM (
-    SELECT unnest(regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '\\p{{L}}+'))
-           AS word FROM benchmark)),
+    SELECT unnest(regexp_extract_all(replace(lower(text), chr(39), ''), '\\p{L}+')) AS word
+    FROM benchmark))"""
+
+# Words are marked only where the lexicon has them.
+_VALENCE = f"""WITH {POSTS}, {_LEXICON},
 split AS (
-  SELECT post_id, regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '\\p{{L}}+')
-         AS words FROM posts),
+  SELECT post_id, regexp_extract_all(replace(lower(text), chr(39), ''), '\\p{{L}}+') AS words
+  FROM posts),
 placed AS (
   SELECT post_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split),
+turned AS (
+  SELECT DISTINCT post_id, i + k AS i FROM placed, range(1, 4) t(k)
+  WHERE word IN {sql_list(NEGATIONS)}),
 marked AS (
-  SELECT *, coalesce(max(CASE WHEN word IN {sql_list(NEGATIONS)} THEN 1 ELSE 0 END) OVER (
-            PARTITION BY post_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS negated
-  FROM placed),
+  SELECT p.post_id, p.word, t.i IS NOT NULL AS negated
+  FROM placed p JOIN lexicon USING (word) LEFT JOIN turned t ON t.post_id = p.post_id AND t.i = p.i),
 totals AS (
-  SELECT post_id, sum(valence * CASE WHEN negated = 1 THEN -0.74::DOUBLE ELSE 1 END) AS total
+  SELECT post_id, sum(valence * CASE WHEN negated THEN -0.74::DOUBLE ELSE 1 END) AS total
   FROM marked JOIN lexicon USING (word) GROUP BY 1)
 SELECT post_id, CASE WHEN total IS NULL THEN 0.0::DOUBLE ELSE
        round(greatest(-1, least(1, total / sqrt(total * total + 15))), 6) END AS score
@@ -122,6 +131,88 @@ add("valence_scores_joined", "F16 J10",
             F.col("valence") - 1, F.col("valence") + 1, F.lit(None))).alias("valence")),
         "post_id").drop("text"), _VALENCE)
 
+# The rules of context, with common words of the generated texts in the place of very, not and but,
+# and marks added to the texts.
+_RULES = valence.ContextWords(
+    up=["the", "la", "thatin"], down=["de", "of"], negations=["in", "der", "it"], contrast="and")
+
+
+def _marked_posts(s, d) -> DataFrame:
+    marks = F.concat(F.repeat(F.lit("!"), F.col("post_id").cast("int") % 6),
+                     F.repeat(F.lit("?"), F.col("post_id").cast("int") % 5))
+    loud = F.when(F.col("post_id") % 3 == 0, F.regexp_replace("text", "re", "RE")).otherwise(F.col("text"))
+    return posts(s, d).select("post_id", F.concat(loud, marks).alias("text"))
+
+
+def _step(k: int) -> str:
+    """The SQL of what the k-th word before another one does to its valence."""
+    w, plain = f"before{k}", f"replace(lower(before{k}), chr(39), '')"
+    shout = f"(upper({w}) = {w} AND lower({w}) <> {w})"
+    degree = (f"CASE WHEN {plain} IN {sql_list(_RULES.up)} THEN 0.293::DOUBLE "
+              f"WHEN {plain} IN {sql_list(_RULES.down)} THEN -0.293 ELSE 0 END")
+    louder = (f"CASE WHEN {degree} <> 0 AND shouted AND {shout} THEN CASE WHEN v{k - 1} > 0 "
+              "THEN 0.733::DOUBLE ELSE -0.733 END ELSE 0 END")
+    sign = f"CASE WHEN v{k - 1} < 0 THEN -1 ELSE 1 END"
+    return (
+        f"stepped{k} AS (SELECT *, CASE WHEN {w} IS NULL "
+        f"THEN v{k - 1} ELSE (v{k - 1} + (({degree}) * ({sign}) + {louder}) * {(1.0, 0.95, 0.9)[k - 1]}) "
+        f"* CASE WHEN {plain} IN {sql_list(_RULES.negations)} OR contains({w}, 'n''t') THEN -0.74::DOUBLE "
+        f"ELSE 1 END END AS v{k} FROM {'hits' if k == 1 else f'stepped{k - 1}'})"
+    )
+
+
+_CONTEXT = f"""WITH {POSTS}, {_LEXICON},
+marked AS (
+  SELECT post_id, CASE WHEN post_id % 3 = 0 THEN replace(text, 're', 'RE') ELSE text END
+         || repeat('!', (post_id % 6)::INT) || repeat('?', (post_id % 5)::INT) AS text FROM posts),
+split AS MATERIALIZED (
+  SELECT post_id, text, list_filter(list_transform(
+           string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'),
+           lambda w: CASE WHEN length(trim(w, '{valence.PUNCTUATION.replace("'", "''")}')) <= 2 THEN w
+                          ELSE trim(w, '{valence.PUNCTUATION.replace("'", "''")}') END),
+         lambda w: w <> '') AS words FROM marked),
+loud AS MATERIALIZED (
+  SELECT post_id, len(words) AS n_words,
+         len(list_filter(words, lambda w: upper(w) = w AND lower(w) <> w)) AS n_loud,
+         coalesce(list_position(list_transform(words, lambda w: lower(w)), '{_RULES.contrast}'), 0)
+           AS contrast FROM split),
+placed AS MATERIALIZED (
+  SELECT post_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split),
+free AS MATERIALIZED (SELECT p.* FROM placed p ANTI JOIN lexicon l ON l.word = lower(p.word)),
+hits AS (
+  SELECT f.post_id, f.place, f.word, n_loud > 0 AND n_loud < n_words AS shouted, contrast,
+         a.word AS before1, b.word AS before2, c.word AS before3,
+         valence + CASE WHEN n_loud > 0 AND n_loud < n_words AND upper(f.word) = f.word
+                             AND lower(f.word) <> f.word
+              THEN CASE WHEN valence > 0 THEN 0.733::DOUBLE ELSE -0.733 END ELSE 0 END AS v0
+  FROM placed f JOIN lexicon l ON l.word = lower(f.word) JOIN loud USING (post_id)
+  LEFT JOIN free a ON a.post_id = f.post_id AND a.place = f.place - 1
+  LEFT JOIN free b ON b.post_id = f.post_id AND b.place = f.place - 2
+  LEFT JOIN free c ON c.post_id = f.post_id AND c.place = f.place - 3),
+{_step(1)},
+{_step(2)},
+{_step(3)},
+totals AS (
+  SELECT post_id, sum(CASE WHEN lower(word) IN {sql_list([*_RULES.up, *_RULES.down])} THEN 0
+           ELSE v3 * CASE WHEN contrast = 0 OR place = contrast THEN 1
+                          WHEN place < contrast THEN 0.5::DOUBLE ELSE 1.5 END END) AS total
+  FROM stepped3 GROUP BY 1),
+sums AS (
+  SELECT post_id, coalesce(total, 0) AS total,
+         least(4, length(text) - length(replace(text, '!', ''))) * 0.292::DOUBLE
+         + CASE WHEN length(text) - length(replace(text, '?', '')) <= 1 THEN 0
+                WHEN length(text) - length(replace(text, '?', '')) <= 3
+                THEN (length(text) - length(replace(text, '?', ''))) * 0.18::DOUBLE
+                ELSE 0.96 END AS marks
+  FROM marked LEFT JOIN totals USING (post_id)),
+whole AS (SELECT post_id, total + sign(total) * marks AS x FROM sums)
+SELECT post_id, round(greatest(-1, least(1, x / sqrt(x * x + 15))), 6) AS score FROM whole"""
+
+add("valence_in_context", "F16 X3",
+    lambda s, d: valence.valence_in_context(
+        _marked_posts(s, d), "text", lexicon(s, d), "post_id", words=_RULES).drop("text"),
+    _CONTEXT)
+
 # Vectors ------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """Operators on small hand-made frames, and against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -526,6 +527,36 @@ def test_valence_score(spark):
     assert again.pop(99) == 0.0 and again == pytest.approx(got)
 
 
+CONTEXT_LEXICON = {"good": 1.9, "great": 3.1, "bad": -2.5, "sad": -2.1, "no": -1.2, "kinda": 1.0}
+
+
+def compound(total, marks=0.0):
+    total += (total > 0) * marks - (total < 0) * marks
+    return total / math.sqrt(total * total + 15)
+
+
+@pytest.mark.parametrize("text, total, marks", [
+    ("it is good", 1.9, 0), ("it is BAD", -2.5 - 0.733, 0), ("IT IS BAD", -2.5, 0),  # capitals
+    ("very good", 1.9 + 0.293, 0), ("very bad", -2.5 - 0.293, 0), ("slightly good", 1.9 - 0.293, 0),
+    ("very big good", 1.9 + 0.95 * 0.293, 0), ("very big old good", 1.9 + 0.9 * 0.293, 0),
+    ("very big old dog good", 1.9, 0), ("VERY good", 1.9 + 0.293 + 0.733, 0),
+    ("VERY bad", -2.5 - 0.293 - 0.733, 0), ("kinda good", 1.9, 0),  # a word of the lexicon is no degree
+    ("not good", 1.9 * -0.74, 0), ("isn't a good", 1.9 * -0.74, 0), ("Don’t be so sad", (-2.1 - 0.293) * -0.74, 0),
+    ("not a very good", (1.9 + 0.293) * -0.74, 0), ("not one two three good", 1.9, 0),
+    ("never so good", (1.9 + 0.293) * 1.5, 0), ("never ever this good", 1.9 * 1.25, 0),
+    ("least good", 1.9 * -0.74, 0), ("at least good", 1.9, 0), ("the very least good", 1.9 + 0.95 * 0.293, 0),
+    ("good but bad", 0.5 * 1.9 - 1.5 * 2.5, 0), ("But good", 1.5 * 1.9, 0),  # contrast
+    ("good!", 1.9, 0.292), ("bad!!", -2.5, 0.584), ("great !!!!!!", 3.1, 1.168),
+    ("good?", 1.9, 0), ("good??", 1.9, 0.36), ("bad ?????", -2.5, 0.96), ("nothing!!", 0.0, 0.584),
+    ("(good), 'bad'. :)", 1.9 - 2.5, 0), ("", 0.0, 0), (None, 0.0, 0), (" ! ", 0.0, 0.292),
+])
+def test_valence_rules(spark, text, total, marks):
+    lexicon = spark.createDataFrame(list(CONTEXT_LEXICON.items()), "word STRING, valence DOUBLE")
+    frame = spark.createDataFrame([(1, text), (2, "good")], "id INT, text STRING")
+    got = {r["id"]: r["score"] for r in valence.valence_in_context(frame, "text", lexicon, "id").collect()}
+    assert got[1] == pytest.approx(compound(total, marks)) and got[2] == pytest.approx(compound(1.9))
+
+
 def test_times_that_cannot_be_dated_are_null(spark):
     texts = ["1735689600", "1735689600.5", "NaN", "Infinity", "-Infinity", "1735689600000", "x", None,
              "253402300799", "-62135596800", "253402300800"]
