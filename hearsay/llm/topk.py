@@ -11,6 +11,9 @@ over the slices.
 3. Parts of a row are added up. Where all slices were sent the sum is the score; the other rows
    are resolved exactly, and the best k stay.
 
+All parts and scores are exact: 64-bit integers where the largest component of the table leaves room
+for that, else decimals of 38 digits.
+
 Queries and vectors meet in blocks. Equal vectors are searched once and given back to their rows
 at the end; of each, the k + 1 smallest ids are all that a result can show.
 """
@@ -18,6 +21,7 @@ at the end; of each, the k + 1 smallest ids are all that a result can show.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -27,56 +31,84 @@ from pyspark.sql import functions as F
 from hearsay.llm.frames import binaries, written
 
 SCALE = 256
-#: Scores (and components) beyond this are cut to it, so that sums stay 64-bit integers.
-SCORE_BOUND = 1 << 62
+#: Scaled components beyond this are cut to it: inner products of 16,384 of them have 38 digits.
+COMPONENT_BOUND = 1 << 56
+MOST_LONG = (1 << 63) - 1
+WIDE = "decimal(38,0)"
 SLICES = 2
+#: Rows of a block at most, and bytes of their components.
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 4096
+BLOCK_BYTES = 16 << 20
 
 
 def quantized(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, dim and v (floor(256 * x) of each component as little-endian 64-bit integers).
+    """vec_id, dim, v (floor(256 * x) of each component as little-endian 64-bit integers) and most
+    (the largest size of these).
 
     Left out are rows with a null id, and vectors that are null, empty or hold a null or a
-    non-finite component; components beyond SCORE_BOUND are cut to it. Of rows that share an id the one with the smallest v counts, so
-    repeated rows count once.
+    non-finite component; components beyond COMPONENT_BOUND are cut to it. Of rows that share an
+    id the one with the smallest v counts, so repeated rows count once.
     """
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, dims, packed = [], [], []
+            ids, dims, packed, most = [], [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if i is None or not x.is_valid or not len(x) or x.values.null_count:
                     continue
                 found = np.floor(SCALE * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
                 if np.isfinite(found).all():
-                    found = np.clip(found, -SCORE_BOUND, SCORE_BOUND)
+                    found = np.clip(found, -COMPONENT_BOUND, COMPONENT_BOUND)
                     ids.append(i)
                     dims.append(len(found))
                     packed.append(found.astype("<i8").tobytes())
+                    most.append(int(np.abs(found).max()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), binaries(packed)],
-                ["vec_id", "dim", "v"],
+                [pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), binaries(packed),
+                 pa.array(most, pa.int64())],
+                ["vec_id", "dim", "v", "most"],
             )
 
     return (
         vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("v"))
-        .mapInArrow(batches, "vec_id bigint, dim int, v binary")
-        .groupBy("vec_id").agg(F.min_by("dim", "v").alias("dim"), F.min("v").alias("v"))
+        .mapInArrow(batches, "vec_id bigint, dim int, v binary, most bigint")
+        .groupBy("vec_id").agg(
+            F.min_by(F.struct("dim", "most"), "v").alias("of"), F.min("v").alias("v"))
+        .select("vec_id", "of.dim", "v", "of.most")
     )
 
 
-def bounded(exact: np.ndarray, rough: np.ndarray, bound: int) -> np.ndarray:
-    """Integer products, which may have wrapped around, cut at the bound by their doubles."""
-    return np.where(np.abs(rough) < bound, exact, np.sign(rough).astype(np.int64) * bound)
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows: by doubles, by 64-bit integers or by Python's integers,
+    whichever hold the largest that can be."""
+    most = int(np.abs(left).max(initial=0)) * int(np.abs(right).max(initial=0)) * left.shape[1]
+    if most < 1 << 53:
+        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
+    if most < 1 << 63:
+        return left @ right.T
+    return left.astype(object) @ right.T.astype(object)
 
 
-def products(left: np.ndarray, right: np.ndarray, bound: int = SCORE_BOUND) -> np.ndarray:
-    """Inner products of all rows, by doubles where these are exact, else by 64-bit integers."""
-    most = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * left.shape[1]
-    if most < 2**53:
-        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
-    return bounded(left @ right.T, left.astype(np.float64) @ right.T.astype(np.float64), bound)
+def rowwise(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact inner products of each row with its partner."""
+    most = int(np.abs(left).max(initial=0)) * int(np.abs(right).max(initial=0)) * left.shape[1]
+    kind = np.int64 if most < 1 << 63 else object
+    return (left.astype(kind) * right.astype(kind)).sum(axis=1)
+
+
+def numbers(values: np.ndarray, kind: str) -> pa.Array:
+    """Integers as an Arrow column of the score type."""
+    if kind != WIDE:
+        return pa.array(values.astype(np.int64), pa.int64())
+    if values.dtype == object:
+        return pa.array([Decimal(x) for x in values.tolist()], pa.decimal128(38, 0))
+    return pa.array(values, pa.int64()).cast(pa.decimal128(38, 0))
+
+
+def score_kind(most: int, dim: int) -> str:
+    """The type that holds all sums of ``dim`` products of components up to ``most``."""
+    return "bigint" if most * most * dim < 1 << 62 else WIDE
 
 
 def cut(dim: int, slices: int) -> list[tuple[int, int]]:
@@ -93,22 +125,24 @@ def nodes(blocks: DataFrame, slices: int) -> DataFrame:
                 dim, block, items = (batch.column(i)[at].as_py() for i in range(3))
                 whole = np.frombuffer(b"".join(x["v"] for x in items), "<i8").reshape(len(items), dim)
                 ids = np.array([x["id"] for x in items], "<i8").tobytes()
-                cutoffs = np.array([x["cutoff"] for x in items], "<i8").tobytes()
+                cutoffs = [None if x["cutoff"] is None else str(x["cutoff"]) for x in items]
                 for s, (start, stop) in enumerate(cut(dim, slices)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([dim], pa.int32()), pa.array([block], pa.int32()),
-                         pa.array([s], pa.int32()), binaries([ids]), binaries([cutoffs]),
+                         pa.array([s], pa.int32()), binaries([ids]),
+                         pa.array([cutoffs], pa.list_(pa.string())),
                          binaries([np.ascontiguousarray(whole[:, start:stop]).tobytes()])],
                         ["dim", "block", "slice", "ids", "cutoffs", "parts"],
                     )
 
     return blocks.mapInArrow(
-        batches, "dim int, block int, slice int, ids binary, cutoffs binary, parts binary"
+        batches, "dim int, block int, slice int, ids binary, cutoffs array<string>, parts binary"
     )
 
 
 def blocked(rows: DataFrame, sizes: dict[int, int], size: int, cutoff: Column) -> DataFrame:
-    """dim, block and items (id, v, cutoff) with about ``size`` rows to a block."""
+    """dim, block and items (id, v, cutoff) with about ``size`` rows to a block, fewer where they are
+    long."""
     return (
         rows.withColumn("block", F.pmod(F.xxhash64("id"), _per_dim(sizes, size)).cast("int"))
         .groupBy("dim", "block")
@@ -119,7 +153,8 @@ def blocked(rows: DataFrame, sizes: dict[int, int], size: int, cutoff: Column) -
 def _per_dim(sizes: dict[int, int], size: int) -> Column:
     found = F.lit(1)
     for dim, n in sizes.items():
-        found = F.when(F.col("dim") == dim, -(-n // size)).otherwise(found)
+        rows = max(1, min(size, BLOCK_BYTES // (8 * dim)))
+        found = F.when(F.col("dim") == dim, -(-n // rows)).otherwise(found)
     return found
 
 
@@ -131,10 +166,9 @@ def met(queries: DataFrame, vectors: DataFrame, sizes: dict[int, int]) -> DataFr
     return vectors.drop("cutoffs").join(q, ["dim", "slice", "block"]).drop("block")
 
 
-def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool) -> DataFrame:
+def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool, kind: str) -> DataFrame:
     """query, id, slice, part: each node's k highest parts of a query, or all that reach the
     uniform threshold of the query's cutoff (all, without a cutoff)."""
-    none = np.iinfo(np.int64).min
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -145,40 +179,53 @@ def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool) -> DataFrame
                 found = products(
                     np.frombuffer(row["q_parts"], "<i8").reshape(len(q_ids), stop - start),
                     np.frombuffer(row["parts"], "<i8").reshape(len(ids), stop - start),
-                    SCORE_BOUND // slices,
                 )
                 if by_cutoff:
-                    cutoffs = np.frombuffer(row["cutoffs"], "<i8")
-                    least = np.where(cutoffs == none, none, -(-cutoffs // slices))
-                    hit, col = np.nonzero(found >= least[:, None])
+                    # Without a cutoff all parts are sent: none is below the smallest.
+                    low = min(int(found.min(initial=0)), -(1 << 62))
+                    least = [low if c is None else -(-int(c) // slices) for c in row["cutoffs"]]
+                    wide = found.dtype == object or max(map(abs, least), default=0) >= 1 << 63
+                    least = np.array(least, object if wide else np.int64)
+                    hit, col = np.nonzero((found >= least[:, None]).astype(bool))
                 else:
                     # parts equal to the k-th are cut at any id: the list only gives a bound
                     keep = min(k, len(ids))
-                    col = np.argpartition(-found, keep - 1, axis=1)[:, :keep].ravel()
+                    col = _largest(found, keep).ravel()
                     hit = np.repeat(np.arange(len(q_ids)), keep)
                 for a in range(0, len(hit), 50_000):
                     h, c = hit[a:a + 50_000], col[a:a + 50_000]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(q_ids[h]), pa.array(ids[c]),
-                         pa.array(np.full(len(h), row["slice"], np.int32)), pa.array(found[h, c])],
+                         pa.array(np.full(len(h), row["slice"], np.int32)),
+                         numbers(found[h, c], kind)],
                         ["query", "id", "slice", "part"],
                     )
 
-    return pairs.mapInArrow(batches, "query bigint, id bigint, slice int, part bigint")
+    return pairs.mapInArrow(batches, f"query bigint, id bigint, slice int, part {kind}")
+
+
+def _largest(found: np.ndarray, keep: int) -> np.ndarray:
+    """The places of the ``keep`` largest of each row."""
+    if found.dtype == object:
+        return np.array([sorted(range(len(row)), key=row.__getitem__)[-keep:] for row in found.tolist()])
+    return np.argpartition(-found, keep - 1, axis=1)[:, :keep]
 
 
-def resolved(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+def resolved(pairs: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
     """query, id and the exact score of each pair (query, id)."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             left, right = batch.column("q").to_pylist(), batch.column("v").to_pylist()
-            score = [
-                int(products(np.frombuffer(a, "<i8")[None, :], np.frombuffer(b, "<i8")[None, :])[0, 0])
-                for a, b in zip(left, right)
-            ] if len({*map(len, left)}) > 1 else _rowwise(left, right)
+            sizes = np.array([len(x) for x in left])
+            score = np.zeros(len(left), object)
+            for size in np.unique(sizes):  # one dimension, or a few
+                at = np.flatnonzero(sizes == size)
+                a, b = (np.frombuffer(b"".join([x[i] for i in at]), "<i8").reshape(len(at), -1)
+                        for x in (left, right))
+                score[at] = rowwise(a, b)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("id"), pa.array(score, pa.int64())],
+                [batch.column("query"), batch.column("id"), numbers(score, kind)],
                 ["query", "id", "score"],
             )
 
@@ -187,25 +234,20 @@ def resolved(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         pairs.join(own, "id")
         .join(own.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
         .select("query", "id", "q", "v")
-        .mapInArrow(batches, "query bigint, id bigint, score bigint")
+        .mapInArrow(batches, f"query bigint, id bigint, score {kind}")
     )
 
 
-def _rowwise(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    if not left:
-        return np.zeros(0, np.int64)
-    a, b = (np.frombuffer(b"".join(x), "<i8").reshape(len(x), -1) for x in (left, right))
-    rough = np.einsum("ij,ij->i", a.astype(np.float64), b.astype(np.float64))
-    return bounded(np.einsum("ij,ij->i", a, b), rough, SCORE_BOUND)
-
-
 def _ranked(rows: DataFrame, k: int, keys: list[str], order: list) -> DataFrame:
     best = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, slices: int = SLICES) -> DataFrame:
-    """query, id, score, rank: the k highest scores of each query among ``vectors``.
+def search(
+    queries: DataFrame, vectors: DataFrame, k: int, slices: int = SLICES, kind: str = WIDE
+) -> DataFrame:
+    """query, id, score (of type ``kind``), rank: the k highest scores of each query among
+    ``vectors``.
 
     Both have id (unique), dim and v; ``queries`` is part of ``vectors``, and a query's own row
     counts like any other. Only vectors of a query's dimension compare. Ties go to the smaller
@@ -214,13 +256,13 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, slices: int = SLICES)
     slices = max(1, slices)
     sizes = {r.dim: r["count"] for r in vectors.groupBy("dim").count().collect()}
     asked = {r.dim: r["count"] for r in queries.groupBy("dim").count().collect()}
-    none = F.lit(np.iinfo(np.int64).min).cast("bigint")
+    none = F.lit(None).cast(kind)
     v_nodes = written(nodes(blocked(vectors, sizes, VECTOR_BLOCK, none), slices), "vector-nodes")
     # 1: local lists, their exact scores, the cutoff
     q_nodes = nodes(blocked(queries, asked, QUERY_BLOCK, none), slices)
-    lists = entries(met(q_nodes, v_nodes, sizes), slices, k, by_cutoff=False)
+    lists = entries(met(q_nodes, v_nodes, sizes), slices, k, by_cutoff=False, kind=kind)
     listed = _ranked(lists, k, ["query", "slice"], [F.desc("part"), "id"])
-    sure = written(resolved(listed.select("query", "id").distinct(), vectors), "listed-scores")
+    sure = written(resolved(listed.select("query", "id").distinct(), vectors, kind), "listed-scores")
     cutoffs = (
         _ranked(sure, k, ["query"], [F.desc("score"), "id"])
         .groupBy("query").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
@@ -228,18 +270,17 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, slices: int = SLICES)
     )
     # 2: what reaches the uniform threshold
     q_nodes = nodes(
-        blocked(queries.join(cutoffs, "id", "left"), asked, QUERY_BLOCK,
-                F.coalesce("cutoff", none)), slices,
+        blocked(queries.join(cutoffs, "id", "left"), asked, QUERY_BLOCK, F.col("cutoff")), slices,
     )
     sent = written(
-        entries(met(q_nodes, v_nodes, sizes), slices, k, by_cutoff=True)
-        .groupBy("query", "id").agg(F.sum("part").alias("score"), F.count("*").alias("parts")),
+        entries(met(q_nodes, v_nodes, sizes), slices, k, by_cutoff=True, kind=kind)
+        .groupBy("query", "id").agg(F.sum("part").cast(kind).alias("score"), F.count("*").alias("parts")),
         "sent-entries",
     )
     # 3: whole sums are scores, the rest is resolved
     scores = (
         sent.where(F.col("parts") == slices).select("query", "id", "score")
-        .unionByName(resolved(sent.where(F.col("parts") < slices).select("query", "id"), vectors))
+        .unionByName(resolved(sent.where(F.col("parts") < slices).select("query", "id"), vectors, kind))
     )
     return _ranked(scores, k, ["query"], [F.desc("score"), "id"])
 
@@ -247,8 +288,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, slices: int = SLICES)
 def nearest(vectors: DataFrame, every: int, k: int, slices: int = SLICES) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id ``every`` divides, the k highest
     inner products with the other vectors, ties to the smaller id; all, if there are fewer. Which
-    rows take part, and how repeated ids count, is said at ``quantized``."""
+    rows take part, and how repeated ids count, is said at ``quantized``. Rows are ranked by their
+    exact scores; a score that does not fit a long is given as the nearest one that does."""
     rows = written(quantized(vectors), "quantized")
+    most, dim = rows.agg(F.max("most"), F.max("dim")).first()
+    kind = score_kind(most or 0, dim or 1)
     same = Window.partitionBy("v").orderBy("vec_id")
     members = written(
         rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1),
@@ -261,7 +305,7 @@ def nearest(vectors: DataFrame, every: int, k: int, slices: int = SLICES) -> Dat
         "asking",
     )
     queries = distinct.join(asking.select("id").distinct(), "id", "left_semi")
-    found = written(search(queries, distinct, k + 1, slices), "found")
+    found = written(search(queries, distinct, k + 1, slices, kind), "found")
     of_class = members.join(distinct.select("id", "v"), "v").select("id", "vec_id")
     rows_found = _ranked(
         found.drop("rank").join(of_class, "id"), k + 1, ["query"], [F.desc("score"), "vec_id"]
@@ -269,8 +313,12 @@ def nearest(vectors: DataFrame, every: int, k: int, slices: int = SLICES) -> Dat
     own = asking.withColumnRenamed("id", "query").join(rows_found, "query").where(
         "query_id != vec_id"
     )
+    nearest_long = F.greatest(
+        F.lit(-MOST_LONG - 1).cast(WIDE), F.least(F.lit(MOST_LONG).cast(WIDE), "score")
+    ) if kind == WIDE else F.col("score")
     return _ranked(own, k, ["query_id"], [F.desc("score"), "vec_id"]).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id",
+        nearest_long.cast("bigint").alias("score"),
     )
 
 

@@ -21,14 +21,15 @@ def brute(rows, every, k):
     for i, x in rows:
         if i is None or not x or any(c is None or not math.isfinite(c) for c in x):
             continue
-        v = [math.floor(256 * c) for c in x]
+        v = [max(-2 ** 56, min(2 ** 56, math.floor(256 * c))) for c in x]
         vectors[i] = min(vectors.get(i, v), v, key=packed)
     out = []
     for q, a in vectors.items():
         if q % every == 0:
             scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items()
                             if i != q and len(b) == len(a))
-            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+            out += [(q, rank, i, max(-2 ** 63, min(2 ** 63 - 1, -s)))
+                    for rank, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -49,6 +50,24 @@ def test_against_brute_force(spark, slices, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute(rows, 10, 5)
 
 
+@pytest.mark.parametrize("slices", [1, 2, 3])
+def test_large_components(spark, slices, monkeypatch):
+    """Parts and scores beyond 2**61, 2**63 and 2**100 are exact, rank exactly, and one that is no
+    long is given as the nearest long."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 9)
+    draw = random.Random(slices)
+    rows = [(0, [2e9 / 256, 2e9 / 256]), (1, [1.25e9 / 256, 0.25e9 / 256])]
+    rows += [(10 + i, [draw.choice([-1, 1]) * 10 ** draw.uniform(3, 8) for _ in range(2)]) for i in range(40)]
+    rows += [(100 + i, [draw.choice([-1, 1]) * 10 ** draw.uniform(6, 19) for _ in range(4)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted(map(tuple, topk.nearest(frame, every=5, k=60, slices=slices).collect()))
+    assert found == brute(rows, 5, 60)
+    scores = {(q, v): s for q, _, v, s in found}
+    assert scores[0, 1] == 3_000_000_000_000_000_000
+    assert sum(abs(s) >= 2 ** 63 - 1 for s in scores.values()) > 20
+
+
 def test_nothing(spark):
     frame = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.nearest(frame, every=10, k=5).count() == 0
