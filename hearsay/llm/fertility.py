@@ -2,14 +2,15 @@
 
 A public vocabulary measures how well a text's words fit: characters per token, tokens per word
 (fertility), share of tokens that are single bytes because the vocabulary has no better, and the
-entropy of the token distribution. The middle half of all documents of a language (of a script,
-where no language is given) sets a band for each measure, and what is outside a band is
-rejected. Bands come from percentiles over all documents that pass the base rules.
+entropy of the token distribution. The middle half of all documents of a language, leaning on its
+script and on all documents by their numbers, sets a band for each measure, and what is outside a
+band is rejected. Bands come from exact percentiles over all documents that pass the base rules.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ MOST_REPEATED_PERCENT = 50
 WINDOW = 3
 #: Words that a worker keeps with their tokens.
 MEMO_WORDS = 400_000
-#: Documents that a language needs for bands of its own.
-LEAST_DOCS = 100
+#: Documents that a wider group counts for in the bands of a narrower one.
+PRIOR_DOCS = 100
 #: Per measure: how many times the middle half's width the band reaches below and above the
 #: median, and the least width, as a share of the median and as such. Four widths are 5.4
 #: standard deviations of a normal distribution; the measures' main modes end there. Entropy has no
@@ -38,7 +39,8 @@ BANDS = {
     "byte_share": (4.0, 4.0, 0.0, 0.05),
     "entropy": (3.5, 3.5, 0.05, 0.0),
 }
-ACCURACY = 10_000
+#: Decimals on which measures are ranked for the percentiles, which are exact and so the same in any run.
+DIGITS = 3
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -68,9 +70,17 @@ def duplicate_lines(text: str) -> int:
 
 
 def script_of(text: str) -> str:
-    """The script of the first letter, as Unicode names it."""
-    letter = next((c for c in text if c.isalpha()), None)
-    return unicodedata.name(letter, "UNKNOWN").split()[0].lower() if letter else "none"
+    """The script that most letters of the whole text are of, as Unicode names it; the first by name of
+    several."""
+    names = worker_cache("fertility").setdefault("scripts", {})
+    counts: Counter[str] = Counter()
+    for letter, n in Counter(text).items():
+        if letter not in names:
+            names[letter] = (
+                unicodedata.name(letter, "UNKNOWN").split()[0].lower() if letter.isalpha() else "")
+        counts[names[letter]] += n
+    counts.pop("", None)
+    return min(counts, key=lambda name: (-counts[name], name)) if counts else "none"
 
 
 class Tokens:
@@ -98,9 +108,9 @@ class Tokens:
 
 def tokens_of(content: bytes) -> Tokens:
     cache = worker_cache("fertility")
-    if cache.get("fertility-content") != content:
-        cache["fertility-content"], cache["fertility"] = content, Tokens(content)
-    return cache["fertility"]
+    if cache.get("content") != content:
+        cache["content"], cache["tokens"] = content, Tokens(content)
+    return cache["tokens"]
 
 
 MEASURES = (
@@ -159,52 +169,71 @@ def base_failed() -> Column:
     )
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """group, docs and the bounds low_<measure> and high_<measure>; group "" is all documents."""
-    passed = rows.where(~F.col("base_failed"))
-    percentiles = [
-        F.percentile_approx(m, [0.25, 0.5, 0.75], ACCURACY).alias(m)
-        for m in BANDS
-    ]
-    stats = passed.groupBy("group").agg(F.count("*").alias("docs"), *percentiles).unionByName(
-        passed.agg(F.count("*").alias("docs"), *percentiles).withColumn("group", F.lit(""))
+def quartiles(rows: DataFrame, group: str) -> DataFrame:
+    """The group, its docs, and the quartiles of each measure of the documents that pass the base
+    rules."""
+    return rows.where(~F.col("base_failed")).groupBy(group).agg(
+        F.count("*").alias("docs"),
+        *[F.percentile(F.round(m, DIGITS), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(m)
+          for m in BANDS],
     )
-    columns = []
+
+
+def _leaning(own: str, docs: str, wider: Column) -> Column:
+    """Quartiles of a group that lean on those of the wider one by PRIOR_DOCS documents."""
+    n = F.coalesce(F.col(docs), F.lit(0))
+    mixed = F.zip_with(own, wider, lambda x, y: (n * x + PRIOR_DOCS * y) / (n + PRIOR_DOCS))
+    return F.coalesce(mixed, wider)
+
+
+def inside_bands() -> Column:
+    """Whether all measures are within the bands of the row: from the quartiles of its language,
+    which lean on those of the language's script, which lean on those of all documents."""
+    inside = F.lit(True)
     for m, (below, above, share, least) in BANDS.items():
-        low, mid, high = (F.col(m)[i] for i in range(3))
+        wider = _leaning(f"script_{m}", "script_docs", F.col(f"all_{m}"))
+        found = _leaning(f"lang_{m}", "lang_docs", wider)
+        low, mid, high = (F.get(found, i) for i in range(3))
         width = F.greatest(high - low, share * F.abs(mid), F.lit(least))
-        columns += [
-            (mid - below * width).alias(f"low_{m}"),
-            (mid + above * width).alias(f"high_{m}"),
-        ]
-    return stats.select("group", "docs", *columns)
+        inside &= (F.col(m) >= mid - below * width) & (F.col(m) <= mid + above * width)
+    return inside
 
 
 def judged(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, the base measures, the token measures, base_failed and kept of every row.
 
     Kept is a document that passes the base rules and whose measures are inside the bands of its
-    language (of its script, if lang is null; of all documents, if fewer than LEAST_DOCS of the
-    group pass the base rules). Repeated rows count as often as they occur. An empty table gives
-    no rows.
+    language. Bands follow from the quartiles of the documents that pass the base rules; those of
+    a language lean on its script's (the script of most of its documents, which is that of most
+    letters of a text) as if PRIOR_DOCS more documents had these, and those of a script on all
+    documents'. So a small language is judged mostly by its script, a null lang by the text's own
+    script, and no group changes its bands at a certain size. Repeated rows count as often as they
+    occur. An empty table gives no rows.
     """
     rows = written(
-        measured(docs, model_file)
-        .withColumn("base_failed", base_failed())
-        .withColumn("group", F.coalesce(F.concat(F.lit("lang "), "lang"),
-                                        F.concat(F.lit("script "), "script"))),
-        "measures",
+        measured(docs, model_file).withColumn("base_failed", base_failed()), "measures"
     )
-    found = written(bands(rows), "bands")
-    whole = found.where("group = ''").first()  # one row: the bounds over all documents
-    both = rows.join(
-        found.where(F.col("group") != "").where(F.col("docs") >= LEAST_DOCS).drop("docs"),
-        "group", "left",
+
+    def named(found: DataFrame, of: str) -> DataFrame:
+        return found.withColumnsRenamed({name: f"{of}_{name}" for name in ("docs", *BANDS)})
+
+    whole = named(quartiles(rows.withColumn("one", F.lit(1)), "one"), "all").first()  # one row
+    scripts = (
+        rows.where("lang is not null and not base_failed")
+        .groupBy("lang", "script").agg(F.count("*").alias("n"))
+        .groupBy("lang").agg(F.max_by("script", F.struct("n", "script")).alias("usual"))
     )
-    inside = F.lit(True)
-    for m in BANDS:
-        inside &= F.col(m) >= F.coalesce(f"low_{m}", F.lit(whole[f"low_{m}"]).cast("double"))
-        inside &= F.col(m) <= F.coalesce(f"high_{m}", F.lit(whole[f"high_{m}"]).cast("double"))
+    langs = named(quartiles(rows.where("lang is not null"), "lang"), "lang").join(scripts, "lang")
+    both = (
+        rows.join(langs, "lang", "left")
+        .withColumn("script", F.coalesce("usual", "script"))
+        .join(named(quartiles(rows, "script"), "script"), "script", "left")
+        .withColumns({
+            f"all_{m}": F.lit(list(whole[f"all_{m}"]) if whole else None).cast("array<double>")
+            for m in BANDS
+        })
+    )
+    inside = inside_bands()
     return both.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),

@@ -29,6 +29,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have yet, whatever the case of letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def worker_cache(owner: str) -> dict:
     """What a worker process keeps between tasks of one operator. It hangs on ``sys`` because
     functions sent by value get new globals with each task. What another operator has left is

@@ -26,6 +26,8 @@ FEATURES = 2048
 TRAIN_ROWS = 1500
 ITERATIONS = 30
 SEED = 5
+#: How many times the wanted rows of a language are drawn, so that enough are among them.
+SPARE = 2.0
 #: Code points of a text that are held as numbers at once.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -120,6 +122,25 @@ class Model:
         return best, float(odds[at]) * float(np.mean(chances[best]))
 
 
+def _draw() -> Column:
+    """The hash of a row as a number from 0 to 1."""
+    return F.pmod(F.col("at"), F.lit(1 << 32)) / (1 << 32)
+
+
+def drawn_rows(usable: DataFrame, rows: int) -> DataFrame:
+    """lang and at of about SPARE times ``rows`` rows of each language, however many it has: those
+    whose hash is below a bound that follows from its count."""
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return usable.select("lang", "at").join(counts, "lang").where(
+        _draw() < SPARE * rows / F.col("n")).select("lang", "at")
+
+
+def first_of_each(drawn: DataFrame, rows: int) -> DataFrame:
+    """lang and at of the first ``rows`` distinct rows of each language."""
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy(_draw(), "at"))
+    return drawn.distinct().withColumn("place", place).where(F.col("place") <= rows).select("lang", "at")
+
+
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model from text and lang of ``rows`` rows of each language at the most, chosen by a
     seeded hash of doc_id and text, so that no language of a labelled row is left out. Rows
@@ -129,12 +150,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         F.col("lang").cast("string").alias("lang"), "text",
         F.xxhash64(F.lit(SEED), "doc_id", "text").alias("at"),
     )
-    # Cut to the first of each language where rows are read; repeated rows share a place.
-    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("at"))
-    sample = (
-        usable.select("lang", "at").withColumn("place", place).where(F.col("place") <= rows)
-        .select("lang", "at").distinct()
-    )
+    sample = first_of_each(drawn_rows(usable, rows), rows)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:

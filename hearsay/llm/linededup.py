@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.frames import mixed, slices, written
+from hearsay.llm.frames import mixed, slices, unused, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Hashes of a block, bits for each of them, and bits that a hash sets.
@@ -208,8 +208,9 @@ def dedup_lines(
     share a doc_id count as one document. Rows with a null doc_id take no part and keep their
     lines.
     """
-    lost = dropped_keys(docs, least, filter_bytes)
-    kept = docs.drop("n_lines", "n_dropped", "lost")
+    kept = docs.drop("n_lines", "n_dropped")
+    gone_keys = unused(docs, "lost")
+    lost = dropped_keys(docs, least, filter_bytes).withColumnRenamed("lost", gone_keys)
     schema = (
         kept.withColumn("n_lines", F.lit(0).cast("bigint"))
         .withColumn("n_dropped", F.lit(0).cast("bigint"))
@@ -222,7 +223,7 @@ def dedup_lines(
             for part in slices(batch):
                 texts, lines, drops = [], [], []
                 for text, gone in zip(part.column("text").to_pylist(),
-                                      part.column("lost").to_pylist()):
+                                      part.column(gone_keys).to_pylist()):
                     every = (text or "").split("\n")
                     if gone:
                         gone = {key.encode() for key in gone}
@@ -238,7 +239,7 @@ def dedup_lines(
                 columns += [pa.array(lines, pa.int64()), pa.array(drops, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return kept.join(lost, "doc_id", "left").select(*kept.columns, "lost").mapInArrow(
+    return kept.join(lost, "doc_id", "left").select(*kept.columns, gone_keys).mapInArrow(
         batches, schema
     )
 

@@ -110,17 +110,30 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text, toxic (0.0 or 1.0) and fold of ``rows`` labelled rows at the most, chosen by a
-    seeded hash. Null labels do not count; of several labels of a document the highest does."""
-    chosen = (
+    """text, toxic (0.0 or 1.0), fold and weight of ``rows`` labelled rows at the most.
+
+    Labels meet the documents' ids before they are chosen, so those without a document take no
+    place. Of each label half the rows are chosen by a seeded hash; ``weight`` is how many
+    labelled rows one of them stands for. Null labels do not count; of several labels of a document
+    the highest does.
+    """
+    known = written(
         labels.where("toxic is not null and doc_id is not null")
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
-        .orderBy(seeded("doc_id", SEED), "doc_id").limit(rows)
-        .withColumn("fold", F.pmod(seeded("doc_id", SEED + 1), F.lit(FOLDS + 1)).cast("int"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi"),
+        "known-labels",
     )
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = known.limit(0).withColumn("weight", F.lit(1.0))
+    for label in (0.0, 1.0):
+        first = known.where(F.col("toxic") == label).orderBy(seeded("doc_id", SEED), "doc_id")
+        weight = max(1.0, counts.get(label, 0) / (rows // 2))
+        chosen = chosen.unionByName(first.limit(rows // 2).withColumn("weight", F.lit(weight)))
+    chosen = chosen.withColumn(
+        "fold", F.pmod(seeded("doc_id", SEED + 1), F.lit(FOLDS + 1)).cast("int"))
     # The chosen ids are a bounded table.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "toxic", "fold"
+        "text", "toxic", "fold", "weight"
     )
 
 
@@ -195,14 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = written(labelled_rows(docs, labels, rows), "toxic-samples")
     totals = {r.fold: (r.n, int(r.t)) for r in sample.groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
-    every = sum(n for n, _ in totals.values())
-    share = sum(t for _, t in totals.values()) / every if every else 0.0
+    share = sample.agg(F.sum(F.col("toxic") * F.col("weight")) / F.sum("weight")).first()[0] or 0.0
     counts = written(word_counts(sample), "word-counts")
     full = lexicon(counts, totals, None)
     lexicons = {f: lexicon(counts, totals, f) for f in range(FOLDS)} | {FOLDS: full}
     data = written(
-        _described_rows(sample, lexicons, "toxic double, fold int"), "toxic-features"
-    ).select("toxic", "fold", array_to_vector("x").alias("features"))
+        _described_rows(sample, lexicons, "toxic double, fold int, weight double"),
+        "toxic-features",
+    ).select("toxic", "fold", "weight", array_to_vector("x").alias("features"))
     learned = [totals.get(f, (0, 0)) for f in range(FOLDS)]
     if not 0 < sum(t for _, t in learned) < sum(n for n, _ in learned):
         return Model(full, None, None, share)
@@ -211,9 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     ).fit(data.where(F.col("fold") < FOLDS))
     if not totals.get(FOLDS, (0, 0))[0]:
         return Model(full, trees, None, share)
-    held = _scored(data.where(F.col("fold") == FOLDS), trees).select("raw", "toxic")
+    held = _scored(data.where(F.col("fold") == FOLDS), trees).select("raw", "toxic", "weight")
+    # The weights give the calibration the labels' own shares back.
     calibration = IsotonicRegression(
-        featuresCol="raw", labelCol="toxic", predictionCol="share"
+        featuresCol="raw", labelCol="toxic", predictionCol="share", weightCol="weight"
     ).fit(held)
     return Model(full, trees, calibration, share)
 

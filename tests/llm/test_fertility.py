@@ -78,6 +78,27 @@ def test_byte_share_is_judged_by_the_language(spark):
     assert all(r.kept == (i < 2000) for i, r in found.items())
 
 
+def test_a_small_language_leans_on_its_script(spark):
+    """No size at which bands switch: a language of few documents is judged like its script, one of
+    many by its own, and reruns over another layout agree."""
+    rng = random.Random(2)
+    rows = [(i, "en", made(rng, LATIN)) for i in range(300)]
+    rows += [(1000, "xx", made(rng, LATIN)), (1001, "yy", made(rng, ETHIOPIC)), (1002, None, made(rng, LATIN))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    found = [sorted((r.doc_id, r.kept) for r in fertility.judged(docs.repartition(n), MODEL).collect())
+             for n in (1, 5)]
+    assert found[0] == found[1]
+    kept = dict(found[0])
+    assert kept[1000] and kept[1002] and sum(kept[i] for i in range(300)) > 290
+
+
+def test_script_of_most_letters():
+    assert fertility.script_of("\u0412 the text is mostly Latin") == "latin"
+    assert fertility.script_of("A \u0442\u0435\u043a\u0441\u0442") == "cyrillic"
+    assert fertility.script_of("12 ?!") == "none" == fertility.script_of("")
+    assert fertility.script_of("a\u0432") == "cyrillic"
+
+
 def test_far_from_the_median_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = fertility.judged(docs, MODEL).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -61,6 +61,17 @@ def test_rare_languages_are_learned(spark):
     assert found.where("lang_pred != lang").count() == 0
 
 
+def test_a_frequent_language_does_not_meet_in_one_task(spark):
+    """What reaches the window of a language is about twice the rows that are wanted of it."""
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") % 100 == 0, "de").otherwise("en").alias("lang"),
+        F.xxhash64("id").alias("at"))
+    drawn = {r.lang: r["count"] for r in langid.drawn_rows(rows, 400).groupBy("lang").count().collect()}
+    assert drawn["de"] == 300 and 700 < drawn["en"] < 900
+    sample = langid.first_of_each(langid.drawn_rows(rows, 400), 400)
+    assert {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()} == {"de": 300, "en": 400}
+
+
 def test_long_texts_are_read_whole(monkeypatch):
     text = "Der Text ist lang. " * 2000
     whole = langid.features(text + "ñ")
