@@ -77,12 +77,65 @@ def test_broken_pages_take_linear_time():
 
 
 def test_tree_fits_its_table():
-    import numpy as np
-
-    rows = np.array(html.LABELLED, float)
+    rows = html.labelled()
+    assert len(rows) > 300 and 0.3 < rows[:, -1].mean() < 0.7
     assert [html.decide(TREE, r[:-1]) for r in rows] == rows[:, -1].tolist()
 
 
+def splits(tree):
+    if not isinstance(tree, tuple):
+        return []
+    return [html.FEATURES[tree[0]], *splits(tree[2]), *splits(tree[3])]
+
+
+def two_terms(row):
+    """Not marked, and in an article: what a rule without words and links would say."""
+    return int(row[html.FEATURES.index("marked")] < 0.5 and row[html.FEATURES.index("place")] >= 0.5)
+
+
+def test_words_and_links_decide():
+    """The tree looks at link density and at the neighbours, and differs from a rule of two terms."""
+    used = set(splits(TREE))
+    assert "links" in used and used & {"links_before", "links_after"}
+    assert used & {"words", "words_before", "words_after"}
+    page = ("<h1>A title</h1><p>" + "word " * 30 + "</p><p>Short.</p><ul><li><a href=a>One more</a>"
+            "<li><a href=b>Another one</a></ul><div>Follow us</div><ul><li><a href=c>There</a></ul>")
+    rows = html.described(html.blocks(page))
+    chosen = [html.decide(TREE, row) for row in rows]
+    assert chosen == [1, 1, 1, 0, 0, 0, 0] and [two_terms(row) for row in rows] == [1] * 7
+
+
+@pytest.mark.parametrize("inside, expected", [
+    ('<section id="related-work"><h2>Related work</h2><p>Text.</p></section>', "Related work\n\nText."),
+    ('<div class="notice-board"><p>Text.</p></div><p>More.</p>', "Text.\n\nMore."),
+    ('<section id="reply"><p>Text.</p></section><p>More.</p>', "Text.\n\nMore."),
+    ('<div id="share-of-total"><p>Text.</p></div><p>More.</p>', "Text.\n\nMore."),
+    ('<p>Text.</p><div class="related-posts"><p>Other.</p></div>', "Text."),
+    ('<p>Text.</p><div class="ad-slot"><p>Buy.</p></div>', "Text."),
+    ('<p>Text.</p><div id="cookie-consent-bar"><p>Cookies.</p></div>', "Text."),
+    ('<p>Text.</p><section id="comments"><p>No.</p></section>', "Text."),
+    ('<p>Text.</p><ul class="comment-list"><li>No.</ul>', "Text."),
+])
+def test_names_that_are_no_marks(inside, expected):
+    assert text(f"<body><article>{inside}</article></body>") == expected
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<h1>Title</h1><p>{30}</p><p>{12}</p><p>The end.</p>", "Title\n\n{30}\n\n{12}\n\nThe end."),
+    ("<p>Yes.</p><p>No.</p><p>Maybe so.</p>", "Yes.\n\nNo.\n\nMaybe so."),
+    ("<h1>Title</h1><p>{30}</p>", "Title\n\n{30}"),
+    ("<div><a href=a>Home</a></div><h1>Title</h1><p>By me</p><p>{40}</p><div><a href=b>Next</a></div>",
+     "Title\n\nBy me\n\n{40}"),
+    ("<main><h1><a href=a>Title</a></h1><p>{20}</p><ul><li><a href=b>One</a><li><a href=c>Two</a></ul></main>"
+     "<p>{15}</p>", "Title\n\n{20}"),
+])
+def test_pages_without_an_article(page, expected):
+    import re
+
+    fill = lambda x: re.sub(r"{(\d+)}", lambda n: " ".join(["word"] * int(n.group(1))), x)
+    assert text(f"<body>{fill(page)}</body>") == fill(expected)
+
+
 def test_rows(spark):
     frame = spark.createDataFrame(
         [(1, None, PAGE), (2, "u", None), (2, "u", None), (None, "u", "")],
