@@ -130,7 +130,8 @@ def _draw() -> Column:
 def drawn_rows(usable: DataFrame, rows: int) -> DataFrame:
     """lang and at of about SPARE times ``rows`` rows of each language, however many it has: those
     whose hash is below a bound that follows from its count."""
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each language goes to all tasks, so that rows are cut before anything is dealt.
+    counts = F.broadcast(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     return usable.select("lang", "at").join(counts, "lang").where(
         _draw() < SPARE * rows / F.col("n")).select("lang", "at")
 
