@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -45,10 +46,31 @@ def worker_cache(owner: str) -> dict:
     if cache.get("owner") != owner:
         cache.clear()
         cache["owner"] = owner
+        _give_back()
     return cache
 
 
+#: mallopt's numbers for the largest free end of the heap that is kept, and for the least size of
+#: what is allocated outside of the heap, and the bytes that both are set to.
+_TRIM_THRESHOLD, _MMAP_THRESHOLD, _LARGE = -1, -3, 1 << 20
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system. A worker lives on between operators, and by default the C
+    library comes to keep even large arrays for itself."""
+    library = ctypes.CDLL(None)
+    if not hasattr(library, "malloc_trim"):  # not glibc
+        return
+    if not vars(sys).get("_hearsay_lean"):
+        vars(sys)["_hearsay_lean"] = True
+        library.mallopt(_MMAP_THRESHOLD, _LARGE)
+        library.mallopt(_TRIM_THRESHOLD, _LARGE)
+    library.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    if not vars(sys).get("_hearsay_lean"):
+        _give_back()
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.frames import mixed, slices, unused, written
+from hearsay.llm.frames import mixed, slices, unused, worker_cache, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Hashes of a block, bits for each of them, and bits that a hash sets.
@@ -88,6 +88,7 @@ def key_hashes(docs: DataFrame, least: int) -> DataFrame:
     """hash and ``twice`` (two rows of a batch hold it), one row per batch and hash."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("linededup")  # what another operator holds goes
         digest = xxhash.xxh64_intdigest
         for batch in rows:
             found = [digest(key) for part in slices(batch)
