@@ -20,10 +20,14 @@ def exact_slope(x: Column, y: Column) -> Column:
     sums meet, so words with equal series get equal slopes and rank by name.
     """
     x, y = x.cast("decimal(10,0)"), y.cast("decimal(14,0)")
-    n = F.count(F.lit(1)).cast("decimal(10,0)")
-    sum_x, sum_y = F.sum(x), F.sum(y)
-    above = n * F.sum(x * y) - sum_x * sum_y
-    below = n * F.sum(x * x) - sum_x * sum_x
+    return slope_of_sums(F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * y), F.sum(x * x))
+
+
+def slope_of_sums(n: Column, sum_x: Column, sum_y: Column, sum_xy: Column, sum_xx: Column) -> Column:
+    """The slope of ``exact_slope`` from the number of points and their sums."""
+    n = n.cast("decimal(10,0)")
+    above = n * sum_xy - sum_x * sum_y
+    below = n * sum_xx - sum_x * sum_x
     return F.when(below != 0, above.cast("double") / below.cast("double"))
 
 

@@ -13,7 +13,7 @@ from hearsay.plans.inputs import (
     ALL_FACTS, FACTS, FEED, GOOD, HIGH, INGESTION, LOW, POOR, POSTS, REMARKS, SCORED,
     SERIES, STATS, WORD, alpha_sql, controversy_sql, day_text, english_scored, facts,
     facts_with_comments, feed, forum_posts, gold_controversy, gold_links, gold_series,
-    links_sql, posts, remarks, scored, sentiment_sql, series_sql, table, time_text,
+    links_sql, posts, remarks, scored, sentiment_sql, series_sql, stacked, table, tall, time_text,
 )
 from hearsay.plans.registry import add, query
 
@@ -453,20 +453,6 @@ def _snapshots(s, d):
     )
 
 
-def _tall(bundle: dict, part: str, label, value):
-    """A table of a bundle as rows of part, label and value."""
-    return bundle[part].select(
-        F.lit(part).alias("part"), label.cast("string").alias("label"),
-        value.cast("double").alias("value"))
-
-
-def _stacked(frames):
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    return whole
-
-
 @query("forum_overview", "A1 A2 A3 A4 A5 A6 A6b", f"""
 WITH {ALL_FACTS}, chosen AS (SELECT * FROM all_facts WHERE month IN (1, 2, 3, 7))
 SELECT 'available_years' AS part, CAST(year AS VARCHAR) AS label, year::DOUBLE AS value
@@ -484,14 +470,14 @@ UNION ALL SELECT 'timeline_series', {day_text('created_date')}, round(sum(engage
 def _forum_overview(s, d):
     bundle = insights.forum_overview(facts_with_comments(s, d), "overall", "1,2,3,7")
     day = F.date_format("bucket", "yyyy-MM-dd")
-    return _stacked([
-        _tall(bundle, "available_years", F.col("year"), F.col("year")),
-        _tall(bundle, "kpis", F.lit("total_posts"), F.col("total_posts")),
-        _tall(bundle, "content_split", F.lit("comments"), F.col("comments")),
-        _tall(bundle, "post_type_split", F.col("label"), F.col("value")),
-        _tall(bundle, "top_keywords", F.col("word"), F.col("count")),
-        _tall(bundle, "timeline", day, F.col("count")),
-        _tall(bundle, "timeline_series", day, F.col("total")),
+    return stacked([
+        tall(bundle, "available_years", F.col("year"), F.col("year")),
+        tall(bundle, "kpis", F.lit("total_posts"), F.col("total_posts")),
+        tall(bundle, "content_split", F.lit("comments"), F.col("comments")),
+        tall(bundle, "post_type_split", F.col("label"), F.col("value")),
+        tall(bundle, "top_keywords", F.col("word"), F.col("count")),
+        tall(bundle, "timeline", day, F.col("count")),
+        tall(bundle, "timeline_series", day, F.col("total")),
     ])
 
 
@@ -509,14 +495,14 @@ UNION ALL SELECT 'score_split',
           FROM chosen GROUP BY 2""")
 def _comments_overview(s, d):
     bundle = insights.comments_overview(remarks(s, d), "overall", "2,4,6,8")
-    return _stacked([
-        _tall(bundle, "available_years", F.col("year"), F.col("year")),
-        _tall(bundle, "kpis", F.lit("total_comments"), F.col("total_comments")),
-        _tall(bundle, "timeline_series", F.date_format("bucket", "yyyy-MM-dd"),
+    return stacked([
+        tall(bundle, "available_years", F.col("year"), F.col("year")),
+        tall(bundle, "kpis", F.lit("total_comments"), F.col("total_comments")),
+        tall(bundle, "timeline_series", F.date_format("bucket", "yyyy-MM-dd"),
               F.col("controversial_comments")),
-        _tall(bundle, "controversial_split", F.col("label"), F.col("value")).filter(
+        tall(bundle, "controversial_split", F.col("label"), F.col("value")).filter(
             F.col("label") == "controversial"),
-        _tall(bundle, "score_split", F.col("label"), F.col("value")),
+        tall(bundle, "score_split", F.col("label"), F.col("value")),
     ])
 
 

@@ -320,3 +320,17 @@ def day_text(column: str) -> str:
 
 def time_text(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+
+
+def tall(bundle: dict, part: str, label, value):
+    """A table of a bundle as rows of part, label and value."""
+    return bundle[part].select(
+        F.lit(part).alias("part"), label.cast("string").alias("label"),
+        value.cast("double").alias("value"))
+
+
+def stacked(frames):
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole

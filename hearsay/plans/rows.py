@@ -10,16 +10,16 @@ from hearsay.functions import media, scores, text, times, values
 from hearsay.functions.vocab import (
     IMAGE_MARKS, NAMESPACE_URL, POST_COLLECTION, VIDEO_MARKS, default_stopwords,
 )
-from hearsay.operators import filters
+from hearsay.operators import filters, insights
 from hearsay.operators.facts import comment_facts, post_facts
 from hearsay.operators.ranks import scale_minmax, share
 from hearsay.operators.kpis import media_split
 from hearsay.plans.inputs import (
     ALL_FACTS, FACTS, FEED, GOOD, POOR, POSTS, REMARKS, alpha_sql, clean_sql, day_text,
     facts, facts_with_comments, feed, forum_comments, forum_posts, posts, remarks, rows_of,
-    sentiment_sql, sql_list, table, time_text,
+    sentiment_sql, sql_list, stacked, table, tall, time_text,
 )
-from hearsay.plans.registry import add
+from hearsay.plans.registry import add, query
 
 BLANKS_SQL = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -472,6 +472,43 @@ SELECT l.position, l.label, count(media) AS value,
 FROM (VALUES (0::BIGINT, 'video'), (1, 'photo'), (2, 'text'), (3, 'other')) l(position, label)
 LEFT JOIN media ON media = label GROUP BY 1, 2""")
 
+
+@query("feed_overview", "A5 A6 A19 A20 A21", f"""
+WITH {_MEDIA}, {FEED}, described AS (
+  SELECT post_id * ((SELECT count(*) FROM events) // (SELECT count(*) FROM documents)) AS event_id,
+         text, media FROM posts JOIN media USING (post_id)), known AS (
+  SELECT * FROM feed WHERE event_type IN ('view', 'click', 'purchase')), chosen AS (
+  SELECT * FROM known LEFT JOIN described USING (event_id) WHERE month(ts) IN (1, 3))
+SELECT 'available_years' AS part, CAST(year(ts) AS VARCHAR) AS label, year(ts)::DOUBLE AS value
+FROM known GROUP BY year(ts)
+UNION ALL SELECT 'kpis', 'total_posts', count(*) FILTER (event_type = 'view') FROM chosen
+UNION ALL SELECT 'kpis', 'total_likes', count(*) FILTER (event_type = 'click') FROM chosen
+UNION ALL SELECT 'kpis', 'total_follows', count(*) FILTER (event_type = 'purchase') FROM chosen
+UNION ALL SELECT 'kpis', 'active_days', count(DISTINCT CAST(ts AS DATE)) FROM chosen
+UNION ALL SELECT 'post_type_split', label, count(medium) FROM (
+  VALUES ('video'), ('photo'), ('text'), ('other')) l(label) LEFT JOIN (
+    SELECT coalesce(media, 'other') AS medium FROM chosen WHERE event_type = 'view')
+  ON medium = label GROUP BY 2
+UNION ALL (SELECT 'top_keywords', word, count(*) FROM (
+  SELECT unnest({alpha_sql('text')}) AS word FROM chosen WHERE event_type = 'view')
+  GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 6)
+UNION ALL SELECT 'timeline_series', {day_text('ts')}, count(*) FROM chosen GROUP BY 2""")
+def _feed_overview(s, d):
+    """Every event of the feed; those that a document was matched to have its text and medium."""
+    stride = F.floor(rows_of(table(s, d, "events")) / rows_of(table(s, d, "documents")))
+    described = _embedded(s, d).select(
+        (F.col("post_id") * stride).alias("event_id"), "text", "post_type")
+    events = feed(s, d).join(described, "event_id", "left")
+    bundle = insights.feed_overview(events, "ts", "collection", "text", "post_type", months="1,3")
+    figures = ("total_posts", "total_likes", "total_follows", "active_days")
+    return stacked([
+        tall(bundle, "available_years", F.col("year"), F.col("year")),
+        *[tall(bundle, "kpis", F.lit(name), F.col(name)) for name in figures],
+        tall(bundle, "post_type_split", F.col("label"), F.col("value")),
+        tall(bundle, "top_keywords", F.col("word"), F.col("count")),
+        tall(bundle, "timeline_series", F.date_format("bucket", "yyyy-MM-dd"), F.col("total")),
+    ])
+
 add("share_of_total", "W9",
     lambda s, d: share(
         posts(s, d).groupBy("source").agg(F.sum("like_count").alias("likes")), "likes"), f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -20,11 +21,22 @@ def counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
     ]), seen
 
 
+def observed(rows: DataFrame, seen: Observation) -> dict:
+    """What was observed of ``rows``; nothing if the planner found them empty, and so had nothing to run."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        if not rows.isEmpty():
+            raise
+        return {}
+
+
 def write_counted(df: DataFrame, path: str, mode: str = "append", **counts: Column) -> dict[str, int]:
     """Write a table and return what was counted on the way (all rows, as ``scanned``)."""
     rows, seen = counted(df, **counts)
     rows.write.mode(mode).parquet(path)
-    return {name: value or 0 for name, value in seen.get.items()}
+    found = observed(rows, seen)
+    return {name: found.get(name) or 0 for name in counts or {"scanned": None}}
 
 
 def write_parsed(
@@ -38,4 +50,5 @@ def write_parsed(
         scanned=F.count(F.lit(1)),
     )
     rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT).write.mode(mode).parquet(path)
-    return {name: value or 0 for name, value in seen.get.items()}
+    found = observed(rows, seen)
+    return {name: found.get(name) or 0 for name in ("good", "bad", "scanned")}

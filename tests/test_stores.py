@@ -145,6 +145,12 @@ def test_counts_come_with_the_write(spark, tmp_path):
     assert frame.count() == 7 and seen.get == {"scanned": 7}
 
 
+def test_nothing_is_counted_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "value string")
+    assert write_counted(none, str(tmp_path / "a")) == {"scanned": 0}
+    assert write_parsed(none, "id bigint", str(tmp_path / "b")) == {"good": 0, "bad": 0, "scanned": 0}
+
+
 def test_lines_that_do_not_parse_are_counted(spark, tmp_path):
     lines = spark.createDataFrame([('{"a": 1}',), ('{"a": ',), ("",), (None,), ('{"a": "x"}',)], "value STRING")
     path = str(tmp_path / "t")
