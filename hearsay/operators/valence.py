@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hearsay.functions.scores import normalise_valence
 from hearsay.functions.vocab import (
@@ -21,6 +22,8 @@ from hearsay.functions.vocab import (
     NEGATIONS, NEVER_SO_FACTORS, QUESTION_WEIGHT, VALENCE_ALPHA,
 )
 
+#: Places before a word that are looked at.
+BACK = range(1, NEGATION_SPAN + 1)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -85,8 +88,9 @@ def context_tokens(text: str) -> Column:
     """Words between white space, without punctuation at their ends; one that would keep two letters
     or fewer stays as it is, so that emoticons do."""
     words = F.split(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\x0B\\f\\r]+")
-    bare = lambda w: F.btrim(w, F.lit(PUNCTUATION))
-    stripped = F.transform(words, lambda w: F.when(F.length(bare(w)) <= 2, w).otherwise(bare(w)))
+    # The bare words are an array of their own: in one lambda each would be cut twice.
+    bare = F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+    stripped = F.zip_with(words, bare, lambda w, b: F.when(F.length(b) <= 2, w).otherwise(b))
     return F.filter(stripped, lambda w: w != "")
 
 
@@ -98,67 +102,80 @@ def _shouted(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def _any_of(words: list[str]) -> Column:
-    return F.array(*[F.lit(word) for word in words]).cast("array<string>")
+def _with_effects(hits: DataFrame, key: str, words: ContextWords) -> DataFrame:
+    """Words of the lexicon with their valence as if nothing stood before them (``alone``), and what
+    the three words before them would do to it (``effects``: numbers and flags, null where they
+    would do nothing).
 
-
-def _of_degree(word: Column, valence: Column, shouted: Column, words: ContextWords) -> Column:
-    """What a word of degree adds to the valence after it."""
-    sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    weight = (
-        F.when(F.array_contains(_any_of(words.up), _plain(word)), F.lit(DEGREE_WEIGHT))
-        .when(F.array_contains(_any_of(words.down), _plain(word)), F.lit(-DEGREE_WEIGHT))
-        .otherwise(F.lit(0.0))
+    Rows have place (from 1), word, valence, ``before1`` to ``before3`` (the nearest first; null
+    without one), shouted (some words of the text are in capitals, but not all) and contrast (the
+    place of the first word of contrast, 0 without one).
+    """
+    at = {k: F.col(f"before{k}") for k in BACK}
+    plain = {k: F.col(f"plain{k}") for k in BACK}
+    so = {k: F.coalesce(plain[k].isin("so", "this"), F.lit(False)) for k in BACK}
+    never_so = {1: F.lit(False), 2: so[1], 3: so[2] | so[1]}
+    sign = F.when(F.col("valence") > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    shouted = F.col("shouted") & _shouted(F.col("word"))
+    effects = {
+        "first": F.col("valence") + F.when(shouted, sign * CAPITALS_WEIGHT).otherwise(F.lit(0.0)),
+        "side": F.when(F.col("contrast") == 0, F.lit(1.0))
+        .when(F.col("place") < F.col("contrast"), F.lit(CONTRAST_FACTORS[0]))
+        .when(F.col("place") > F.col("contrast"), F.lit(CONTRAST_FACTORS[1])).otherwise(F.lit(1.0)),
+        "least": F.coalesce(
+            (plain[1] == "least") & ~F.coalesce(plain[2], F.lit("")).isin("at", "very"), F.lit(False)),
+    }
+    for k in BACK:
+        effects[f"weight{k}"] = (
+            F.when(plain[k].isin(list(words.up)), F.lit(DEGREE_WEIGHT))
+            .when(plain[k].isin(list(words.down)), F.lit(-DEGREE_WEIGHT)).otherwise(F.lit(0.0)))
+        effects[f"loud{k}"] = F.coalesce(
+            plain[k].isin([*words.up, *words.down]) & F.col("shouted") & _shouted(at[k]), F.lit(False))
+        effects[f"factor{k}"] = (
+            F.when((plain[k] == "never") & never_so[k], F.lit(NEVER_SO_FACTORS[k - 1]))
+            .when(plain[k].isin(list(words.negations)) | at[k].contains("n't"), F.lit(NEGATION_FACTOR))
+            .otherwise(F.lit(1.0)))
+    some = F.col("least")
+    for k in BACK:
+        some = some | (F.col(f"weight{k}") != 0) | (F.col(f"factor{k}") != 1)
+    # Steps of their own, since nested expressions would be worked out wherever they are mentioned.
+    return (
+        hits.withColumns({"known": _plain(F.col("word")).isin([*words.up, *words.down]),
+                          **{f"plain{k}": _plain(at[k]) for k in BACK}})
+        .select(key, "place", "known", *[column.alias(name) for name, column in effects.items()])
+        .select(
+            key, "place",
+            F.when(F.col("known"), F.lit(0.0)).otherwise(F.col("first") * F.col("side")).alias("alone"),
+            F.when(some & ~F.col("known"), F.struct(*effects)).alias("effects"),
+        )
     )
-    louder = F.when(
-        (weight != 0) & shouted & _shouted(word),
-        F.when(valence > 0, F.lit(CAPITALS_WEIGHT)).otherwise(F.lit(-CAPITALS_WEIGHT)),
-    ).otherwise(F.lit(0.0))
-    return weight * sign + louder
 
 
-def _in_context(hit: Column, places: Column, words: ContextWords) -> Column:
-    """The valence of a word of the lexicon where it stands.
+def _in_context(hits: DataFrame, key: str) -> DataFrame:
+    """The valence of each word of the lexicon where it stands, as ``told``.
 
-    ``hit`` has place (from 1), word, valence, ``before`` (up to three words, the nearest first),
-    shouted (some words of the text are in capitals, but not all) and contrast (the place of the
-    first word of contrast, 0 without one). ``places`` are those of all words of the lexicon: what
-    stands there changes nothing after it.
+    ``hits`` has place, alone and effects. Words of the lexicon change nothing after them, which is
+    counted by place; rows that share a key and a place stand there together.
     """
-    sign = F.when(hit["valence"] > 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    loud = hit["shouted"] & _shouted(hit["word"])
-    first = hit["valence"] + F.when(loud, sign * CAPITALS_WEIGHT).otherwise(F.lit(0.0))
-    at = lambda k: F.get(hit["before"], k - 1)
-    plain = lambda k: _plain(at(k))
-    negated = lambda k: F.array_contains(_any_of(words.negations), plain(k)) | at(k).contains("n't")
-    so = lambda k: F.coalesce(plain(k).isin("so", "this"), F.lit(False))
-    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k)
-
-    def step(valence: Column, k: Column) -> Column:
-        free = at(k).isNotNull() & ~F.array_contains(places, hit["place"] - k)
-        raised = valence + _of_degree(at(k), valence, hit["shouted"], words) * pick(DEGREE_DECAY, k)
-        never_so = (plain(k) == "never") & (
-            ((k == 2) & so(F.lit(1))) | ((k == 3) & (so(F.lit(2)) | so(F.lit(1)))))
-        factor = (
-            F.when(never_so, pick(NEVER_SO_FACTORS, k))
-            .when(negated(k), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
-        )
-        return F.when(free, raised * factor).otherwise(valence)
-
-    told = F.aggregate(F.sequence(F.lit(1), F.lit(NEGATION_SPAN)), first, step)
-    nearest, second = plain(F.lit(1)), F.coalesce(plain(F.lit(2)), F.lit(""))
-    least = (
-        (nearest == "least") & ~F.array_contains(places, hit["place"] - 1)
-        & ~second.isin("at", "very")
-    )
-    side = (
-        F.when(hit["contrast"] == 0, F.lit(1.0))
-        .when(hit["place"] < hit["contrast"], F.lit(CONTRAST_FACTORS[0]))
-        .when(hit["place"] > hit["contrast"], F.lit(CONTRAST_FACTORS[1])).otherwise(F.lit(1.0))
-    )
-    known = F.array_contains(_any_of([*words.up, *words.down]), _plain(hit["word"]))
-    turned = told * F.when(F.coalesce(least, F.lit(False)), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
-    return F.when(known, F.lit(0.0)).otherwise(turned * side)
+    near = Window.partitionBy(key).orderBy("place")
+    told = hits.select(
+        key, "alone", "effects", F.col("effects.first").alias("told"),
+        *[(F.count(F.lit(1)).over(near.rangeBetween(-k, -k)) == 0).alias(f"free{k}") for k in BACK])
+    for k in BACK:  # a column for each step: a nested one would mention the one before many times
+        now = F.col("told")
+        sign = F.when(now < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        louder = F.when(
+            F.col(f"effects.loud{k}"),
+            F.when(now > 0, F.lit(CAPITALS_WEIGHT)).otherwise(F.lit(-CAPITALS_WEIGHT)),
+        ).otherwise(F.lit(0.0))
+        raised = now + (F.col(f"effects.weight{k}") * sign + louder) * DEGREE_DECAY[k - 1]
+        told = told.withColumn(
+            "told", F.when(F.col(f"free{k}"), raised * F.col(f"effects.factor{k}")).otherwise(now))
+    turned = F.col("told") * F.when(
+        F.col("effects.least") & F.col("free1"), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    return told.select(
+        key, F.when(F.col("effects").isNull(), F.col("alone"))
+        .otherwise(turned * F.col("effects.side")).alias("told"))
 
 
 def emphasis(text: str) -> Column:
@@ -179,42 +196,27 @@ def valence_in_context(
 
     ``key`` names one row each. Idioms of several words are not known. Words are looked up before
     anything is shuffled, if the lexicon is small enough for the planner to send it along; what
-    meets per text are then its words of the lexicon, each with the three words before it.
+    meets per text are then its words of the lexicon, each with the effects of the three words
+    before it as numbers.
     """
     words = words or ContextWords()
     tokens = F.col("tokens")
-
-    def placed(word: Column, i: Column) -> Column:
-        return F.struct(
-            (i + 1).alias("place"), word.alias("word"),
-            F.reverse(F.slice(tokens, F.greatest(F.lit(1), i + 1 - NEGATION_SPAN),
-                              F.least(i, F.lit(NEGATION_SPAN)))).alias("before"),
-        )
-
-    loud = F.size(F.filter(tokens, _shouted))
     uses = (
         df.select(key, context_tokens(text).alias("tokens"))
-        .withColumn("shouted", (loud > 0) & (loud < F.size(tokens)))
+        .withColumn("shouted", F.exists(tokens, _shouted) & F.exists(tokens, lambda w: ~_shouted(w)))
         .withColumn("contrast", F.array_position(F.transform(tokens, F.lower), words.contrast))
-        .select(key, "shouted", "contrast", F.inline(F.transform(tokens, placed)))
-        .withColumn("of", F.lower("word"))
+        .select(key, "shouted", "contrast", "tokens", F.posexplode("tokens").alias("at", "word"))
+        .select(key, "shouted", "contrast", "word", (F.col("at") + 1).alias("place"),
+                F.lower("word").alias("of"),
+                *[F.get(tokens, F.col("at") - k).alias(f"before{k}") for k in BACK])
     )
     valences = (
         lexicon.where("word IS NOT NULL AND valence IS NOT NULL")
         .groupBy(F.lower("word").alias("of"))
         .agg(F.avg(F.col("valence").cast("double")).alias("valence"))
     )
-    hits = (
-        uses.join(valences, "of")
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(F.struct(
-            "place", "word", "valence", "before", "shouted", "contrast"))).alias("hits"))
-        .withColumn("places", F.transform("hits", lambda hit: hit["place"]))
-    )
-    total = F.aggregate(
-        F.transform("hits", lambda hit: _in_context(hit, F.col("places"), words)), F.lit(0.0),
-        lambda total, x: total + x)
-    sums = hits.select(key, total.alias("__total"))
+    hits = _with_effects(uses.join(valences, "of"), key, words)
+    sums = _in_context(hits, key).groupBy(key).agg(F.sum("told").alias("__total"))
     total = F.coalesce("__total", F.lit(0.0))
     louder = F.coalesce(emphasis(text), F.lit(0.0)) * F.signum(total)
     return (

@@ -557,6 +557,20 @@ def test_valence_rules(spark, text, total, marks):
     assert got[1] == pytest.approx(compound(total, marks)) and got[2] == pytest.approx(compound(1.9))
 
 
+def test_context_is_worked_out_in_columns(spark):
+    """No lists per text after the shuffle; rows that share a key still count together."""
+    lexicon = spark.createDataFrame(list(CONTEXT_LEXICON.items()), "word STRING, valence DOUBLE")
+    frame = spark.createDataFrame(
+        [(1, "not good very bad"), (1, "not good very bad"), (2, "a good BAD"), (None, "good")], "id INT, text STRING")
+    scored = valence.valence_in_context(frame, "text", lexicon, "id")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    twice = compound(2 * (1.9 + -2.5 - 0.293) * -0.74)
+    got = sorted((r["id"] or 0, r["score"]) for r in scored.collect())
+    assert [i for i, _ in got] == [0, 1, 1, 2]
+    assert [x for _, x in got] == pytest.approx([0.0, twice, twice, compound(1.9 - 2.5 - 0.733)])
+
+
 def test_times_that_cannot_be_dated_are_null(spark):
     texts = ["1735689600", "1735689600.5", "NaN", "Infinity", "-Infinity", "1735689600000", "x", None,
              "253402300799", "-62135596800", "253402300800"]
