@@ -96,16 +96,20 @@ def build_series_tables(
     """Read the JSON feeds, write the tables as Parquet below ``out`` and return their paths.
 
     The feeds are parsed once, into flat Parquet tables by day below ``out/flat``; the series
-    read from those the columns and row groups they need.
+    read from those the columns and row groups they need. A feed that lies in folders by day is
+    written as it is read; the rows of any other are dealt by day first.
     """
+    feed = read_events(spark, feed_path, FEED_EVENT)
+    fetched = read_events(spark, fetched_path, HYDRATED_POST)
     raw = {
-        "feed": (flat_feed(read_events(spark, feed_path, FEED_EVENT)), "ts"),
-        "fetched": (flat_fetched(read_events(spark, fetched_path, HYDRATED_POST)), "indexed"),
+        "feed": (flat_feed(feed), "ts", "day" in feed.columns),
+        "fetched": (flat_fetched(fetched), "indexed", "day" in fetched.columns),
     }
     flat = {}
-    for name, (rows, ts) in raw.items():
+    for name, (rows, ts, by_day) in raw.items():
         path = f"{out}/flat/{name}"
-        write_parted(rows.withColumn("day", F.to_date(ts)), ["day"], path, "parquet", "overwrite")
+        write_parted(rows.withColumn("day", F.to_date(ts)), ["day"], path, "parquet", "overwrite",
+                     dealt=by_day, compression="zstd")
         flat[name] = read_table(spark, path)
     tables = series_tables(flat["feed"], flat["fetched"], needle, **options)
     for name, table in tables.items():

@@ -152,3 +152,28 @@ def test_series_jobs_push_their_filters(spark, tmp_path):
     assert "EqualTo(sole_lang,en)" in plan and f"EqualTo(collection,{POST_COLLECTION})" in plan
     assert "root_id" not in plan
     assert tables["ingestion_metrics_timeline"].first()["record_count"] == 5
+
+
+def test_feeds_by_day_are_not_dealt_again(spark, tmp_path):
+    """A feed in day folders is written as it is read, one file for each of its files; any other is dealt."""
+    from hearsay import jobs
+
+    lines = [
+        f'{{"did": "d{i}", "time_us": {1_735_689_600_000_000 + i}, "commit": {{"collection": "{POST_COLLECTION}", '
+        f'"operation": "create", "rkey": "{i}", "record": {{"text": "sky is good", "langs": ["en"]}}}}}}' for i in range(4)]
+    for i, line in enumerate(lines):
+        for folder in (tmp_path / "loose", tmp_path / "dated" / "day=2025-01-01"):
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{i}.json").write_text(line + "\n")
+    fetched = write_lines(tmp_path, (
+        '{"uri": "u", "record": {"text": "x", "langs": ["en"], "createdAt": "2025-01-01T00:00:00Z"}, "likeCount": 1, '
+        '"replyCount": 1, "indexedAt": "2025-01-01T00:00:00Z"}'))
+    files, found = {}, {}
+    for name in ("loose", "dated"):
+        out = tmp_path / f"out-{name}"
+        paths = jobs.build_series_tables(spark, str(tmp_path / name), fetched, str(out), "example.com")
+        files[name] = [f.name for f in out.glob("flat/feed/day=2025-01-01/*.parquet")]
+        found[name] = sorted(map(tuple, spark.read.parquet(paths[0]).select("word", "word_count").collect()))
+    assert found["loose"] == found["dated"] == [("good", 4), ("sky", 4)]
+    assert len(files["dated"]) > len(files["loose"]) == 1
+    assert all(f.endswith(".zstd.parquet") for names in files.values() for f in names)
