@@ -15,11 +15,19 @@ from hearsay.operators.ranks import global_places, rank_key, top_k, top_per_grou
 
 
 def _windowed(df: DataFrame, ts: str, width: str, key: str, out: str, **aggregates) -> DataFrame:
-    """Tumbling windows per key. Rows without a time fall in no window."""
-    counted = df.groupBy(F.window(ts, width).alias("__window"), key).agg(
-        *[column.alias(name) for name, column in aggregates.items()]
-    )
-    return counted.select(F.col("__window.start").alias(out), key, *aggregates)
+    """Tumbling windows per key. Rows without a time fall in no window.
+
+    A stream's groups are windows, which carry its watermark. A batch's are their starts alone:
+    nearly every word of a post opens a group, and a window has its end in each of them too.
+    """
+    window = F.window(ts, width)
+    columns = [column.alias(name) for name, column in aggregates.items()]
+    if df.isStreaming:
+        counted = df.groupBy(window.alias("__window"), key).agg(*columns)
+        return counted.select(F.col("__window.start").alias(out), key, *aggregates)
+    starts = df.withColumn("__window", window).withColumn("__start", F.col("__window.start"))
+    counted = starts.groupBy("__start", key).agg(*columns)
+    return counted.select(F.col("__start").alias(out), key, *aggregates)
 
 
 def word_series(

@@ -43,6 +43,13 @@ def test_words_are_combined_before_the_shuffle(spark):
     assert plan.index("HashAggregate") < plan.index("partial_count") and "Generate explode" in plan
 
 
+@pytest.mark.parametrize("name", ["popular_words", "series_for_top", "latest_word_scores"])
+def test_batch_groups_hold_the_start_of_a_window_alone(spark, name):
+    plan = plan_of(registry()[name].run(spark, FOLDER))
+    grouped = [line for line in plan.split("\n") if "HashAggregate(keys=[" in line]
+    assert any("__start" in line for line in grouped) and not any("window#" in line for line in grouped)
+
+
 def final_plan(frame):
     """The plan that ran, without the initial plans printed beside it."""
     frame.collect()
