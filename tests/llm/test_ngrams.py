@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from hearsay.llm import components, ngramjoin
+from hearsay.llm.frames import written
 from hearsay.llm.queries import QUERIES
 
 
@@ -113,3 +114,16 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = sorted(map(tuple, QUERIES["op6_ngram_join"](spark, folder).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_one_worker_per_task(spark):
+    """Rows are dealt between the two functions that make sets, however few the nodes are."""
+    rows = [(i, f"some words of text number {i} and more of it") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = written(spark.createDataFrame([(3,), (5,)], "node bigint"), "t")
+    sets = ngramjoin.shingle_sets(docs, nodes, 5)
+    assert sorted(r.node for r in sets.collect()) == [3, 5]
+    plan = sets._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    steps = [line for line in plan.split("\n") if "MapInArrow" in line or "Exchange hash" in line]
+    first, last = (i for i, line in enumerate(steps) if "MapInArrow" in line)
+    assert last - first > 1

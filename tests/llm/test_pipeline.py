@@ -93,3 +93,10 @@ def test_rows_that_share_an_id(spark):
                            (5, None), (6, None)], key=str)
     mixed = corpus_pipeline.mix_sources(spark, docs.where("doc_id is null or doc_id < 4"), FOLDER).collect()
     assert {r.doc_id for r in mixed} >= {1, None}
+
+
+def test_one_worker_per_task(spark, odd_docs):
+    """No task of the last stage encodes and decodes: each would need a worker with a codec."""
+    last = dict(corpus_pipeline.STAGES)["tokenize"](spark, odd_docs, FOLDER)
+    assert last._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert last.where("exact").count() == odd_docs.count()
