@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearsay.llm import components, ngramjoin
 from hearsay.llm.frames import written
@@ -127,3 +128,35 @@ def test_one_worker_per_task(spark):
     steps = [line for line in plan.split("\n") if "MapInArrow" in line or "Exchange hash" in line]
     first, last = (i for i, line in enumerate(steps) if "MapInArrow" in line)
     assert last - first > 1
+
+
+def test_shared_shingles_alone_are_listed(spark):
+    """A shingle that one prefix alone holds becomes no entry of a list; shared ones all do."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(20)]
+    rows += [(50, rows[0][1] + " more"), (51, rows[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    signed = written(ngramjoin.prefixes(docs, 5, 80, np.zeros(0, np.uint64)), "t")
+    lists = defaultdict(set)
+    for r in signed.collect():
+        for shingle in np.frombuffer(r.prefix, np.uint64).tolist():
+            lists[shingle].add(r.doc_id)
+    shared = {(s, doc) for s, docs in lists.items() if len(docs) > 1 for doc in docs}
+    held = ngramjoin.repeated_only(signed).withColumnRenamed("doc_id", "node")
+    listed = {(r.shingle % 2**64, r.node) for r in ngramjoin.postings(held).collect()}
+    assert shared and shared <= listed
+    assert len(listed) < len(shared) + sum(map(len, lists.values())) / 20
+
+
+def test_a_set_goes_to_a_cell_once(spark):
+    """A hundred nodes that all search each other send a hundred sets and link as a forest."""
+    sets = [(i, np.arange(i % 2 * 1000, i % 2 * 1000 + 90 + i // 2 % 5, dtype=np.uint64).tobytes())
+            for i in range(100)]
+    frame = written(spark.createDataFrame(
+        [(i, bytearray(s)) for i, s in sets], "node bigint, shingles binary"), "t")
+    cells = written(frame.select("node", F.lit(7).cast("bigint").alias("cell")), "t")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    found = ngramjoin.linked(cells, cells, none, frame, 80)
+    links = found.collect()
+    assert len(links) == 98
+    labels = {r.node: r.component for r in components.components(found).collect()}
+    assert labels == {i: i % 2 for i in range(100)}
