@@ -9,7 +9,8 @@ over the slices.
 2. The cutoff goes to all nodes. A score that reaches it has a part of at least cutoff / slices, so
    every node sends the rows whose part reaches this uniform threshold.
 3. Parts of a row are added up. Where all slices were sent the sum is the score; the other rows
-   are resolved exactly, and the best k stay.
+   are resolved exactly, and the best k stay. Ids go to where vectors are, never vectors along with
+   every pair of ids.
 
 All parts and scores are exact: 64-bit integers where the largest component of the table leaves room
 for that, else decimals of 38 digits.
@@ -150,36 +151,51 @@ def blocked(rows: DataFrame, sizes: dict[int, int], size: int, cutoff: Column) -
     )
 
 
+def _blocks(dim: int, n: int, size: int) -> int:
+    return -(-n // max(1, min(size, BLOCK_BYTES // (8 * dim))))
+
+
 def _per_dim(sizes: dict[int, int], size: int) -> Column:
     found = F.lit(1)
     for dim, n in sizes.items():
-        rows = max(1, min(size, BLOCK_BYTES // (8 * dim)))
-        found = F.when(F.col("dim") == dim, -(-n // rows)).otherwise(found)
+        found = F.when(F.col("dim") == dim, _blocks(dim, n, size)).otherwise(found)
     return found
 
 
 def met(queries: DataFrame, vectors: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """Every query node next to every vector node of its slice. A row is a pair of blocks."""
-    q = queries.select("dim", "slice", F.col("ids").alias("q_ids"), F.col("parts").alias("q_parts"),
-                       "cutoffs",
-                       F.explode(F.sequence(F.lit(0), _per_dim(sizes, VECTOR_BLOCK) - 1)).alias("block"))
-    return vectors.drop("cutoffs").join(q, ["dim", "slice", "block"]).drop("block")
+    """Every vector node, followed by the query nodes of its slice: dim, slice, block, asking (null for
+    the vector node), ids, parts, cutoffs. No row holds a pair of nodes."""
+    q = queries.select(
+        "dim", "slice", F.col("block").alias("asking"), "ids", "parts", "cutoffs",
+        F.explode(F.sequence(F.lit(0), _per_dim(sizes, VECTOR_BLOCK) - 1)).alias("block"))
+    return (
+        vectors.withColumn("asking", F.lit(None).cast("int")).unionByName(q)
+        .select("dim", "slice", "block", "asking", "ids", "parts", "cutoffs")
+        .repartition("dim", "slice", "block")
+        .sortWithinPartitions("dim", "slice", "block", "asking")  # nulls first
+    )
 
 
-def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool, kind: str) -> DataFrame:
+def entries(nodes_met: DataFrame, slices: int, k: int, by_cutoff: bool, kind: str) -> DataFrame:
     """query, id, slice, part: each node's k highest parts of a query, or all that reach the
     uniform threshold of the query's cutoff (all, without a cutoff)."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, parts = None, None, None
         for batch in rows:
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
                 start, stop = cut(row["dim"], slices)[row["slice"]]
-                ids, q_ids = (np.frombuffer(row[x], "<i8") for x in ("ids", "q_ids"))
-                found = products(
-                    np.frombuffer(row["q_parts"], "<i8").reshape(len(q_ids), stop - start),
-                    np.frombuffer(row["parts"], "<i8").reshape(len(ids), stop - start),
-                )
+                key = row["dim"], row["slice"], row["block"]
+                own = np.frombuffer(row["ids"], "<i8")
+                own_parts = np.frombuffer(row["parts"], "<i8").reshape(len(own), stop - start)
+                if row["asking"] is None:
+                    held, ids, parts = key, own, own_parts
+                    continue
+                if key != held:  # a block of no vectors
+                    continue
+                q_ids = own
+                found = products(own_parts, parts)
                 if by_cutoff:
                     # Without a cutoff all parts are sent: none is below the smallest.
                     low = min(int(found.min(initial=0)), -(1 << 62))
@@ -201,7 +217,7 @@ def entries(pairs: DataFrame, slices: int, k: int, by_cutoff: bool, kind: str) -
                         ["query", "id", "slice", "part"],
                     )
 
-    return pairs.mapInArrow(batches, f"query bigint, id bigint, slice int, part {kind}")
+    return nodes_met.mapInArrow(batches, f"query bigint, id bigint, slice int, part {kind}")
 
 
 def _largest(found: np.ndarray, keep: int) -> np.ndarray:
@@ -211,32 +227,74 @@ def _largest(found: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(-found, keep - 1, axis=1)[:, :keep]
 
 
-def resolved(pairs: DataFrame, vectors: DataFrame, kind: str) -> DataFrame:
-    """query, id and the exact score of each pair (query, id)."""
-
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            left, right = batch.column("q").to_pylist(), batch.column("v").to_pylist()
-            sizes = np.array([len(x) for x in left])
-            score = np.zeros(len(left), object)
-            for size in np.unique(sizes):  # one dimension, or a few
-                at = np.flatnonzero(sizes == size)
-                a, b = (np.frombuffer(b"".join([x[i] for i in at]), "<i8").reshape(len(at), -1)
-                        for x in (left, right))
-                score[at] = rowwise(a, b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("query"), batch.column("id"), numbers(score, kind)],
-                ["query", "id", "score"],
-            )
+def resolved(pairs: DataFrame, vectors: DataFrame, bins: int, kind: str) -> DataFrame:
+    """query, id and the exact score of each pair (query, id).
 
+    Vectors lie in ``bins`` by a hash of their ids. A bin gets its vectors, then of each query that
+    asks for some its vector, and the ids it asks for: no vector goes along with every pair.
+    """
     own = vectors.select("id", "v")
-    return (
-        pairs.join(own, "id")
-        .join(own.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-        .select("query", "id", "q", "v")
-        .mapInArrow(batches, f"query bigint, id bigint, score {kind}")
+    binned = pairs.select(F.pmod(F.xxhash64("id"), F.lit(bins)).alias("bin"), "query", "id")
+    asking = binned.select("bin", "query").distinct().join(
+        own.select(F.col("id").alias("query"), "v"), "query")
+    none = F.lit(None)
+    rows = (
+        own.select(F.pmod(F.xxhash64("id"), F.lit(bins)).alias("bin"),
+                   none.cast("bigint").alias("query"), "id", "v")
+        .unionByName(asking.select("bin", "query", none.cast("bigint").alias("id"), "v"))
+        .unionByName(binned.withColumn("v", none.cast("binary")))
+        .repartition("bin").sortWithinPartitions("bin", "query", "id")  # nulls first
     )
 
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, known, vector = None, [], {}, None
+        for batch in stream:
+            bin_of = batch.column("bin").to_numpy()
+            query, ids = (batch.column(c).fill_null(0).to_numpy() for c in ("query", "id"))
+            of_query = batch.column("query").is_valid().to_numpy(zero_copy_only=False)
+            v = batch.column("v")
+            of_pair = v.is_null().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(
+                (np.diff(bin_of, prepend=bin_of[:1]) != 0) | (np.diff(query, prepend=query[:1]) != 0)
+                | np.diff(of_query, prepend=of_query[:1]) | np.diff(of_pair, prepend=of_pair[:1])
+            ).tolist()
+            found = []
+            for start, stop in zip([0, *starts], [*starts, batch.num_rows]):
+                if start == stop:
+                    continue
+                if bin_of[start] != at:
+                    at, held, known = bin_of[start], [], {}
+                if not of_query[start]:
+                    held += zip(ids[start:stop].tolist(), v[start:stop].to_pylist())
+                elif not of_pair[start]:
+                    if held:
+                        known, held = _by_dim(held), []
+                    vector = np.frombuffer(v[start].as_py(), "<i8")
+                else:
+                    there, whole = known[len(vector)]
+                    wanted = whole[np.searchsorted(there, ids[start:stop])]
+                    found.append((start, stop, rowwise(vector[None], wanted)))
+            if found:
+                score = np.concatenate([x for _, _, x in found])
+                rows = np.concatenate([np.arange(a, b) for a, b, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query[rows]), pa.array(ids[rows]), numbers(score, kind)],
+                    ["query", "id", "score"],
+                )
+
+    return rows.mapInArrow(batches, f"query bigint, id bigint, score {kind}")
+
+
+def _by_dim(vectors: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids, ascending as they come, and components of the vectors of each dimension."""
+    dims = np.array([len(v) // 8 for _, v in vectors])
+    out = {}
+    for dim in np.unique(dims).tolist():
+        own = [vectors[i] for i in np.flatnonzero(dims == dim)]
+        whole = np.frombuffer(b"".join(v for _, v in own), "<i8").reshape(len(own), dim)
+        out[dim] = np.array([i for i, _ in own], np.int64), whole
+    return out
+
 
 def _ranked(rows: DataFrame, k: int, keys: list[str], order: list) -> DataFrame:
     best = Window.partitionBy(*keys).orderBy(*order)
@@ -262,7 +320,9 @@ def search(
     q_nodes = nodes(blocked(queries, asked, QUERY_BLOCK, none), slices)
     lists = entries(met(q_nodes, v_nodes, sizes), slices, k, by_cutoff=False, kind=kind)
     listed = _ranked(lists, k, ["query", "slice"], [F.desc("part"), "id"])
-    sure = written(resolved(listed.select("query", "id").distinct(), vectors, kind), "listed-scores")
+    bins = max(1, sum(_blocks(dim, n, VECTOR_BLOCK) for dim, n in sizes.items()))
+    listed = written(listed.select("query", "id").distinct(), "listed")
+    sure = written(resolved(listed, vectors, bins, kind), "listed-scores")
     cutoffs = (
         _ranked(sure, k, ["query"], [F.desc("score"), "id"])
         .groupBy("query").agg(F.min("score").alias("cutoff"), F.count("*").alias("n"))
@@ -280,7 +340,8 @@ def search(
     # 3: whole sums are scores, the rest is resolved
     scores = (
         sent.where(F.col("parts") == slices).select("query", "id", "score")
-        .unionByName(resolved(sent.where(F.col("parts") < slices).select("query", "id"), vectors, kind))
+        .unionByName(resolved(
+            sent.where(F.col("parts") < slices).select("query", "id"), vectors, bins, kind))
     )
     return _ranked(scores, k, ["query"], [F.desc("score"), "id"])
 

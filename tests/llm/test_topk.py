@@ -2,6 +2,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,39 @@ def test_nothing(spark):
 def test_query_matches_sql(spark):
     found = canonical(QUERIES["op4_topk"](spark, FOLDER).toPandas())
     assert found == canonical(connect(FOLDER).sql(SQL["op4_topk"]).df())
+
+
+def test_resolved_sends_no_vector_with_a_pair(spark):
+    """Every pair's exact score, of two dimensions and beyond 64 bits; a bin gets a vector once and a
+    query's vector once, whatever number of pairs meet there."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.integers(-2**40, 2**40, 8 if i % 3 else 5)) for i in range(60)]
+    frame = spark.createDataFrame(
+        [(i, len(v), bytearray(v.astype("<i8").tobytes())) for i, v in rows],
+        "id bigint, dim int, v binary")
+    wanted = [(q, i) for q, a in rows[::4] for i, b in rows if len(a) == len(b)]
+    pairs = spark.createDataFrame(wanted, "query bigint, id bigint").repartition(4)
+    found = topk.resolved(pairs, frame, 3, topk.WIDE)
+    vectors = dict(rows)
+    expected = {(q, i): sum(int(x) * int(y) for x, y in zip(vectors[q], vectors[i])) for q, i in wanted}
+    assert {(r.query, r.id): int(r.score) for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan.split("MapInArrow")[1].split("Join")[0]
+
+
+def test_no_row_holds_a_pair_of_nodes(spark, monkeypatch):
+    """A vector node comes once, ahead of the query nodes that meet it."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 20)
+    frame = spark.createDataFrame(
+        [(i, 4, bytearray(np.arange(4, dtype="<i8") + i)) for i in range(70)],
+        "id bigint, dim int, v binary").withColumn("cutoff", F.lit(None).cast("bigint"))
+    queries = topk.nodes(topk.blocked(frame.where("id % 2 = 0"), {4: 35}, 5, F.col("cutoff")), 2)
+    vectors = topk.nodes(topk.blocked(frame, {4: 70}, 20, F.col("cutoff")), 2)
+    rows = [r for part in topk.met(queries, vectors, {4: 70}).rdd.glom().collect() for r in part]
+    of_vectors = [r for r in rows if r.asking is None]
+    assert len(of_vectors) == vectors.count()
+    assert len(rows) - len(of_vectors) == queries.count() * len({r.block for r in of_vectors})
+    at = None
+    for r in rows:
+        at = (r.slice, r.block) if r.asking is None else at
+        assert at == (r.slice, r.block)
